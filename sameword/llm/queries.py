@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from sameword.llm import exact_dedup
+from sameword.llm import bpe, exact_dedup, ngram_join, quality
 
-QUERIES = {"op10_exact_dedup": exact_dedup.op10_exact_dedup}
+QUERIES = {
+    "op5_bpe": bpe.op5_bpe,
+    "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op9_quality": quality.op9_quality,
+    "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+}
 SQL = {"op10_exact_dedup": exact_dedup.ORACLE}
