@@ -10,10 +10,10 @@ too) are separate rows of a group of which one stays; an empty table gives an em
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sameword.llm.locate import FILE, ROW, with_locator
 from sameword.shared import fresh_path, stage
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -25,13 +25,9 @@ def one_space(text: Column) -> Column:
 
 
 def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, norm and the locator (file, row). Tables that aren't read from files are staged first."""
-    pick = [F.col(id_col).alias("id"), one_space(F.col(text_col)).alias("norm")]
-    try:
-        return docs.select(*pick, F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    except AnalysisException:
-        kept = stage(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "dedup-input")
-        return located(kept, "id", "text")
+    """id, norm and the locator (file, row)."""
+    at = docs if FILE in docs.columns else with_locator(docs.select(F.col(id_col), F.col(text_col)))
+    return at.select(F.col(id_col).alias("id"), one_space(F.col(text_col)).alias("norm"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))
 
 
 def fold_digests(spark: SparkSession, log: DataFrame, files_per_batch: int | None = None) -> DataFrame:
@@ -88,12 +84,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs, its columns unchanged, without the rows whose text an earlier row has."""
-    lost = exact_dedup(docs, id_col, text_col, **how).where("not kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
-    try:
-        at = docs.select("*", F.xxhash64("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    except AnalysisException:
-        raise ValueError("keep_one needs a table that is read from Parquet files") from None
-    return at.join(stage(lost, "dedup-lost"), ["_file", "_row"], "left_anti").select(*docs.columns)
+    at = with_locator(docs)
+    lost = exact_dedup(at, id_col, text_col, **how).where("not kept").select(F.col("file").alias(FILE), F.col("row").alias(ROW))
+    return at.join(stage(lost, "dedup-lost"), [FILE, ROW], "left_anti").select(*docs.columns)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,10 +149,10 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     """docs and one more column: the probability of label 1."""
     small_batches(docs.sparkSession, 2)
 
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(*passages(*flat_bytes(pa.Array.from_pandas(texts, pa.string())))))
+    def scored(texts: pa.Array) -> pa.Array:
+        return pa.array(model.score(*passages(*flat_bytes(texts))), pa.float64())
 
-    return docs.withColumn(score_col, F.pandas_udf(scored, "double")(F.col(text_col)))
+    return docs.withColumn(score_col, F.arrow_udf(scored, "double")(F.col(text_col)))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sameword.llm import bpe, exact_dedup, ngram_join, quality
+from sameword.llm import bpe, chat, exact_dedup, mixing, ngram_join, quality
 
 QUERIES = {
+    "op2_chat": chat.op2_chat,
     "op5_bpe": bpe.op5_bpe,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
-SQL = {"op10_exact_dedup": exact_dedup.ORACLE}
+SQL = {"op2_chat": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
