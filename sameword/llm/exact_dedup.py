@@ -14,10 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sameword.llm.locate import FILE, ROW, with_locator
+from sameword.llm.sieve import maybe_in
 from sameword.shared import fresh_path, stage
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk, with no space reserved ahead: many partitions hold little each.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def one_space(text: Column) -> Column:
@@ -40,14 +45,16 @@ def fold_digests(spark: SparkSession, log: DataFrame, files_per_batch: int | Non
         return spark.createDataFrame([], "key binary, holder struct<late:boolean,id:bigint,file:bigint,row:bigint>, size bigint")
     holder = F.struct(F.col("id").isNull().alias("late"), "id", "file", "row")
     state = seen.groupBy("key").agg(F.min(holder).alias("holder"), F.count(F.lit(1)).alias("size"))
-    path, before = fresh_path(spark, "dedup-state"), spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKS)
+    path, before = fresh_path(spark, "dedup-state"), {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         run = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", path).trigger(availableNow=True).start()
         run.awaitTermination()
         held = spark.read.format("statestore").load(path)
     finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     smallest, count = [f.name for f in held.schema["value"].dataType.fields]
     return held.select(F.col("key.key").alias("key"), F.col("value")[smallest].alias("holder"), F.col("value")[count].alias("size"))
 
@@ -63,14 +70,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sha = F.unhex(F.sha2("norm", 256))
     log = stage(rows.select("id", "file", "row", sha.alias("sha")).withColumn("key", F.substring("sha", 1, key_bytes)), "dedup-log")
     state = stage(fold_digests(spark, log, files_per_batch), "dedup-held")
-    assigned = stage(log.join(state, "key"), "dedup-assigned")
+    assigned = stage(log.join(state.hint("merge"), "key"), "dedup-assigned")
     hits = stage(assigned.where("size > 1").drop("sha"), "dedup-hits")
-    texts = stage(rows.drop("id").join(hits, ["file", "row"]), "dedup-texts")
+    texts = stage(maybe_in(rows.drop("id"), hits, "file", "row").join(hits.hint("merge"), ["file", "row"]), "dedup-texts")
     parts = F.ceil(F.col("size") / rows_per_salt).cast("int")
     mine = (F.col("file") == F.col("holder.file")) & (F.col("row") == F.col("holder.row"))
     held = texts.where(mine).select("key", F.col("norm").alias("held"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("salt"))
     others = texts.where(~mine).withColumn("salt", F.pmod(F.xxhash64("file", "row"), parts).cast("int"))
-    odd = stage(others.join(held, ["key", "salt"]).where(F.col("norm") != F.col("held")).select("key", "id", "file", "row", "norm"), "dedup-odd")
+    odd = stage(others.join(held.hint("merge"), ["key", "salt"]).where(F.col("norm") != F.col("held")).select("key", "id", "file", "row", "norm"), "dedup-odd")
     if not odd.isEmpty():
         again = odd.groupBy("key", "norm").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "file", "row")).alias("own"), F.count(F.lit(1)).alias("own_size"))
         moved = odd.join(again, ["key", "norm"]).select("file", "row", "own", "own_size")

@@ -1,0 +1,18 @@
+"""A bitmap of fixed size that takes rows out of a scan before a join moves them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Bits of the bitmap: 1 MB, whatever the size of the key table.
+BITS = 1 << 23
+
+
+def maybe_in(rows: DataFrame, keys: DataFrame, *cols: str) -> DataFrame:
+    """rows without most of those whose key isn't in keys. What stays by chance is for a join to take out."""
+    bit = F.pmod(F.xxhash64(*cols), F.lit(BITS))
+    bits = keys.select(bit.alias("_bit")).groupBy(F.floor(F.col("_bit") / 32768).alias("_chunk")).agg(F.expr("bitmap_construct_agg(pmod(_bit, 32768))").alias("_bits"))
+    at = rows.withColumn("_bit", bit).withColumn("_chunk", F.floor(F.col("_bit") / 32768)).join(F.broadcast(bits), "_chunk")
+    byte = "cast(conv(hex(substring(_bits, cast(pmod(_bit, 32768) div 8 as int) + 1, 1)), 16, 10) as int)"
+    return at.where(f"getbit({byte}, cast(pmod(_bit, 8) as int)) = 1").select(*rows.columns)
