@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sameword.llm.arrow import as_bytes, ragged, small_batches
+from sameword.llm.sieve import maybe_in
 from sameword.operators.graph import connected_components
 from sameword.shared import stage
 
 WORDS = 5
 #: Jaccard of at least NUM / DEN links.
 NUM, DEN = 3, 4
-SLOTS = 1 << 20
+SLOTS = 1 << 21
 ORDERS = 6
 SHARD_TOKENS = 2_000_000
 KEPT_WORDS = 400_000
@@ -96,26 +97,28 @@ def set_rows(docs: DataFrame) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingler(), np.zeros(SLOTS, np.int32)
         for part in parts:
-            n, digests, minima, sets = [], [], [], []
+            n, digests, minima, tallies, sets = [], [], [], [], []
             for text in as_bytes(part.column(1)):
                 s = shingles(text)
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 minima.append([int(x) for x in (s[:, None] * A).min(0).view(np.int64)] if len(s) else None)
+                tally = np.bincount((s >> np.uint64(50)).astype(np.int64), minlength=256)
+                tallies.append(tally.astype(np.uint8).tobytes() if len(s) and tally.max() < 256 else None)
                 sets.append(s)
-            for i in range(0, len(sets), 256):
-                counts += np.bincount((np.concatenate(sets[i : i + 256]) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.int32)
+            slots = (np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64) if sets else np.zeros(0, np.int64)
+            np.add.at(counts, slots, 1)
             k = part.num_rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(k, np.int32)), part.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.nulls(k, pa.binary())],
-                ["kind", "id", "n", "digest", "minima", "counts"],
+                [pa.array(np.zeros(k, np.int32)), part.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(tallies, pa.binary()), pa.nulls(k, pa.binary())],
+                ["kind", "id", "n", "digest", "minima", "tally", "counts"],
             )
         step = SLOTS // 16
         chunks = [counts[i : i + step].tobytes() for i in range(0, SLOTS, step)] if counts.any() else []
         k = len(chunks)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.array(chunks, pa.binary())], ["kind", "id", "n", "digest", "minima", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()), pa.array(chunks, pa.binary())], ["kind", "id", "n", "digest", "minima", "tally", "counts"])
 
-    return docs.mapInArrow(run, "kind int, id long, n int, digest binary, minima array<long>, counts binary")
+    return docs.mapInArrow(run, "kind int, id long, n int, digest binary, minima array<long>, tally binary, counts binary")
 
 
 def rarity(rows: DataFrame) -> np.ndarray:
@@ -132,23 +135,31 @@ def rarity(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs (id, text) that are in ids (id). A bitmap of fixed size (1 MB), sent to all, takes out most others first."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(1 << 23))
-    bits = ids.select(bit.alias("h")).groupBy(F.floor(F.col("h") / 32768).alias("chunk")).agg(F.expr("bitmap_construct_agg(pmod(h, 32768))").alias("bits"))
-    at = docs.withColumn("h", bit).withColumn("chunk", F.floor(F.col("h") / 32768)).join(F.broadcast(bits), "chunk")
-    some = at.where("getbit(cast(conv(hex(substring(bits, cast(pmod(h, 32768) div 8 as int) + 1, 1)), 16, 10) as int), cast(pmod(h, 8) as int)) = 1").select("id", "text")
-    return some.join(ids, "id", "left_semi")
+def possible(pairs: DataFrame, tallies: DataFrame) -> DataFrame:
+    """The pairs whose sets could link by their tallies: sets share no more than the smaller count of each of 256 classes
+    of shingles. tallies: id, n, tally (a byte a class; null where a count doesn't fit)."""
+    one = tallies.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tally").alias("ta"))
+    two = tallies.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tally").alias("tb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for na, nb, ta, tb in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                most = min(na, nb) if ta is None or tb is None else int(np.minimum(np.frombuffer(ta, np.uint8), np.frombuffer(tb, np.uint8)).sum())
+                keep.append(most >= needed(na, nb))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, rows_per_part: int = 256) -> DataFrame:
+def linked(docs: DataFrame, pairs: DataFrame, rows_per_part: int = 64) -> DataFrame:
     """The pairs (a, b) whose whole sets link. A b with many partners is met by them in parts of about rows_per_part."""
     pairs = stage(pairs, "join-pairs")
-    texts = stage(with_ids(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()), "join-texts")
+    texts = stage(maybe_in(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), "id"), "join-texts")
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / rows_per_part).cast("int").alias("parts"))
     many = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
-    members = texts.join(many, F.col("id") == F.col("a")).select("b", "part", F.lit(1).alias("role"), "id", "text")
-    heads = texts.join(parts, F.col("id") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "id", "text")
+    members = texts.join(many.hint("merge"), F.col("id") == F.col("a")).select("b", "part", F.lit(1).alias("role"), "id", "text")
+    heads = texts.join(parts.hint("merge"), F.col("id") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, head, of = Shingler(), None, None
@@ -316,18 +327,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = stage(set_rows(texts), "join-sets")
-    sets = rows.where("kind = 0").select("id", "n", "digest", "minima")
+    sets = rows.where("kind = 0").select("id", "n", "digest", "minima", "tally")
     full = sets.where("n > 0 and id is not null")
-    classes = stage(full.groupBy("digest").agg(F.min("id").alias("class"), F.min_by("minima", "id").alias("minima"), F.first("n").alias("n")), "join-classes")
+    classes = stage(full.groupBy("digest").agg(F.min("id").alias("class"), F.min_by("minima", "id").alias("minima"), F.first("n").alias("n"), F.min_by("tally", "id").alias("tally")), "join-classes")
+    tallies = classes.select(F.col("class").alias("id"), "n", "tally")
     keys = classes.select("class", F.posexplode("minima").alias("order", "low"))
     firsts = keys.groupBy("order", "low").agg(F.min("class").alias("b"), F.count("*").alias("size")).where("size > 1").drop("size")
     near = keys.join(firsts, ["order", "low"]).where("class <> b").select(F.col("class").alias("a"), "b").distinct()
-    near_links = stage(linked(texts.where("id is not null"), near), "join-links")
+    near_links = stage(linked(texts.where("id is not null"), possible(near, tallies)), "join-links")
     parts = stage(connected_components(near_links), "join-parts")
     comp = classes.select(F.col("class").alias("id")).distinct().join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
     total = classes.agg(F.sum(F.col("n") / DEN + 1)).first()[0] or 0
-    found = prefix_join(texts.join(comp, "id"), rarity(rows), max(1, round(total / SHARD_TOKENS)))
-    far_links = stage(linked(texts.where("id is not null"), found), "join-links")
+    found = prefix_join(texts.join(comp.hint("merge"), "id"), rarity(rows), max(1, round(total / SHARD_TOKENS)))
+    far_links = stage(linked(texts.where("id is not null"), possible(found, tallies)), "join-links")
     if not far_links.isEmpty():
         parts = connected_components(near_links.union(far_links))
     by_set = classes.select("digest", "class")
