@@ -1,4 +1,530 @@
-"""Registered queries of the reference operators and their DuckDB SQL."""
+"""Registered queries of the reference operators and their DuckDB SQL, over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from sameword.config import BAD_PHRASES, DedupConfig
+from sameword.functions import text as T
+from sameword.operators import clusters, graph, ingest, sketch, windowed
+from sameword.plans.pipeline import DedupPipeline, trigram_logit
+from sameword.shared import stage
+from sameword.sources.readers import main_text
 
 QUERIES: dict = {}
 SQL: dict = {}
+
+#: SQL that stands before every query's own.
+TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
+STRIP = r"regexp_replace({}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+SQUEEZE = r"trim(regexp_replace({}, '[\s\p{{Z}}]+', ' ', 'g'))"
+ART = r"""art AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS text, source,
+  CASE WHEN left(split_part(coalesce(text, ''), '. ', 1), 100) <> '' THEN left(split_part(coalesce(text, ''), '. ', 1), 100) || '...' ELSE 'News Article' END AS title,
+  TIMESTAMP '2024-01-01' + ((doc_id * 7919) % 43200) * INTERVAL 1 MINUTE AS published_at FROM documents)"""
+KEY = "regexp_replace(replace(replace(replace(regexp_replace(text, 'Reference ID [a-z0-9-]+', '', 'g'), 'Ad Disclosure', ''), 'Advertisement', ''), 'Sponsored Content', ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
+LAB = ART + f""", keyed AS (SELECT *, {KEY} AS k FROM art),
+lab AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY k) > 1 THEN CAST(min(doc_id) OVER (PARTITION BY k) AS VARCHAR) END AS label FROM keyed)"""
+TOKS = ART + f", toks AS (SELECT id, published_at, {TOK.format('text')} AS t FROM art)"
+WORDS = TOKS + ", words AS (SELECT DISTINCT id, unnest(t) AS w FROM toks)"
+
+
+def articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents in the shape of articles: a title made up, a time spread over 30 days."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    text = F.coalesce("text", F.lit(""))
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (F.col("doc_id") * 7919 % 43200) * 60_000_000)
+    return d.select("doc_id", F.col("doc_id").cast("string").alias("id"), T.made_up_title(F.lit(None).cast("string"), text).alias("title"), text.alias("text"), "source", at.alias("published_at"))
+
+
+def labelled(a: DataFrame) -> DataFrame:
+    """Exact copies share a label, their first id."""
+    k = a.withColumn("k", T.noise_key(F.col("text")))
+    many = k.groupBy("k").agg(F.count("*").alias("n"), F.min("doc_id").cast("string").alias("label")).where("n > 1")
+    return k.join(many.drop("n"), "k", "left").drop("k")
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+# -- sources, validation, labels
+
+RAW = """raw AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'not a date' WHEN doc_id % 11 = 0 THEN NULL ELSE strftime(published_at, '%Y-%m-%dT%H:%M:%S') END AS p,
+  CASE WHEN doc_id % 13 = 0 THEN 'abc' WHEN doc_id % 5 = 0 THEN '12' END AS tc FROM art)"""
+
+
+@query(f"WITH {ART}, {RAW} SELECT id, md5(title) AS title_md5, source, epoch_us(TRY_CAST(p AS TIMESTAMP)) AS t_us, TRY_CAST(tc AS BIGINT) AS true_cluster_id FROM raw WHERE TRY_CAST(p AS TIMESTAMP) IS NOT NULL AND source IS NOT NULL AND (tc IS NULL OR TRY_CAST(tc AS BIGINT) IS NOT NULL)")
+def load_validate(spark, sf):
+    a = articles(spark, sf)
+    raw = a.withColumns({
+        "published_at": F.when(F.col("doc_id") % 7 == 0, "not a date").when(F.col("doc_id") % 11 == 0, None).otherwise(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss")),
+        "true_cluster_id": F.when(F.col("doc_id") % 13 == 0, "abc").when(F.col("doc_id") % 5 == 0, "12"),
+    })
+    return ingest.validate(raw).select("id", F.md5("title").alias("title_md5"), "source", F.unix_micros("published_at").alias("t_us"), "true_cluster_id")
+
+
+@query(f"WITH {ART}, e AS (SELECT * FROM art WHERE doc_id % 2 = 0 ORDER BY doc_id LIMIT 50), o AS (SELECT * FROM art WHERE doc_id % 2 = 1 ORDER BY doc_id LIMIT 50) SELECT doc_id, source FROM e UNION ALL SELECT doc_id, source FROM o")
+def union_limit(spark, sf):
+    a = articles(spark, sf).select("doc_id", "source")
+    return ingest.union_limit(a.where("doc_id % 2 = 0"), a.where("doc_id % 2 = 1"), 101, "doc_id")
+
+
+@query(f"WITH {ART}, t AS (SELECT id, CASE WHEN doc_id % 9 = 0 THEN doc_id + 1 END AS tc FROM art), g AS (SELECT DISTINCT CAST(tc AS VARCHAR) AS g FROM t WHERE tc IS NOT NULL) SELECT id, coalesce(CAST(tc AS VARCHAR), g) AS label FROM t LEFT JOIN g ON id = g")
+def ground_truth(spark, sf):
+    a = articles(spark, sf).withColumn("true_cluster_id", F.when(F.col("doc_id") % 9 == 0, F.col("doc_id") + 1))
+    return ingest.ground_truth(a).select("id", "label")
+
+
+# -- text
+
+LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw_line FROM art), lined AS (SELECT doc_id, " + STRIP.format("raw_line") + " AS line FROM lines), boiler AS (SELECT line, count(DISTINCT doc_id) AS df FROM lined WHERE length(line) > 15 GROUP BY line HAVING count(DISTINCT doc_id) >= 5)"
+
+
+def boilerplate(a: DataFrame, least: int = 5) -> DataFrame:
+    """AG19: lines of over 15 characters in many documents."""
+    lines = a.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", T.strip(F.col("l")).alias("line")).where(F.length("line") > 15)
+    return lines.groupBy("line").agg(F.count_distinct("doc_id").alias("df")).where(F.col("df") >= least)
+
+
+@query(f"WITH {ART}, {LINES} SELECT line, df FROM boiler")
+def boilerplate_mine(spark, sf):
+    return boilerplate(articles(spark, sf))
+
+
+@query(f"WITH {ART}, {LINES}, p AS (SELECT doc_id, pos, raw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM art)), k AS (SELECT * FROM p WHERE {STRIP.format('raw')} NOT IN (SELECT line FROM boiler)) SELECT a.doc_id, md5(coalesce(string_agg(k.raw, chr(10) ORDER BY pos), '')) AS text_md5 FROM art a LEFT JOIN k ON a.doc_id = k.doc_id GROUP BY a.doc_id")
+def boilerplate_strip(spark, sf):
+    """PR2 for a dictionary of any size: lines meet it in an anti join and are put together again in order."""
+    a = articles(spark, sf)
+    lines = a.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", T.strip(F.col("raw")))
+    kept = lines.join(boilerplate(a).select("line"), "line", "left_anti")
+    made = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda s: s["raw"]), "\n").alias("t"))
+    return a.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.md5(F.coalesce("t", F.lit(""))).alias("text_md5"))
+
+
+PHRASES = ("the ", "and", "ing", "e.\n", *BAD_PHRASES)
+
+
+def sql_phrases(c: str, phrases) -> str:
+    for p in phrases:
+        c = f"replace({c}, '{p.replace(chr(39), chr(39) * 2)}', '')" if "\n" not in p else f"replace({c}, 'e.' || chr(10), '')"
+    return c
+
+
+@query(f"WITH {ART} SELECT doc_id, md5({sql_phrases('text', PHRASES)}) AS text_md5 FROM art")
+def phrase_delete(spark, sf):
+    return articles(spark, sf).select("doc_id", F.md5(T.delete_phrases(F.col("text"), PHRASES)).alias("text_md5"))
+
+
+@query(f"WITH {ART}, c AS (SELECT id, {SQUEEZE.format(sql_phrases('title || chr(10) || text', BAD_PHRASES))} AS c FROM art) SELECT id, length(c) AS n_chars, md5(c) AS clean_md5 FROM c")
+def clean_text(spark, sf):
+    c = T.squeeze(T.delete_phrases(T.title_and_text(F.col("title"), F.col("text")), BAD_PHRASES))
+    return articles(spark, sf).select("id", c.alias("c")).select("id", F.length("c").cast("long").alias("n_chars"), F.md5("c").alias("clean_md5"))
+
+
+@query(f"WITH {TOKS} SELECT id, len(t) AS n, md5(array_to_string(t, ' ')) AS tokens_md5 FROM toks")
+def tokens_unigram(spark, sf):
+    a = articles(spark, sf).select("id", T.tokens(F.col("text")).alias("t"))
+    return a.select("id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("tokens_md5"))
+
+
+@query(f"WITH {TOKS}, s AS (SELECT id, CASE WHEN len(t) < 3 THEN t ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END AS s FROM toks) SELECT id, len(s) AS n, md5(array_to_string(s, '|')) AS shingles_md5 FROM s")
+def shingles_trigram(spark, sf):
+    a = articles(spark, sf).select("id", T.tokens(F.col("text")).alias("t")).select("id", T.trigrams(F.col("t")).alias("s"))
+    return a.select("id", F.size("s").cast("long").alias("n"), F.md5(F.array_join("s", "|")).alias("shingles_md5"))
+
+
+@query(f"WITH {ART} SELECT id, md5(lower({STRIP.format('text')})) AS text_hash FROM art")
+def text_hash(spark, sf):
+    return articles(spark, sf).select("id", T.text_hash(F.col("text")).alias("text_hash"))
+
+
+@query(f"WITH {ART}, r AS (SELECT id, text, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN title END AS t, CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 <> 1 THEN '2024-02-03' END AS d FROM art) SELECT id, CASE WHEN coalesce(t, '') <> '' THEN t WHEN left(split_part(text, '. ', 1), 100) <> '' THEN left(split_part(text, '. ', 1), 100) || '...' ELSE 'News Article' END AS title, coalesce(nullif(d, ''), '2024-01-01') AS published_at FROM r")
+def fill_title_date(spark, sf):
+    a = articles(spark, sf).withColumns({"t": F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("title")), "d": F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 != 1, "2024-02-03")})
+    return a.select("id", T.made_up_title(F.col("t"), F.col("text")).alias("title"), F.coalesce(F.nullif("d", F.lit("")), F.lit("2024-01-01")).alias("published_at"))
+
+
+@query(f"WITH {ART} SELECT id, CASE WHEN doc_id % 5 = 4 THEN NULL WHEN doc_id % 5 = 3 THEN epoch_us(published_at - INTERVAL 3 HOUR) ELSE epoch_us(published_at) END AS t_us FROM art")
+def parse_dates(spark, sf):
+    p, m = F.col("published_at"), F.col("doc_id") % 5
+    raw = F.when(m == 0, F.date_format(p, "yyyy-MM-dd'T'HH:mm:ss")).when(m == 1, F.date_format(p, "EEE, d MMM yyyy HH:mm:ss 'GMT'")).when(m == 2, F.date_format(p, "d MMM yyyy HH:mm:ss '+0000'")).when(m == 3, F.date_format(p, "yyyy-MM-dd'T'HH:mm:ss'+03:00'")).otherwise("soon")
+    return articles(spark, sf).select("id", F.unix_micros(T.flexible_date(raw)).alias("t_us"))
+
+
+@query(r"WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS source FROM pages) SELECT page_id, source, CASE WHEN contains(source, '.ru') OR contains(source, 'meduza') THEN 'ru' ELSE 'en' END AS lang FROM p")
+def url_source_lang(spark, sf):
+    host = T.netloc(F.col("url"))
+    return table(spark, sf, "pages").select("page_id", host.alias("source"), T.site_language(host).alias("lang"))
+
+
+@query()
+def html_extract(spark, sf):
+    return table(spark, sf, "pages").select("page_id", main_text(F.col("html")).alias("text"))
+
+
+# -- filters and exact copies
+
+MARKS6, MARKS3 = ("###", "%%%", "!!", "http", "Licensed", " | "), ("###", "%%%", "!!")
+no_marks = lambda marks: " AND ".join(f"NOT contains(text, '{m}')" for m in marks)
+
+
+@query(f"WITH {ART} SELECT id FROM art WHERE {no_marks(MARKS6)}")
+def broken_filter(spark, sf):
+    return ingest.not_broken(articles(spark, sf), markers=MARKS6).select("id")
+
+
+@query(f"WITH {ART} SELECT id FROM art WHERE {no_marks(MARKS3)}")
+def broken_filter_short(spark, sf):
+    return ingest.not_broken(articles(spark, sf), markers=MARKS3).select("id")
+
+
+@query(f"WITH {ART} SELECT id FROM art WHERE length({STRIP.format('text')}) >= 400")
+def min_length(spark, sf):
+    return ingest.long_enough(articles(spark, sf), least=400).select("id")
+
+
+@query(f"WITH {ART} SELECT id FROM art WHERE source IS DISTINCT FROM 'src3' OR source IS NULL")
+def drop_synthetic(spark, sf):
+    a = articles(spark, sf).withColumn("source", F.when(F.col("source") == "src3", "Synthetic").otherwise(F.col("source")))
+    return ingest.not_synthetic(a).select("id")
+
+
+@query(f"WITH {ART} SELECT min(doc_id) AS doc_id FROM art GROUP BY {KEY}")
+def dedup_exact_keep_first(spark, sf):
+    return ingest.keep_first(articles(spark, sf), T.noise_key(F.col("text")), "doc_id").select("doc_id")
+
+
+TC = f"tc AS (SELECT *, {KEY} AS k, CASE WHEN doc_id % 4 = 0 THEN doc_id + 7 WHEN doc_id % 4 = 1 THEN 0 END AS tcid FROM art)"
+
+
+def with_labels(spark, sf):
+    return articles(spark, sf).withColumn("true_cluster_id", F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") + 7).when(F.col("doc_id") % 4 == 1, F.lit(0)))
+
+
+@query(f"WITH {ART}, {TC} SELECT doc_id, CASE WHEN length(k) > 50 THEN first_value(coalesce(nullif(tcid, 0), doc_id)) OVER (PARTITION BY k ORDER BY doc_id) ELSE tcid END AS true_cluster_id FROM tc")
+def dedup_merge_labels(spark, sf):
+    return ingest.merge_labels(with_labels(spark, sf), T.noise_key(F.col("text")), "doc_id").select("doc_id", "true_cluster_id")
+
+
+@query(f"WITH {ART}, {TC} SELECT doc_id, CASE WHEN row_number() OVER w = 1 THEN tcid ELSE first_value(tcid) OVER w END AS true_cluster_id FROM tc WINDOW w AS (PARTITION BY k ORDER BY doc_id)")
+def dedup_merge_later(spark, sf):
+    return ingest.merge_later(with_labels(spark, sf), T.noise_key(F.col("text")), "doc_id").select("doc_id", "true_cluster_id")
+
+
+@query(f"WITH {ART}, h AS (SELECT doc_id, md5(lower({STRIP.format('text')})) AS text_hash FROM art), f AS (SELECT text_hash, min(doc_id) AS doc_id FROM h GROUP BY text_hash) SELECT doc_id, text_hash, 1000 + row_number() OVER (ORDER BY doc_id) AS new_id FROM f")
+def dedup_ingest_hash(spark, sf):
+    h = T.text_hash(F.col("text"))
+    return ingest.dense_ids(ingest.keep_first(articles(spark, sf), h, "doc_id").select("doc_id", h.alias("text_hash")), "doc_id", 1000)
+
+
+@query("SELECT p.page_id, p.url FROM pages p WHERE p.url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0 AND url IS NOT NULL)")
+def incremental_anti(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", "url")
+    return ingest.unseen(p, p.where("page_id % 3 = 0"), "url")
+
+
+# -- sketches
+
+H = "CAST('0x' || substr(md5(w), 1, 8) AS BIGINT)"
+
+
+def sql_sig(n: int) -> str:
+    mins = ", ".join(f"min(({a}::BIGINT * h + {b}) % {sketch.PRIME})" for a, b in sketch.coefficients(n))
+    return WORDS + f", hs AS (SELECT id, {H} AS h FROM words), ms AS (SELECT id, [{mins}] AS sig FROM hs GROUP BY id), sigs AS (SELECT a.id, a.published_at, coalesce(sig, list_transform(range({n}), lambda x: {sketch.PRIME}::BIGINT)) AS sig FROM art a LEFT JOIN ms ON a.id = ms.id)"
+
+
+def signed(spark, sf) -> DataFrame:
+    a = articles(spark, sf)
+    return a.select("id", "published_at").join(sketch.signatures(a, "id", T.tokens(F.col("text"))), "id")
+
+
+@query(f"WITH {sql_sig(128)} SELECT id, md5(array_to_string(sig, ',')) AS sig_md5 FROM sigs")
+def minhash_signature(spark, sf):
+    return signed(spark, sf).select("id", F.md5(F.array_join("sig", ",")).alias("sig_md5"))
+
+
+@query(f"WITH {sql_sig(128)} SELECT first_value(id) OVER (PARTITION BY sig ORDER BY published_at, id) AS rep_id, id AS member_id FROM sigs")
+def minhash_groups(spark, sf):
+    return sketch.signature_groups(stage(signed(spark, sf), "signed"), "id", "published_at")
+
+
+BANDS = ", bands AS (SELECT id, b, array_to_string(sig[b * 4 + 1 : b * 4 + 4], ',') AS k FROM sigs, range(32) AS r(b)), cand AS (SELECT DISTINCT x.id AS id_a, y.id AS id_b FROM bands x JOIN bands y ON x.b = y.b AND x.k = y.k AND x.id < y.id)"
+
+
+@query(f"WITH {sql_sig(128)}{BANDS} SELECT id_a, id_b FROM cand")
+def lsh_candidates(spark, sf):
+    return sketch.band_candidates(stage(signed(spark, sf), "signed"), "id")
+
+
+EST = "len(list_filter(range(1, 129), lambda i: {}[i] = {}[i])) / 128.0"
+
+
+@query(f"WITH {sql_sig(128)}{BANDS} SELECT id_a, id_b, {EST.format('x.sig', 'y.sig')} AS jac FROM cand JOIN sigs x ON x.id = id_a JOIN sigs y ON y.id = id_b WHERE {EST.format('x.sig', 'y.sig')} >= 0.7")
+def minhash_jaccard_pairs(spark, sf):
+    s = stage(signed(spark, sf), "signed")
+    pairs = sketch.band_candidates(s, "id").join(s.select(F.col("id").alias("id_a"), F.col("sig").alias("sa")), "id_a").join(s.select(F.col("id").alias("id_b"), F.col("sig").alias("sb")), "id_b")
+    return pairs.select("id_a", "id_b", sketch.estimate(F.col("sa"), F.col("sb")).alias("jac")).where("jac >= 0.7")
+
+
+@query(f"WITH {WORDS}, n AS (SELECT id, count(*) AS n FROM words GROUP BY id), b AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM words x JOIN words y ON x.w = y.w AND x.id < y.id GROUP BY ALL) SELECT id_a, id_b, round(c / (p.n + q.n - c), 6) AS jaccard FROM b JOIN n p ON p.id = id_a JOIN n q ON q.id = id_b WHERE c / (p.n + q.n - c) >= 0.7")
+def exact_jaccard_pairs(spark, sf):
+    a = articles(spark, sf).select("id", T.tokens(F.col("text")).alias("t"))
+    return sketch.jaccard_pairs(a, "id", "t", 0.7).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
+
+
+# -- windows and vectors
+
+
+@query("SELECT a.user_id, a.event_id AS id_a, b.event_id AS id_b FROM events a JOIN events b ON a.user_id = b.user_id AND (b.ts > a.ts OR (b.ts = a.ts AND b.event_id > a.event_id)) AND b.ts < a.ts + INTERVAL 3 DAY")
+def band_join_events(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "ts", "user_id")
+    return windowed.band_join(e, "event_id", "ts", 2, by=("user_id",)).select("user_id", F.col("event_id_a").alias("id_a"), F.col("event_id_b").alias("id_b"))
+
+
+@query("SELECT a.user_id, a.event_id, count(b.event_id) AS n_after FROM events a LEFT JOIN events b ON a.user_id = b.user_id AND (b.ts > a.ts OR (b.ts = a.ts AND b.event_id > a.event_id)) AND b.ts < a.ts + INTERVAL 3 DAY GROUP BY ALL")
+def window_neighbour_count(spark, sf):
+    return windowed.neighbours(table(spark, sf, "events").select("event_id", "ts", "user_id"), "event_id", "ts", 2, "user_id")
+
+
+def timed_vectors(spark, sf) -> DataFrame:
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (F.col("vec_id") * 7919 % 43200) * 60_000_000)
+    return table(spark, sf, "embeddings").where("embedding is not null").select("vec_id", at.alias("t"), F.col("embedding").alias("v"))
+
+
+VEC = "vec AS (SELECT vec_id, TIMESTAMP '2024-01-01' + ((vec_id * 7919) % 43200) * INTERVAL 1 MINUTE AS t, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL)"
+
+
+@query(f"WITH {VEC} SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_dot_product(a.v, b.v), 5) AS cos FROM vec a JOIN vec b ON (b.t > a.t OR (b.t = a.t AND b.vec_id > a.vec_id)) AND b.t < a.t + INTERVAL 3 DAY WHERE list_dot_product(a.v, b.v) >= 0.3")
+def window_cosine_pairs(spark, sf):
+    p = windowed.band_join(timed_vectors(spark, sf), "vec_id", "t", 2, ("v",)).withColumn("cos", windowed.dot(F.col("v_a"), F.col("v_b"))).where("cos >= 0.3")
+    return p.select(F.col("vec_id_a").alias("id_a"), F.col("vec_id_b").alias("id_b"), F.round("cos", 5).alias("cos"))
+
+
+@query(f"WITH {VEC} SELECT vec_id, round(sqrt(list_dot_product(v, v)), 5) AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 5) AS first FROM vec")
+def l2_normalise(spark, sf):
+    v = timed_vectors(spark, sf)
+    return v.select("vec_id", F.round(F.sqrt(windowed.dot(F.col("v"), F.col("v"))), 5).alias("norm"), F.round(windowed.normalised(F.col("v"))[0], 5).alias("first"))
+
+
+CELLS = ", cells AS (SELECT id, (h >> 1) % 256 AS i, sum(CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END) AS s FROM (SELECT id, " + H + " AS h FROM (SELECT id, unnest(t) AS w FROM toks)) GROUP BY ALL), norms AS (SELECT id, sqrt(sum(s * s)) AS z FROM cells GROUP BY id HAVING sum(s * s) > 0)"
+
+
+@query(f"WITH {TOKS}{CELLS} SELECT cells.id, i::INT AS i, round(s / z, 6) AS x FROM cells JOIN norms ON cells.id = norms.id WHERE s <> 0")
+def hashed_embedding(spark, sf):
+    v = windowed.hashed_vectors(articles(spark, sf), "id", T.tokens(F.col("text")))
+    return v.select("id", F.posexplode("v").alias("i", "x")).where("x <> 0").select("id", "i", F.round("x", 6).alias("x"))
+
+
+COS = ", cosines AS (SELECT a.id AS id_a, b.id AS id_b, sum(a.s * b.s) / (any_value(p.z) * any_value(q.z)) AS cos FROM cells a JOIN cells b ON a.i = b.i JOIN norms p ON p.id = a.id JOIN norms q ON q.id = b.id JOIN art x ON x.id = a.id JOIN art y ON y.id = b.id WHERE (y.published_at > x.published_at OR (y.published_at = x.published_at AND b.id > a.id)) AND y.published_at < x.published_at + INTERVAL 3 DAY GROUP BY a.id, b.id)"
+JAC = f"WITH {sql_sig(128)}{CELLS}{COS}, veto AS (SELECT id_a, id_b, cos, {EST.format('x.sig', 'y.sig')} AS jac FROM cosines JOIN sigs x ON x.id = id_a JOIN sigs y ON y.id = id_b WHERE cos >= 0.9)"
+
+
+def vetoed(spark, sf, jac: float = 0.7) -> DataFrame:
+    a = articles(spark, sf)
+    rows = stage(signed(spark, sf).join(windowed.hashed_vectors(a, "id", T.tokens(F.col("text"))), "id"), "vectors")
+    p = windowed.band_join(rows, "id", "published_at", 2, ("v", "sig")).withColumn("cos", windowed.dot(F.col("v_a"), F.col("v_b"))).where("cos >= 0.9")
+    return p.select("id_a", "id_b", "cos", sketch.estimate(F.col("sig_a"), F.col("sig_b")).alias("jac")).where(F.col("jac") >= jac)
+
+
+@query(f"{JAC} SELECT id_a, id_b, round(cos, 6) AS cos, jac FROM veto WHERE jac >= 0.7")
+def window_cosine_veto(spark, sf):
+    return vetoed(spark, sf).select("id_a", "id_b", F.round("cos", 6).alias("cos"), "jac")
+
+
+@query(f"{JAC}, grid AS (SELECT c, j FROM (VALUES (0.9), (0.95), (0.97)) AS g(c), (VALUES (0.0), (0.5), (0.7), (0.9)) AS k(j)) SELECT c::DOUBLE AS min_cos, j::DOUBLE AS min_jac, count(id_a) AS n_pairs FROM grid LEFT JOIN veto ON cos >= c AND jac >= j GROUP BY ALL")
+def threshold_sweep(spark, sf):
+    """VE3: candidates once, at the lowest thresholds; each counts for the grid points it passes."""
+    grid = [(c, j) for c in (0.9, 0.95, 0.97) for j in (0.0, 0.5, 0.7, 0.9)]
+    counts = vetoed(spark, sf, 0.0).agg(*[F.count_if((F.col("cos") >= c) & (F.col("jac") >= j)).alias(f"g{i}") for i, (c, j) in enumerate(grid)])
+    points = F.array(*[F.struct(F.lit(c).alias("min_cos"), F.lit(j).alias("min_jac"), F.col(f"g{i}").alias("n_pairs")) for i, (c, j) in enumerate(grid)])
+    return counts.select(F.explode(points).alias("p")).select("p.*")
+
+
+SHN = ", sh AS (SELECT id, unnest(CASE WHEN len(t) < 3 THEN t ELSE list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2]) END) AS s FROM (SELECT id, " + TOK.format("left(text, 2000)") + " AS t FROM art)), shd AS (SELECT DISTINCT id, s FROM sh), shc AS (SELECT id, count(*) AS n FROM shd GROUP BY id)"
+RERANK = f", link AS (SELECT id_a, id_b FROM veto WHERE jac >= 0.7), bothn AS (SELECT id_a, id_b, count(y.s) AS c FROM link JOIN shd x ON x.id = id_a LEFT JOIN shd y ON y.id = id_b AND y.s = x.s GROUP BY ALL), scored AS (SELECT id_a, id_b, 1 / (1 + exp(-10 * (c / (p.n + q.n - c) - 0.5))) AS score FROM bothn JOIN shc p ON p.id = id_a JOIN shc q ON q.id = id_b)"
+
+
+@query(f"{JAC}{SHN}{RERANK} SELECT id_a, id_b, round(score, 6) AS score FROM scored WHERE score >= 0.8")
+def rerank_sigmoid_filter(spark, sf):
+    p, t = vetoed(spark, sf).select("id_a", "id_b"), articles(spark, sf).select("id", F.substring("text", 1, 2000).alias("t"))
+    p = p.join(t.select(F.col("id").alias("id_a"), F.col("t").alias("ta")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("t").alias("tb")), "id_b")
+    return p.select("id_a", "id_b", T.sigmoid(trigram_logit(F.col("ta"), F.col("tb"))).alias("score")).where("score >= 0.8").select("id_a", "id_b", F.round("score", 6).alias("score"))
+
+
+# -- graphs and clusters, on links of equal exact keys and shared bands
+
+LINKS = f"WITH RECURSIVE {sql_sig(128)}{BANDS}, links AS (SELECT id_a, id_b FROM cand JOIN sigs x ON x.id = id_a JOIN sigs y ON y.id = id_b WHERE {EST.format('x.sig', 'y.sig')} >= 0.7), both_ways AS (SELECT id_a AS a, id_b AS b FROM links UNION SELECT id_b, id_a FROM links), reach AS (SELECT id, id AS r FROM art UNION SELECT reach.id, b FROM reach JOIN both_ways ON r = a), comp AS (SELECT id, min(r) AS cluster_id FROM reach GROUP BY id)"
+LABELLED = f", keyed AS (SELECT *, {KEY} AS k FROM art), lab AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY k) > 1 THEN CAST(min(doc_id) OVER (PARTITION BY k) AS VARCHAR) END AS label FROM keyed)"
+
+
+def components(spark, sf) -> DataFrame:
+    parts = graph.connected_components(minhash_jaccard_pairs(spark, sf), "id_a", "id_b")
+    return stage(articles(spark, sf).select("id").join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("cluster_id")), "components")
+
+
+@query(f"{LINKS} SELECT id, cluster_id FROM comp")
+def connected_components(spark, sf):
+    return components(spark, sf)
+
+
+@query()
+def louvain_clusters(spark, sf):
+    return graph.louvain(articles(spark, sf), minhash_jaccard_pairs(spark, sf).withColumnRenamed("jac", "score"))
+
+
+@query(f"WITH {sql_sig(128)}, g AS (SELECT first_value(id) OVER (PARTITION BY sig ORDER BY published_at, id) AS rep_id, id FROM sigs) SELECT id, rep_id AS cluster_id FROM g")
+def restore_hidden(spark, sf):
+    groups = stage(minhash_groups(spark, sf), "groups")
+    return clusters.restore(groups.select(F.col("rep_id").alias("id"), F.col("rep_id").alias("cluster_id")).distinct(), groups)
+
+
+@query(f"{LINKS} SELECT cluster_id, arg_min(art.id, (published_at, art.id)) AS canonical_id FROM comp JOIN art ON art.id = comp.id GROUP BY cluster_id")
+def canonical_articles(spark, sf):
+    return clusters.canonical(components(spark, sf), articles(spark, sf))
+
+
+CLUSTERS = f"{LINKS}, cl AS (SELECT cluster_id, arg_min(art.id, (published_at, art.id)) AS canonical_news_id, string_agg(art.id, ',' ORDER BY art.id) AS news_ids, count(*) AS n FROM comp JOIN art ON art.id = comp.id GROUP BY cluster_id)"
+
+
+@query(f"{CLUSTERS} SELECT cluster_id, canonical_news_id, news_ids FROM cl")
+def cluster_output(spark, sf):
+    return clusters.cluster_rows(components(spark, sf), articles(spark, sf)).withColumn("news_ids", F.array_join("news_ids", ","))
+
+
+@query(f"{CLUSTERS} SELECT cluster_id, n FROM cl ORDER BY n DESC, cluster_id LIMIT 5")
+def top_clusters(spark, sf):
+    return components(spark, sf).groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster_id").limit(5)
+
+
+PM = "prd AS (SELECT x.id AS a, y.id AS b FROM comp x JOIN comp y ON x.cluster_id = y.cluster_id AND x.id < y.id), tru AS (SELECT x.id AS a, y.id AS b FROM lab x JOIN lab y ON x.label = y.label AND x.id < y.id)"
+PRF = "CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS precision, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS recall, CASE WHEN 2 * tp + fp + fn = 0 THEN 0 ELSE 2 * tp / (2 * tp + fp + fn) END AS f1"
+RND = "round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1"
+
+
+@query(f"{LINKS}{LABELLED}, {PM}, m AS (SELECT (SELECT count(*) FROM prd JOIN tru USING (a, b)) AS tp, (SELECT count(*) FROM prd) AS np, (SELECT count(*) FROM tru) AS nt), s AS (SELECT tp, np - tp AS fp, nt - tp AS fn FROM m), z AS (SELECT tp, fp, fn, {PRF} FROM s) SELECT tp, fp, fn, {RND} FROM z")
+def pair_metrics(spark, sf):
+    m = clusters.pair_metrics(components(spark, sf), labelled(articles(spark, sf)))
+    return m.select("tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"{LINKS}{LABELLED}, {PM} SELECT a AS id_a, b AS id_b FROM prd EXCEPT SELECT a, b FROM tru")
+def fp_pairs(spark, sf):
+    p = clusters.pairs_within(components(spark, sf), "cluster_id")
+    return p.subtract(clusters.pairs_within(labelled(articles(spark, sf)).where("label is not null"), "label"))
+
+
+@query(f"{LINKS}{LABELLED}, {PM} SELECT a AS id_a, b AS id_b FROM tru EXCEPT SELECT a, b FROM prd")
+def fn_pairs(spark, sf):
+    p = clusters.pairs_within(components(spark, sf), "cluster_id")
+    return clusters.pairs_within(labelled(articles(spark, sf)).where("label is not null"), "label").subtract(p)
+
+
+@query(f"{LINKS}{LABELLED}, c AS (SELECT label, cluster_id, count(*) AS n FROM lab JOIN comp ON lab.id = comp.id WHERE label IS NOT NULL GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS n FROM c), a AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT sum(n) AS n FROM c GROUP BY label)), b AS (SELECT sum(n * (n - 1) / 2) AS b FROM (SELECT sum(n) AS n FROM c GROUP BY cluster_id)) SELECT round(coalesce((s - a * b / (n * (n - 1) / 2)) / nullif((a + b) / 2 - a * b / (n * (n - 1) / 2), 0), 1), 6) AS ari FROM s, a, b")
+def ari(spark, sf):
+    return clusters.adjusted_rand(components(spark, sf), labelled(articles(spark, sf))).select(F.round("ari", 6).alias("ari"))
+
+
+@query(f"WITH c AS (SELECT count(*) AS processed, count(*) FILTER (quality = 1 AND toxic = 1) AS tp, count(*) FILTER (quality = 1 AND toxic = 0) AS fp, count(*) FILTER (quality = 0 AND toxic = 1) AS fn, count(*) FILTER (quality = 0 AND toxic = 0) AS tn FROM labels WHERE toxic IS NOT NULL), z AS (SELECT *, {PRF} FROM c) SELECT processed, tp, fp, fn, tn, {RND} FROM z")
+def confusion_metrics(spark, sf):
+    m = clusters.confusion(table(spark, sf, "labels"), "quality", "toxic")
+    return m.select("processed", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+# -- synthetic copies, samples, replies, inspection
+
+RAND = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
+
+
+@query(rf"WITH {ART}, s AS (SELECT id, text, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p, string_split(text, ' ') AS w FROM art), x AS (SELECT id, string_agg(part, ' ' ORDER BY md5('42|' || id || '|' || (i - 1)), i) AS shuffled FROM (SELECT id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM s) GROUP BY id) SELECT s.id, md5(CASE WHEN text = '' THEN text WHEN len(p) > 1 THEN shuffled WHEN len(w) > 3 THEN array_to_string(list_concat(w[1 : {RAND.format("'42|' || s.id")} % len(w)], w[{RAND.format("'42|' || s.id")} % len(w) + 2 :]), ' ') ELSE text END) AS text_md5 FROM s JOIN x ON s.id = x.id")
+def synth_mutate(spark, sf):
+    return articles(spark, sf).select("id", F.md5(T.mutate(F.col("text"), F.col("id"))).alias("text_md5"))
+
+
+@query(f"WITH {ART} SELECT id, CAST(doc_id + 1000000 AS VARCHAR) AS new_id, 'Synthetic' AS source, id AS true_cluster_id, epoch_us(published_at) + (3600 + {RAND.format(chr(39) + 't|' + chr(39) + ' || id')} % 39601) * 1000000 AS t_us FROM art")
+def synth_ids_dates(spark, sf):
+    secs = 3600 + F.pmod(T.draw(F.lit("t"), F.col("id")), F.lit(39601))
+    return articles(spark, sf).select("id", T.copy_id(F.col("id")).alias("new_id"), F.lit("Synthetic").alias("source"), F.col("id").alias("true_cluster_id"), (F.unix_micros("published_at") + secs * 1_000_000).alias("t_us"))
+
+
+@query(f"{LINKS}, prs AS (SELECT x.id AS a, y.id AS b FROM comp x JOIN comp y ON x.cluster_id = y.cluster_id AND x.id < y.id), o AS (SELECT a, b, md5('42|' || a || '|' || b) AS o FROM prs ORDER BY o LIMIT 500) SELECT row_number() OVER (ORDER BY o) - 1 AS pair_id, a AS news_id_a, b AS news_id_b, 1 AS algorithmic_label FROM o")
+def expert_pairs_positive(spark, sf):
+    """SA2: a seeded sample of 500; the sampled rows alone are numbered."""
+    p = clusters.pairs_within(components(spark, sf), "cluster_id").withColumn("o", F.md5(F.concat_ws("|", F.lit("42"), "id_a", "id_b"))).orderBy("o").limit(500)
+    return p.select((F.row_number().over(W.orderBy("o")) - 1).cast("long").alias("pair_id"), F.col("id_a").alias("news_id_a"), F.col("id_b").alias("news_id_b"), F.lit(1).alias("algorithmic_label"))
+
+
+@query(f"{LINKS}, r AS (SELECT doc_id, art.id, cluster_id, {RAND.format(chr(39) + 'n|' + chr(39) + ' || art.id')} % (SELECT count(*) FROM art) AS other FROM art JOIN comp ON art.id = comp.id), q AS (SELECT r.id AS a, o.id AS b FROM r JOIN r o ON o.doc_id = r.other WHERE o.cluster_id IS DISTINCT FROM r.cluster_id) SELECT a AS news_id_a, b AS news_id_b, 0 AS algorithmic_label FROM q ORDER BY md5('42|' || a || '|' || b) LIMIT 500")
+def expert_pairs_negative(spark, sf):
+    """JO8: each article draws one partner, refused if in the same cluster; a seeded sample of 500."""
+    a = articles(spark, sf).select("doc_id", "id").join(components(spark, sf), "id")
+    n = a.count()
+    r = a.withColumn("other", F.pmod(T.draw(F.lit("n"), F.col("id")), F.lit(n)))
+    o = a.select(F.col("doc_id").alias("other"), F.col("id").alias("b"), F.col("cluster_id").alias("cb"))
+    q = r.join(o, "other").where(~F.col("cluster_id").eqNullSafe(F.col("cb"))).orderBy(F.md5(F.concat_ws("|", F.lit("42"), "id", "b"))).limit(500)
+    return q.select(F.col("id").alias("news_id_a"), F.col("b").alias("news_id_b"), F.lit(0).alias("algorithmic_label"))
+
+
+REPLY = "CASE doc_id % 5 WHEN 0 THEN '[1, 0]' WHEN 1 THEN 'ok 1 then 0' WHEN 2 THEN 'none' WHEN 3 THEN 'x [0,1] y' END"
+
+
+@query(f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '1,0' WHEN 1 THEN '1,0' WHEN 3 THEN '0,1' ELSE '0,0' END AS labels FROM documents")
+def llm_reply_parse(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.array_join(T.reply_labels(F.expr(REPLY), F.lit(2)), ",").alias("labels"))
+
+
+@query(f"WITH {ART} SELECT doc_id // 10 AS batch, count(*) AS n, md5(string_agg('TITLE: ' || title || chr(10) || chr(10) || 'CONTENT:' || chr(10) || left(text, 1500), chr(10) ORDER BY doc_id)) AS prompt_md5 FROM art GROUP BY ALL")
+def llm_batch_prompts(spark, sf):
+    """PR28, SA4: ten to a prompt."""
+    a = articles(spark, sf).select("doc_id", F.floor(F.col("doc_id") / 10).alias("batch"), T.pair_text(F.col("title"), F.substring("text", 1, 1500)).alias("p"))
+    g = a.groupBy("batch").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "p"))).alias("ps"))
+    return g.select("batch", "n", F.md5(F.array_join(F.transform("ps", lambda s: s["p"]), "\n")).alias("prompt_md5"))
+
+
+@query(f"{CLUSTERS}, pick AS (SELECT cluster_id FROM cl WHERE n > 1 ORDER BY md5('42|' || cluster_id) LIMIT 5) SELECT comp.cluster_id, art.id, left(text, 200) AS snippet, strftime(published_at, '%Y-%m-%d') AS day FROM pick JOIN comp ON comp.cluster_id = pick.cluster_id JOIN art ON art.id = comp.id")
+def inspect_multi(spark, sf):
+    """SA1, FI10: five seeded clusters of several articles."""
+    c = components(spark, sf)
+    pick = c.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.md5(F.concat_ws("|", F.lit("42"), "cluster_id"))).limit(5)
+    a = articles(spark, sf).select("id", F.substring("text", 1, 200).alias("snippet"), F.date_format("published_at", "yyyy-MM-dd").alias("day"))
+    return c.join(F.broadcast(pick.select("cluster_id")), "cluster_id").join(a, "id").select("cluster_id", "id", "snippet", "day")
+
+
+@query(f"{CLUSTERS}, big AS (SELECT cluster_id FROM cl ORDER BY n DESC, cluster_id LIMIT 1) SELECT art.id, title FROM big JOIN comp ON comp.cluster_id = big.cluster_id JOIN art ON art.id = comp.id ORDER BY art.id LIMIT 20")
+def inspect_largest(spark, sf):
+    c = components(spark, sf)
+    big = c.groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster_id").limit(1)
+    return c.join(F.broadcast(big.select("cluster_id")), "cluster_id").join(articles(spark, sf).select("id", "title"), "id").select("id", "title").orderBy("id").limit(20)
+
+
+@query(f"{CLUSTERS}, nat AS (SELECT cluster_id, count(*) AS n FROM comp WHERE NOT (CAST(id AS BIGINT) >= 1000000 OR id LIKE '%_dup') GROUP BY cluster_id HAVING count(*) > 1) SELECT cluster_id, n FROM nat")
+def inspect_natural(spark, sf):
+    return components(spark, sf).where(T.is_original(F.col("id"))).groupBy("cluster_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query()
+def stage_metrics(spark, sf):
+    pipe, a = DedupPipeline(DedupConfig(threshold=0.9)), articles(spark, sf)
+    m = pipe.stage_metrics(pipe.run(a), labelled(a))
+    return m.select("stage", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "ari")])
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    return DedupPipeline(DedupConfig(threshold=0.9)).run(articles(spark, sf))["clusters"]
+
+
+@query()
+def flagship_pipeline(spark, sf):
+    return flagship(spark, sf).withColumn("news_ids", F.array_join("news_ids", ","))
