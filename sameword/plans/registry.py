@@ -327,7 +327,7 @@ def hashed_embedding(spark, sf):
     return v.select("id", F.posexplode("v").alias("i", "x")).where("x <> 0").select("id", "i", F.round("x", 6).alias("x"))
 
 
-COS = ", cosines AS (SELECT a.id AS id_a, b.id AS id_b, sum(a.s * b.s) / (any_value(p.z) * any_value(q.z)) AS cos FROM cells a JOIN cells b ON a.i = b.i JOIN norms p ON p.id = a.id JOIN norms q ON q.id = b.id JOIN art x ON x.id = a.id JOIN art y ON y.id = b.id WHERE (y.published_at > x.published_at OR (y.published_at = x.published_at AND b.id > a.id)) AND y.published_at < x.published_at + INTERVAL 3 DAY GROUP BY a.id, b.id)"
+COS = ", vecs AS MATERIALIZED (SELECT n.id, list(coalesce(c.s, 0)::DOUBLE ORDER BY r.i) AS v, any_value(n.z) AS z FROM norms n CROSS JOIN range(256) AS r(i) LEFT JOIN cells c ON c.id = n.id AND c.i = r.i GROUP BY n.id), placed AS MATERIALIZED (SELECT vecs.*, published_at AS t FROM vecs JOIN art ON art.id = vecs.id), cosines AS MATERIALIZED (SELECT a.id AS id_a, b.id AS id_b, list_dot_product(a.v, b.v) / (a.z * b.z) AS cos FROM placed a JOIN placed b ON (b.t > a.t OR (b.t = a.t AND b.id > a.id)) AND b.t < a.t + INTERVAL 3 DAY)"
 JAC = f"WITH {sql_sig(128)}{CELLS}{COS}, veto AS (SELECT id_a, id_b, cos, {EST.format('x.sig', 'y.sig')} AS jac FROM cosines JOIN sigs x ON x.id = id_a JOIN sigs y ON y.id = id_b WHERE cos >= 0.9)"
 
 
