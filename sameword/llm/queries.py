@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from sameword.llm import bpe, chat, exact_dedup, mixing, ngram_join, quality
+from sameword.llm import bpe, chat, exact_dedup, hnsw, interpolation, licenses, mixing, ngram_join, quality, substrings
 
 QUERIES = {
+    "op1_hnsw": hnsw.op1_hnsw,
     "op2_chat": chat.op2_chat,
+    "op3_interpolation": interpolation.op3_interpolation,
+    "op4_licenses": licenses.op4_licenses,
     "op5_bpe": bpe.op5_bpe,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op7_substrings": substrings.op7_substrings,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
