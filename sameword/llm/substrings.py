@@ -30,6 +30,8 @@ from sameword.shared import stage
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
 SHARD_ANCHORS = 2_000_000
+#: Surroundings whose suffixes a task sorts: about 100 times as many bytes of memory.
+SHARD_BYTES = 1_500_000
 P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -134,10 +136,10 @@ def suffix_ranks(flat: np.ndarray, room: np.ndarray) -> np.ndarray:
     return rank
 
 
-def shard_spans(pieces: list[bytes], ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """id, start, end of runs to remove, from surroundings of anchors: piece k stands in text ids[k] at starts[k]."""
+def shard_spans(pieces: list[bytes], which: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """id, start, end of runs to remove, from surroundings of anchors: piece which[k] stands in text ids[k] at starts[k]."""
     known: dict[bytes, int] = {}
-    which = np.array([known.setdefault(p, len(known)) for p in pieces], np.int64)
+    which = np.array([known.setdefault(p, len(known)) for p in pieces], np.int64)[which]
     sizes = np.array([len(p) for p in known], np.int64)
     ends = np.cumsum(sizes)
     first = np.full(len(sizes), np.iinfo(np.int64).max)
@@ -172,24 +174,29 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def repeated_spans(texts: DataFrame, total_bytes: int) -> DataFrame:
     """id, starts, ends: int32 runs, not yet merged."""
     shards = max(1, round(total_bytes / 18 / SHARD_ANCHORS))
-    live = stage(live_anchors(texts, shards), "sub-live").groupBy("id").agg(F.collect_list("places").alias("places"))
-    live = stage(live, "sub-places")
+    found = stage(live_anchors(texts, shards), "sub-live")
+    there = (found.agg(F.sum(F.octet_length("places"))).first()[0] or 0) // 4
+    parts_of_live = max(1, -(-there * (LENGTH + REACH) // SHARD_BYTES))
+    live = stage(found.groupBy("id").agg(F.collect_list("places").alias("places")), "sub-places")
     met = maybe_in(texts, live, "id").join(live.hint("merge"), "id").select("id", "text", "places")
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[int, list] = {}
+        out: dict[int, dict[bytes, list]] = {}
         held = 0
 
         def flush():
-            rows = [(k, b"".join(x[0] for x in v), np.array([len(x[0]) for x in v], np.uint8).tobytes(), np.array([x[1] for x in v], np.int64).tobytes(), np.array([x[2] for x in v], np.int64).tobytes()) for k, v in out.items()]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 5)], ["shard", "pieces", "lengths", "ids", "starts"])
+            rows = []
+            for k, v in out.items():
+                places = [x for found in v.values() for x in found]
+                rows.append((k, b"".join(v), np.array([len(x) for x in v], np.uint8).tobytes(), np.array([len(x) for x in v.values()], np.int32).tobytes(), np.array([x[0] for x in places], np.int64).tobytes(), np.array([x[1] for x in places], np.int32).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 6)], ["shard", "pieces", "lengths", "counts", "ids", "starts"])
 
         for part in parts:
             for i, text, places in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
                 for p in sorted({int(x) for blob in places for x in np.frombuffer(blob, np.int32)}):
                     low = max(0, p - REACH + 1)
-                    key = int.from_bytes(hashlib.blake2b(text[p : p + GRAM], digest_size=4).digest(), "little") % shards
-                    out.setdefault(key, []).append((text[low : p + LENGTH], i, low))
+                    key = int.from_bytes(hashlib.blake2b(text[p : p + GRAM], digest_size=4).digest(), "little") % parts_of_live
+                    out.setdefault(key, {}).setdefault(text[low : p + LENGTH], []).append((i, low))
                     held += 1
                 if held > 200_000:
                     yield flush()
@@ -203,15 +210,16 @@ def repeated_spans(texts: DataFrame, total_bytes: int) -> DataFrame:
         flat, lengths = b"".join(t["pieces"]), np.frombuffer(b"".join(t["lengths"]), np.uint8)
         ends = np.cumsum(lengths.astype(np.int64))
         pieces = [flat[a:z] for a, z in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
-        ids, starts = np.frombuffer(b"".join(t["ids"]), np.int64), np.frombuffer(b"".join(t["starts"]), np.int64)
-        i, a, z = shard_spans(pieces, ids, starts)
+        which = np.repeat(np.arange(len(pieces)), np.frombuffer(b"".join(t["counts"]), np.int32))
+        ids, starts = np.frombuffer(b"".join(t["ids"]), np.int64), np.frombuffer(b"".join(t["starts"]), np.int32).astype(np.int64)
+        i, a, z = shard_spans(pieces, which, ids, starts)
         order = np.lexsort((a, i))
         i, a, z = i[order], a[order].astype(np.int32), z[order].astype(np.int32)
         who, begin = np.unique(i, return_index=True)
         cuts = [merged(x, y) for x, y in zip(np.split(a, begin[1:]), np.split(z, begin[1:]), strict=True)] if len(who) else []
         return pa.table({"id": pa.array(who, pa.int64()), "starts": pa.array([c[0].tobytes() for c in cuts], pa.binary()), "ends": pa.array([c[1].tobytes() for c in cuts], pa.binary())})
 
-    return met.mapInArrow(cut, "shard int, pieces binary, lengths binary, ids binary, starts binary").groupBy("shard").applyInArrow(meet, "id long, starts binary, ends binary")
+    return met.mapInArrow(cut, "shard int, pieces binary, lengths binary, counts binary, ids binary, starts binary").groupBy("shard").applyInArrow(meet, "id long, starts binary, ends binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
