@@ -184,7 +184,10 @@ def index(vectors: DataFrame, k: int, shard_size: int = SHARD) -> DataFrame:
     nodes = part.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, k + 1).alias("members"))
     nodes = stage(nodes.select(F.size("v").alias("dim"), F.col("members")[0].alias("id"), "members", "v"), "ann-nodes")
     shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_size).alias("shards"))
+    tasks = int(shards.agg(F.sum("shards")).first()[0] or 1)
     placed = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    # a shard takes seconds to build from little data: a fixed count keeps many of them from being put into one task
+    placed = placed.select("dim", "shard", "id", "members", "v").repartition(2 * tasks, "dim", "shard")
 
     def build(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("id").to_pylist(), table.column("members").to_pylist(), table.column("v").to_pylist(), strict=True), key=lambda r: r[0])
@@ -196,7 +199,7 @@ def index(vectors: DataFrame, k: int, shard_size: int = SHARD) -> DataFrame:
         g = Graph(unit(v)).flat()
         return pa.table({"dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "members": [members.tobytes()], "has": [has.tobytes()], "vectors": [v.tobytes()], **{n: [b] for n, b in g.items()}})
 
-    return placed.select("dim", "shard", "id", "members", "v").groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, members binary, has binary, vectors binary, nodes binary, near binary, sizes binary")
+    return placed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, members binary, has binary, vectors binary, nodes binary, near binary, sizes binary")
 
 
 def nearest(embeddings: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_size: int = SHARD, ef: int = EF) -> DataFrame:
