@@ -90,8 +90,8 @@ def mix_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents, columns unchanged, written in the order of the mix."""
     at = with_locator(docs)
-    order = stage(mix_order(at, **how).select("seq", FILE, ROW), "mix-order")
-    return at.join(order, [FILE, ROW]).repartitionByRange("seq", FILE, ROW).sortWithinPartitions("seq", FILE, ROW).select(*docs.columns)
+    order = stage(mix_order(at, **how).select(F.col("seq").alias("_mix_seq"), FILE, ROW), "mix-order")
+    return at.join(order, [FILE, ROW]).repartitionByRange("_mix_seq", FILE, ROW).sortWithinPartitions("_mix_seq", FILE, ROW).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
