@@ -92,13 +92,13 @@ class Scanner:
         for n, templates in self.scales.items():
             step = max(1, n // 4)
             width = n + step - 1
-            pad = np.concatenate([s, np.zeros(width, np.uint64)])  # windows at the end of the last text too
+            pad = np.full(width, np.iinfo(np.uint64).max)  # windows at the end of the last text too: no order has a greater value
             at = np.arange(0, len(s), step)
             hit = [np.zeros(len(at), bool) for _ in templates]
             for b in range(BANDS):
                 key = np.zeros(len(at), np.uint64)
                 for r in range(ROWS):
-                    key += slide(order(pad, b * ROWS + r), width)[at] * MIX[r]
+                    key += slide(np.concatenate([order(s, b * ROWS + r), pad]), width)[at] * MIX[r]
                 for h, (_, _, bands) in zip(hit, templates, strict=True):
                     h |= key == bands[b]
             near = step * 2

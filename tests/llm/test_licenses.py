@@ -1,7 +1,10 @@
 import random
 import re
 
-from sameword.llm.licenses import TEMPLATES, scan_licenses
+import numpy as np
+import pytest
+
+from sameword.llm.licenses import TEMPLATES, Scanner, scan_licenses
 
 
 def grams(text):
@@ -24,3 +27,17 @@ def test_planted_and_clean(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "'x' as license")
     assert {(x.id, x.license) for x in scan_licenses(docs).collect()} == want and len(want) >= 54
     assert scan_licenses(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("before", ["", "some other words stand here before it "])
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_template_ends_the_batch(name, before):
+    with np.errstate(over="ignore"):
+        got = {x[1]: x[2] for x in Scanner(TEMPLATES).scan([(before + TEMPLATES[name]).encode()])}
+    assert got[name] == 1.0
+
+
+def test_table_of_one_row(spark):
+    for name in ("mit", "gpl-3.0"):
+        got = scan_licenses(spark.createDataFrame([(1, TEMPLATES[name])], "doc_id long, text string")).collect()
+        assert (1, name, 1.0) in {(r.id, r.license, r.containment) for r in got}
