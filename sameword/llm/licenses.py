@@ -1,9 +1,11 @@
 """License scan: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
-For each template length, windows a quarter longer step over a text's five-word shingles, so that some window holds a
-whole copy and little else. A window's similarity to a template that it holds is then 0.75 at least (edge effects of
-integers aside, for which windows are rounded down), and BANDS bands of ROWS minima miss it with probability
-(1 - 0.75 ** ROWS) ** BANDS, under one in 500,000. Matches need CONTAINED of the template's shingles inside one window.
+For each template length n, windows a quarter longer step over a text's five-word shingles, so that some window holds
+every stretch of n shingles whole. If a stretch holds CONTAINED of the template's shingles, that window's similarity to
+the template is over 0.75 / 1.5 = 0.5, and BANDS bands of ROWS minima miss it with probability (1 - 0.5 ** ROWS) **
+BANDS at most, about 1 in 100 million. Windows without any of the template's shingles can't match, and their minima are
+not computed. Matches need CONTAINED of the template's shingles inside one window and half a window around it; a copy
+with so many words put in that no stretch of n shingles holds CONTAINED of them may be found, without that bound.
 
 Defined cases: a null or empty text, and one with fewer than five words, has no windows and no rows; texts of any length
 are scanned whole; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from sameword.llm.arrow import as_bytes, small_batches
 
-WORDS, BANDS, ROWS, CONTAINED = 5, 16, 2, 0.75
+WORDS, BANDS, ROWS, CONTAINED = 5, 64, 2, 0.75
 KEPT_WORDS = 400_000
+# Shingles of windows whose minima are computed at once.
+AT_ONCE = 1 << 16
 # License statements, and openings of public license texts.
 TEMPLATES = {
     "mit-line": "Released under the MIT License.",
@@ -58,15 +62,6 @@ def shingles(text: bytes, known: Words) -> np.ndarray:
     return (s ^ (s >> np.uint64(29))) * MIX[1]
 
 
-def slide(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of every w neighbours, by doubling."""
-    m, have = x, 1
-    while have < w:
-        step = min(have, w - have)
-        m, have = np.minimum(m[:-step], m[step:]), have + step
-    return m
-
-
 def order(s: np.ndarray, k: int) -> np.ndarray:
     h = s * SEEDS[k]
     return h ^ (h >> np.uint64(31))
@@ -80,7 +75,30 @@ class Scanner:
             if not len(s):
                 raise ValueError(f"the template {name} has fewer than {WORDS} words")
             bands = [sum((order(s, b * ROWS + r).min() * MIX[r] for r in range(ROWS)), np.uint64(0)) for b in range(BANDS)]
-            self.scales.setdefault(len(s), []).append((name, s, bands))
+            self.scales.setdefault(len(s), []).append((name, s, np.array(bands)))
+        #: For each length, which low 16 bits some template's shingles have.
+        self.low = {n: np.zeros(1 << 16, bool) for n in self.scales}
+        for n, given in self.scales.items():
+            for _, s, _ in given:
+                self.low[n][s & np.uint64(0xFFFF)] = True
+
+    def retrieve(self, s: np.ndarray, n: int, width: int, step: int) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        """Starts of windows that hold a shingle of some template of length n, and which of them share a band with each."""
+        own = np.flatnonzero(self.low[n][s & np.uint64(0xFFFF)])
+        own = own[np.isin(s[own], np.concatenate([t for _, t, _ in self.scales[n]]))]
+        at = np.arange(0, len(s), step)
+        at = at[np.searchsorted(own, at + width) > np.searchsorted(own, at)]
+        some = max(1, AT_ONCE // width)
+        for i in range(0, len(at), some):
+            part = at[i : i + some]
+            # a window that reaches past the last shingle has that one more than once, which leaves its minima as they are
+            held = s[np.minimum(part + np.arange(width)[:, None], len(s) - 1)]
+            hit = [np.zeros(len(part), bool) for _ in self.scales[n]]
+            for b in range(BANDS):
+                key = sum((order(held, b * ROWS + r).min(0) * MIX[r] for r in range(ROWS)), np.uint64(0))
+                for h, (_, _, bands) in zip(hit, self.scales[n], strict=True):
+                    h |= key == bands[b]
+            yield part, hit
 
     def scan(self, texts: list[bytes]) -> Iterator[tuple[int, str, float, int, int]]:
         """(text, template, containment, first shingle of the best window, windows that match)."""
@@ -92,30 +110,23 @@ class Scanner:
         for n, templates in self.scales.items():
             step = max(1, n // 4)
             width = n + step - 1
-            pad = np.full(width, np.iinfo(np.uint64).max)  # windows at the end of the last text too: no order has a greater value
-            at = np.arange(0, len(s), step)
-            hit = [np.zeros(len(at), bool) for _ in templates]
-            for b in range(BANDS):
-                key = np.zeros(len(at), np.uint64)
-                for r in range(ROWS):
-                    key += slide(np.concatenate([order(s, b * ROWS + r), pad]), width)[at] * MIX[r]
-                for h, (_, _, bands) in zip(hit, templates, strict=True):
-                    h |= key == bands[b]
             near = step * 2
-            for h, (name, t, _) in zip(hit, templates, strict=True):
-                best: dict[int, list] = {}
-                for start in at[h].tolist():
-                    # a window may reach over the border of two texts: each has its own part of it
-                    for doc in range(int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, min(start + width, len(s)) - 1, "right")) + 1):
-                        low, high = int(ends[doc] - sizes[doc]), int(ends[doc])
-                        a, z = max(low, start - near), min(high, start + width + near)
-                        share = len(np.intersect1d(t, s[a:z])) / n
-                        if share >= CONTAINED:
-                            now = best.setdefault(doc, [share, a - low, 0])
-                            now[2] += 1
-                            if share > now[0]:
-                                now[0], now[1] = share, a - low
-                for doc, (share, first, count) in best.items():
+            best: list[dict[int, list]] = [{} for _ in templates]
+            for at, hit in self.retrieve(s, n, width, step):
+                for h, (_, t, _), found in zip(hit, templates, best, strict=True):
+                    for start in at[h].tolist():
+                        # a window may reach over the border of two texts: each has its own part of it
+                        for doc in range(int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, min(start + width, len(s)) - 1, "right")) + 1):
+                            low, high = int(ends[doc] - sizes[doc]), int(ends[doc])
+                            a, z = max(low, start - near), min(high, start + width + near)
+                            share = len(np.intersect1d(t, s[a:z])) / n
+                            if share >= CONTAINED:
+                                now = found.setdefault(doc, [share, a - low, 0])
+                                now[2] += 1
+                                if share > now[0]:
+                                    now[0], now[1] = share, a - low
+            for (name, _, _), found in zip(templates, best, strict=True):
+                for doc, (share, first, count) in found.items():
                     yield doc, name, share, first, count
 
 

@@ -6,6 +6,9 @@ import pytest
 
 from sameword.llm.licenses import TEMPLATES, Scanner, scan_licenses
 
+# Of 12,000 seeds of edited(), the one whose copy 16 bands miss, scanned by itself.
+MISSED_BY_16_BANDS = {"mit": [4636]}
+
 
 def grams(text):
     w = re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
@@ -41,3 +44,21 @@ def test_table_of_one_row(spark):
     for name in ("mit", "gpl-3.0"):
         got = scan_licenses(spark.createDataFrame([(1, TEMPLATES[name])], "doc_id long, text string")).collect()
         assert (1, name, 1.0) in {(r.id, r.license, r.containment) for r in got}
+
+
+def edited(name, seed):
+    """A copy with words changed until any other change would leave less than 0.75 of its shingles, amid other words."""
+    r, words = random.Random(seed), re.sub(r"[^a-z0-9]+", " ", TEMPLATES[name].lower()).split()
+    whole, junk, now = set(grams(TEMPLATES[name])), lambda n: ["x%d" % r.randrange(10**9) for _ in range(n)], words
+    while len(whole & set(grams(" ".join(words)))) >= 0.75 * len(whole):
+        now, words = words, words[:]
+        words[r.randrange(len(words))] = "other%d" % r.randrange(10**9)
+    return " ".join([*junk(seed % 60), *now, *junk(80)]).encode()
+
+
+@pytest.mark.parametrize("name", TEMPLATES)
+def test_edited_copies_near_the_least_containment(name):
+    seeds = [*range(200), *MISSED_BY_16_BANDS.get(name, [])]
+    with np.errstate(over="ignore"):
+        scanner = Scanner(TEMPLATES)
+        assert [seed for seed in seeds if name not in {x[1] for x in scanner.scan([edited(name, seed)])}] == []
