@@ -24,8 +24,8 @@ from sameword.llm.arrow import flat_bytes, ragged, small_batches
 PASSAGE = 512
 #: At most so many labelled documents, of the smallest hashes, are fitted; every document is scored.
 SAMPLE = 6000
-#: Passages of one document that are fitted at most, spread evenly over it. Scoring reads all.
-FITTED_PASSAGES = 24
+#: Memory's bound: of these, documents are fitted whole in the order of their hashes until they have so many passages.
+MOST_PASSAGES = 1 << 18
 THRESHOLD = 0.3
 CLASSES = 14
 
@@ -97,7 +97,7 @@ class Model:
             for at in range(0, len(y), size):
                 docs = order[at : at + size]
                 c = counts[docs]
-                xs, f = x[ragged(first[docs], c)], np.cumsum(c) - c
+                xs, f = x[ragged(first[docs], c)].astype(np.float32), np.cumsum(c) - c
                 owner, h, t, g, a, z, q = self.forward(xs, f, c)
                 dq = (q - y[docs]) / len(docs)
                 dz = dq[:, None] * p["w"]
@@ -116,32 +116,34 @@ class Model:
         return self
 
 
-def spread(x: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    first, kept = np.cumsum(counts) - counts, np.minimum(counts, most)
-    k = ragged(np.zeros(len(kept), np.int64), kept)
-    return x[np.repeat(first, kept) + k * np.repeat(counts, kept) // np.repeat(kept, kept)], kept
-
-
 def training_fold(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string")) % 5 != 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model of the labelled training documents: those with the sample smallest hashes of their identifiers."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, most: int = MOST_PASSAGES) -> Model:
+    """A model of the labelled training documents: those with the sample smallest hashes of their identifiers, each with
+    all of its passages. The last ones are left out when those before them have `most` passages already."""
     small_batches(docs.sparkSession, 2)
     marked = labels.where(F.col(label_col).isNotNull() & training_fold(id_col)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("double").alias("_y"))
     few = marked.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(few), "_id").select("_id", "_y", "_text")
+    key, size = F.struct(F.xxhash64("_id"), "_id", "_y"), F.greatest(F.lit(1), F.ceil(F.octet_length(F.col("_text").cast("string")) / PASSAGE))
+    sizes = sorted((tuple(r.k), r.n) for r in texts.select(key.alias("k"), size.alias("n")).collect())
+    before = np.cumsum([0, *(n for _, n in sizes)])
+    if before[-1] > most:
+        last = sizes[max(0, int(np.searchsorted(before, most)) - 1)][0]
+        kinds = ("bigint", texts.schema["_id"].dataType, "double")
+        texts = texts.where(key <= F.struct(*[F.lit(x).cast(kind) for x, kind in zip(last, kinds, strict=True)]))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            x, counts = spread(*passages(*flat_bytes(part.column(2))), FITTED_PASSAGES)
+            x, counts = passages(*flat_bytes(part.column(2)))
             cut = np.cumsum(counts)[:-1]
             blobs = [b.astype(np.float16).tobytes() for b in np.split(x, cut)]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1), pa.array(blobs, pa.binary())], ["id", "y", "x"])
 
     rows = sorted(texts.mapInArrow(run, "id long, y double, x binary").collect(), key=lambda r: (r.id, r.y))
-    xs = [np.frombuffer(r.x, np.float16).reshape(-1, WIDTH).astype(np.float32) for r in rows]
+    xs = [np.frombuffer(r.x, np.float16).reshape(-1, WIDTH) for r in rows]
     return Model().fit(np.concatenate(xs) if xs else np.zeros((0, WIDTH)), np.array([len(x) for x in xs], np.int64), np.array([r.y for r in rows]))
 
 

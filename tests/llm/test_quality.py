@@ -37,3 +37,18 @@ def test_held_out_accuracy(spark):
     got = op9_quality(spark, "/root/testdata/sf0.01").where("held_out")
     seen = got.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").selectExpr("avg(cast(predicted = quality as double)) a", "count(*) n").first()
     assert seen.n > 30 and seen.a > 0.9
+
+
+def test_fits_all_passages_of_long_texts(spark):
+    """What makes a label stands in 6 of 48 passages, and never in one with an even number."""
+    words = "plain words in a sentence that ends after some more of them".split()
+    r = np.random.default_rng(5)
+    plain = lambda: (" ".join(r.choice(words, 150)) + ".")[:PASSAGE]
+    rows = [(i, "".join("$# 0|<> " * (PASSAGE // 8) if i % 2 == 0 and k % 8 == 1 else plain() for k in range(48))) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    got = score(docs, fit(docs, labels)).collect()
+    assert all((x.score > 0.5) == bool(x.doc_id % 2) for x in got)
+    # the bound on passages takes whole documents: with 48 and fewer there is one, so one label
+    assert fit(docs, labels, most=48).constant in (0.0, 1.0) and fit(docs, labels, most=1).constant in (0.0, 1.0)
+    assert fit(docs, labels, most=480).constant is None
