@@ -52,3 +52,12 @@ def test_pipeline_without_links(spark):
     a = spark.createDataFrame([("1", "t", "one two three", "s"), ("2", "u", "four five six", "s")], "id string, title string, text string, source string").withColumn("published_at", F.lit("2024-01-01").cast("timestamp"))
     done = DedupPipeline(DedupConfig(num_perm=16)).run(a)
     assert sorted(tuple(r.news_ids) for r in done["clusters"].collect()) == [("1",), ("2",)]
+
+
+def test_stages_are_measured_on_the_pipelines_own_clusters(spark):
+    """Two triangles on one link, which Louvain takes apart and components would not."""
+    e = spark.createDataFrame([("0", "1", 1.0), ("1", "2", 0.9), ("0", "2", 1.0), ("2", "3", 0.9), ("3", "4", 1.0), ("4", "5", 1.0), ("3", "5", 1.0)], "id_a string, id_b string, score double")
+    groups = spark.createDataFrame([(str(i), str(i)) for i in range(6)], "rep_id string, member_id string")
+    lab = spark.createDataFrame([(str(i), "xy"[i // 3]) for i in range(6)], "id string, label string")
+    got = {r.stage: (r.tp, r.fp, r.fn, r.ari) for r in DedupPipeline().stage_metrics({"groups": groups, "candidates": e.drop("score"), "approved": e}, lab).collect()}
+    assert got == {"prefilter": (0, 0, 6, 0.0), "candidates": (6, 0, 0, 1.0), "rerank": (6, 0, 0, 1.0)}
