@@ -343,12 +343,14 @@ def window_cosine_veto(spark, sf):
     return vetoed(spark, sf).select("id_a", "id_b", F.round("cos", 6).alias("cos"), "jac")
 
 
+GRID = [(c, j) for c in (0.9, 0.95, 0.97) for j in (0.0, 0.5, 0.7, 0.9)]
+
+
 @query(f"{JAC}, grid AS (SELECT c, j FROM (VALUES (0.9), (0.95), (0.97)) AS g(c), (VALUES (0.0), (0.5), (0.7), (0.9)) AS k(j)) SELECT c::DOUBLE AS min_cos, j::DOUBLE AS min_jac, count(id_a) AS n_pairs FROM grid LEFT JOIN veto ON cos >= c AND jac >= j GROUP BY ALL")
 def threshold_sweep(spark, sf):
-    """VE3: candidates once, at the lowest thresholds; each counts for the grid points it passes."""
-    grid = [(c, j) for c in (0.9, 0.95, 0.97) for j in (0.0, 0.5, 0.7, 0.9)]
-    counts = vetoed(spark, sf, 0.0).agg(*[F.count_if((F.col("cos") >= c) & (F.col("jac") >= j)).alias(f"g{i}") for i, (c, j) in enumerate(grid)])
-    points = F.array(*[F.struct(F.lit(c).alias("min_cos"), F.lit(j).alias("min_jac"), F.col(f"g{i}").alias("n_pairs")) for i, (c, j) in enumerate(grid)])
+    """The pairs of VE3: candidates once, at the lowest thresholds; each counts for the grid points it passes."""
+    counts = vetoed(spark, sf, 0.0).agg(*[F.count_if((F.col("cos") >= c) & (F.col("jac") >= j)).alias(f"g{i}") for i, (c, j) in enumerate(GRID)])
+    points = F.array(*[F.struct(F.lit(c).alias("min_cos"), F.lit(j).alias("min_jac"), F.col(f"g{i}").alias("n_pairs")) for i, (c, j) in enumerate(GRID)])
     return counts.select(F.explode(points).alias("p")).select("p.*")
 
 
@@ -521,6 +523,14 @@ def stage_metrics(spark, sf):
     return m.select("stage", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "ari")])
 
 
+@query()
+def threshold_sweep_quality(spark, sf):
+    """VE3 whole: clusters and their quality at each point of the grid, on representatives of equal signatures."""
+    a = articles(spark, sf)
+    m = DedupPipeline().sweep(a, labelled(a), GRID)
+    return m.select("min_cos", "min_jac", "n_pairs", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "ari")])
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return DedupPipeline(DedupConfig(threshold=0.9)).run(articles(spark, sf))["clusters"]
 

@@ -61,3 +61,12 @@ def test_stages_are_measured_on_the_pipelines_own_clusters(spark):
     lab = spark.createDataFrame([(str(i), "xy"[i // 3]) for i in range(6)], "id string, label string")
     got = {r.stage: (r.tp, r.fp, r.fn, r.ari) for r in DedupPipeline().stage_metrics({"groups": groups, "candidates": e.drop("score"), "approved": e}, lab).collect()}
     assert got == {"prefilter": (0, 0, 6, 0.0), "candidates": (6, 0, 0, 1.0), "rerank": (6, 0, 0, 1.0)}
+
+
+def test_sweep_clusters_and_evaluates_every_point(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [("1", " ".join(words)), ("2", " ".join([*words[:-1], "other"])), ("3", " ".join(f"v{i}" for i in range(60)))]
+    a = spark.createDataFrame(rows, "id string, text string").withColumns({"title": F.lit("t"), "source": F.lit("s"), "published_at": F.lit("2024-01-01").cast("timestamp")})
+    lab = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", None)], "id string, label string")
+    got = {(r.min_cos, r.min_jac): (r.n_pairs, r.tp, r.fp, r.fn, r.f1, r.ari) for r in DedupPipeline().sweep(a, lab, [(0.8, 0.0), (0.8, 1.0), (-1.0, 0.0)]).collect()}
+    assert got == {(0.8, 0.0): (1, 1, 0, 0, 1.0, 1.0), (0.8, 1.0): (0, 0, 0, 1, 0.0, 0.0), (-1.0, 0.0): (3, 1, 2, 0, 0.5, 1.0)}
