@@ -2,10 +2,9 @@
 
 Whole copies of an earlier text go at once. In what stays, every 50-byte window has an anchor: the 16 bytes of least hash
 in it, the same wherever the window stands. Anchors that stand in several texts route their surroundings (84 bytes, which
-hold all windows of that anchor) to shards of the hash space. A shard sorts the suffixes of its surroundings by
-Larsson-Sadakane refinement: ranks by the first 8 bytes, then by pairs of ranks at 16, 32 and 50. Common prefixes of
-neighbours follow from the ranks (Kasai's loop goes byte by byte, which numpy can't do at once; equal ranks say all that
-is asked). A window's anchors come from its own bytes, so equal windows meet in a shard and shards' suffixes need no
+hold all windows of that anchor) to shards of the hash space. A shard names the equal prefixes of its suffixes: ranks
+by the first 8 bytes, then by pairs of ranks at 16, 32 and 50. No suffix array is built and no group is refined by itself
+(Larsson-Sadakane), nor are common prefixes computed (Kasai): equal ranks say all that is asked. A window's anchors come from its own bytes, so equal windows meet in a shard and shards' suffixes need no
 merging with each other; a document's runs from all shards are merged in order.
 
 Defined cases: a null text is empty; texts under 50 bytes lose nothing; rows with a null identifier neither lose nor take
