@@ -1,4 +1,4 @@
-"""Validation, filters and exact-copy rules (IO2-IO5, FI1-FI6, AG5-AG8, PR25)."""
+"""Validation, filters and exact-copy rules (IO2-IO5, FI1-FI6, FI14, AG5-AG8, PR25)."""
 
 from __future__ import annotations
 
@@ -73,6 +73,12 @@ def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:
     return rows.join(seen.select(key).distinct(), key, "left_anti")
 
 
+def undone(rows: DataFrame, batch: str, label: str) -> DataFrame:
+    """FI14: rows of batches that lack a label; a batch that has some of them comes back whole."""
+    open_ = rows.groupBy(batch).agg(F.count(label).alias("_l"), F.count("*").alias("_n")).where("_l < _n").select(F.col(batch).alias("_b"))
+    return rows.join(open_, F.col(batch).eqNullSafe(F.col("_b")), "left_semi")
+
+
 def dense_ids(rows: DataFrame, order: str, after: int = 0) -> DataFrame:
     """PR29: numbers after `after`, in order. Range partitions are numbered one by one and shifted by the ones before, so
     that no single task sees all rows."""

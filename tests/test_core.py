@@ -4,7 +4,7 @@ from sameword.config import DedupConfig
 from sameword.functions import text as T
 from sameword.operators import clusters, ingest, windowed
 from sameword.operators.graph import connected_components, louvain
-from sameword.plans.pipeline import DedupPipeline
+from sameword.plans.pipeline import DedupPipeline, load
 
 
 def one(spark, column):
@@ -70,3 +70,23 @@ def test_sweep_clusters_and_evaluates_every_point(spark):
     lab = spark.createDataFrame([("1", "x"), ("2", "x"), ("3", None)], "id string, label string")
     got = {(r.min_cos, r.min_jac): (r.n_pairs, r.tp, r.fp, r.fn, r.f1, r.ari) for r in DedupPipeline().sweep(a, lab, [(0.8, 0.0), (0.8, 1.0), (-1.0, 0.0)]).collect()}
     assert got == {(0.8, 0.0): (1, 1, 0, 0, 1.0, 1.0), (0.8, 1.0): (0, 0, 0, 1, 0.0, 0.0), (-1.0, 0.0): (3, 1, 2, 0, 0.5, 1.0)}
+
+
+def test_without_prefilter_no_veto(spark):
+    """Equal bags of words in another order, of which a veto by signatures at 1.01 would leave no pair."""
+    a = spark.createDataFrame([("1", "one two three four"), ("2", "four three two one"), ("3", "five six seven")], "id string, text string").withColumns({"title": F.lit("t"), "source": F.lit("s"), "published_at": F.lit("2024-01-01").cast("timestamp")})
+    pipe = DedupPipeline(DedupConfig(num_perm=16, prefilter=False, minhash_threshold=1.01, rerank=False))
+    done = pipe.run(a)
+    assert sorted(tuple(r.news_ids) for r in done["clusters"].collect()) == [("1", "2"), ("3",)] and done["groups"].count() == 3
+    lab = spark.createDataFrame([("1", "x"), ("2", "x")], "id string, label string")
+    assert [(r.stage, r.tp, r.fp, r.fn) for r in pipe.stage_metrics(done, lab).collect()] == [("candidates", 1, 0, 0), ("rerank", 1, 0, 0)]
+
+
+def test_limit_and_undone_batches(spark, tmp_path):
+    row = lambda i: '{"id": "%s", "title": "t", "text": "x", "source": "s", "published_at": "2024-01-01T00:00:00"}' % i
+    for name in "ab":
+        (tmp_path / name).write_text("[" + ",".join(row(name + str(i)) for i in range(4)) + "]")
+    got = lambda limit: sorted(r.id for r in load(spark, str(tmp_path / "a"), str(tmp_path / "b"), DedupConfig(limit=limit)).collect())
+    assert got(5) == ["a0", "a1", "b0", "b1"] and len(got(None)) == 8
+    rows = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "c", None), (2, "d", 1)], "batch int, id string, label int")
+    assert sorted(r.id for r in ingest.undone(rows, "batch", "label").collect()) == ["c", "d"]
