@@ -3,26 +3,31 @@
 A document's set holds its distinct five-word shingles, hashed to 58 bits under 6 bits of rarity: a table of fixed size
 counts hashed shingles over all documents, so integer order is the global order, rare shingles first. Sets that link
 must share a shingle of their prefixes. Prefixes are cut into shards of the hash space; a shard's task stores its part
-of every prefix in a trie, walks it for each probe with the overlap of shared paths, and leaves out subtrees whose sizes
-or remaining lengths can't reach the bound. What it finds is checked on whole sets.
+of every prefix in a trie and walks it for each probe with the overlap of shared paths: it leaves out subtrees whose
+sizes, remaining lengths, or shingles missed so far on either side can't reach the bound. What it finds is checked on
+whole sets.
 
-Equal sets count as one class from the start. A first round links classes with equal minima of a few hash orders to the
-smallest of their group, so that large groups of near copies are one component before the trie is built; the trie then
-looks for links between components only. Components, not pairs, are the result, and no link between two is lost.
+Equal sets are one class from the start. All links come from the trie, in two passes. The first takes what each probe
+meets at once, a few candidates, so that large groups of near copies become one component; in the second, which is
+exact, the trie looks for all links between components, and leaves out subtrees of the probe's own. Components, not
+pairs, are the result, and no link between two is lost.
 
 Defined cases: a null or empty text, or white space only, has an empty set and no links; with fewer than five words the
-whole sequence is the one shingle; rows with a null identifier get a null component; rows that share an identifier share
-its component; an empty table gives an empty result; other columns are ignored.
+whole sequence is the one shingle; rows with a null identifier get a null component and link with nothing; rows that
+share an identifier share its component, and a link of one is a link of all; an empty table gives an empty result; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +40,14 @@ WORDS = 5
 #: Jaccard of at least NUM / DEN links.
 NUM, DEN = 3, 4
 SLOTS = 1 << 21
-ORDERS = 6
+CHUNKS, FAN = 16, 64
 SHARD_TOKENS = 2_000_000
+#: First pass: candidates of a probe in a shard, and nodes that it visits for them. The second has no such bounds.
+FEW, VISITS = 2, 64
+#: Parts in which rows of equal sets meet their class.
+SALTS = 1024
 KEPT_WORDS = 400_000
 C = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-A = np.array([2 * k + 1 for k in (0x2545F4914F6CDD1D, 0x1B873593CC9E2D51, 0x369DEA0F31A53F85, 0x27D4EB2F165667C5, 0x165667B19E3779F9, 0x5851F42D4C957F2D)], np.uint64)
-
-
 class Hashed(dict):
     def __missing__(self, word: bytes) -> int:
         found = self[word] = xxhash.xxh64_intdigest(word)
@@ -92,46 +98,54 @@ def needed(a: int, b: int) -> int:
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """From id, text: rows of kind 0 with id, n, digest and minima; rows of kind 1 with counts of hashed shingles."""
+    """From id, text: rows of kind 0 with id, n, digest and tally; rows of kind 1 with a task's counts of hashed shingles,
+    n being the part of the table and id the task."""
+    names, kinds = ["kind", "id", "n", "digest", "tally", "counts"], [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counts = Shingler(), np.zeros(SLOTS, np.int32)
         for part in parts:
-            n, digests, minima, tallies, sets = [], [], [], [], []
+            n, digests, tallies, sets = [], [], [], []
             for text in as_bytes(part.column(1)):
                 s = shingles(text)
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                minima.append([int(x) for x in (s[:, None] * A).min(0).view(np.int64)] if len(s) else None)
                 tally = np.bincount((s >> np.uint64(50)).astype(np.int64), minlength=256)
                 tallies.append(tally.astype(np.uint8).tobytes() if len(s) and tally.max() < 256 else None)
                 sets.append(s)
-            slots = (np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64) if sets else np.zeros(0, np.int64)
-            np.add.at(counts, slots, 1)
+            if sets:
+                counts += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.int32)
             k = part.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.zeros(k, np.int32)), part.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(minima, pa.list_(pa.int64())), pa.array(tallies, pa.binary()), pa.nulls(k, pa.binary())],
-                ["kind", "id", "n", "digest", "minima", "tally", "counts"],
-            )
-        step = SLOTS // 16
-        chunks = [counts[i : i + step].tobytes() for i in range(0, SLOTS, step)] if counts.any() else []
-        k = len(chunks)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int32)), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary()), pa.array(chunks, pa.binary())], ["kind", "id", "n", "digest", "minima", "tally", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), part.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(tallies, pa.binary()), pa.nulls(k, pa.binary())], names)
+        chunks = [(1, TaskContext.get().partitionId(), k, None, None, x.tobytes()) for k, x in enumerate(np.split(counts, CHUNKS))] if counts.any() else []
+        yield pa.RecordBatch.from_arrays([pa.array([c[j] for c in chunks], kind) for j, kind in enumerate(kinds)], names)
 
-    return docs.mapInArrow(run, "kind int, id long, n int, digest binary, minima array<long>, tally binary, counts binary")
+    return docs.mapInArrow(run, "kind int, id long, n int, digest binary, tally binary, counts binary")
 
 
 def rarity(rows: DataFrame) -> np.ndarray:
-    """6 bits for each slot, from its count: a table of fixed size, whatever the corpus."""
+    """6 bits for each slot, from its count: a table of fixed size, whatever the corpus. Tasks' counts are added up FAN at
+    a time."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum((np.frombuffer(x, np.int32).astype(np.int64) for x in table.column("counts").to_pylist()), np.zeros(SLOTS // 16, np.int64))
-        bits = np.minimum(63, np.floor(2 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
-        return pa.table({"n": pa.array([table.column("n")[0].as_py()], pa.int32()), "bits": [bits.tobytes()]})
-
+        total = np.zeros(SLOTS // CHUNKS, np.int64)
+        for x in table.column("counts").to_pylist():
+            got = np.frombuffer(x, np.uint8)
+            total += got.view(np.int64 if len(got) == 8 * len(total) else np.int32)
+        return pa.table({"n": table.column("n")[:1], "id": table.column("id")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    part = rows.where("kind = 1").select("n", "id", "counts")
+    tasks = 1 + (part.agg(F.max("id")).first()[0] or 0)
+    while True:
+        part = part.withColumn("id", F.floor(F.col("id") / FAN)).groupBy("n", "id").applyInArrow(add, "n int, id long, counts binary")
+        tasks = -(-tasks // FAN)
+        if tasks <= 1:
+            break
+        part = stage(part, "join-counts")
     out = np.zeros(SLOTS, np.uint8)
-    for r in rows.where("kind = 1").groupBy("n").applyInArrow(add, "n int, bits binary").collect():
-        out[r.n * (SLOTS // 16) : (r.n + 1) * (SLOTS // 16)] = np.frombuffer(r.bits, np.uint8)
+    step = SLOTS // CHUNKS
+    for r in part.select("n", "counts").collect():
+        out[r.n * step : (r.n + 1) * step] = np.minimum(63, np.floor(2 * np.log2(np.maximum(np.frombuffer(r.counts, np.int64), 1))))
     return out
 
 
@@ -162,18 +176,20 @@ def linked(docs: DataFrame, pairs: DataFrame, rows_per_part: int = 64) -> DataFr
     heads = texts.join(parts.hint("merge"), F.col("id") == F.col("b")).select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, head, of = Shingler(), None, None
+        shingles, heads_of, of = Shingler(), [], None  # a shared identifier has several texts
         for batch in batches:
             a, b = [], []
-            for key, role, i, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), as_bytes(batch.column(4)), strict=True):
+            for key, part, role, i, text in zip(*(batch.column(k).to_pylist() for k in range(4)), as_bytes(batch.column(4)), strict=True):
                 s = shingles(text)
                 if role == 0:
-                    head, of = s, key
-                elif of == key:
-                    both = len(np.intersect1d(s, head, assume_unique=True))
-                    if DEN * both >= NUM * (len(s) + len(head) - both):
-                        a.append(i)
-                        b.append(key)
+                    heads_of, of = [*(heads_of if of == (key, part) else []), s], (key, part)
+                elif of == (key, part):
+                    for head in heads_of:
+                        both = len(np.intersect1d(s, head, assume_unique=True))
+                        if DEN * both >= NUM * (len(s) + len(head) - both):
+                            a.append(i)
+                            b.append(key)
+                            break
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     met = members.union(heads).repartition(F.col("b"), F.col("part")).sortWithinPartitions("b", "part", "role")
@@ -206,35 +222,49 @@ class Trie:
                 self.comp[node] = None
         self.ends[node].append(doc)
 
-    def probe(self, tokens: list[int], positions: list[int], size: int, comp: int) -> Iterator[tuple[int, int, int]]:
-        """(doc, overlap so far, place of the last shared shingle in the probe) for sets of other components that are no
-        larger than size and could still link."""
-        at = dict(zip(tokens, positions, strict=True))
+    def probe(self, tokens: list[int], positions: list[int], size: int, comp: int, end: int, visits: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+        """(doc, place of the first shared shingle on its path, most of the probe that can be shared, shingles of doc that
+        the probe lacks) for sets of other components that are no larger than size and could still link. end: the last shingle of the probe's whole prefix; up to
+        there, a stored shingle that the probe's part lacks is in none of its set. visits: give up after so many nodes."""
+        at = {t: k for k, t in enumerate(tokens)}
         least = -(-NUM * size // DEN)
-        for t, p in at.items():
+        for t, p in zip(tokens, positions, strict=True):
             for top in self.places.get(t, ()):
                 above = self.up[top]
                 while above > 0 and self.token[above] not in at:
                     above = self.up[above]
                 if above > 0:
                     continue  # came from there already
-                stack = [(top, 0, p)]
+                stack = [(top, 0, self.depth[top] - 1)]  # nothing above is shared, and all of it comes before t
                 while stack:
-                    node, shared, last = stack.pop()
+                    if visits is not None:
+                        visits -= 1
+                        if visits < 0:
+                            return
+                    node, shared, lacked = stack.pop()
                     if self.comp[node] == comp or self.high[node] < least or self.low[node] > size:
                         continue
-                    if (here := at.get(self.token[node])) is not None:
-                        shared, last = shared + 1, here
+                    token = self.token[node]
+                    if token in at:
+                        shared += 1
+                        mine = at[token] + 1 - shared  # of the probe's so far, not in what this path stores
+                    else:
+                        lacked += token <= end
+                        mine = bisect_right(tokens, token) - shared
+                    most, high = size - mine, self.high[node]
                     # what is shared outside of this shard lies after the first shared shingle, which is at p or before
-                    if 1 + min(size - p - 1, self.rest[top]) < needed(size, max(least, self.low[node])):
+                    if min(most, 1 + size - p - 1, 1 + self.rest[top]) < needed(size, max(least, self.low[node])) or high - lacked < needed(size, high):
                         continue
                     for doc in self.ends[node]:
-                        yield doc, shared, self.depth[top]
-                    stack.extend((child, shared, last) for child in self.next[node].values())
+                        yield doc, self.depth[top], most, lacked
+                        if visits is not None:
+                            break
+                    stack.extend((child, shared, lacked) for child in self.next[node].values())
 
 
-def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray) -> set[tuple[int, int]]:
-    """Candidate pairs of one shard: entries are tokens of documents at places in their global order."""
+def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, lasts: np.ndarray, few: bool = False) -> set[tuple[int, int]]:
+    """Candidate pairs of one shard: entries are tokens of documents at places in their global order; lasts: the last token
+    of each document's prefix. few: some candidates of each document only."""
     order = np.argsort(token, kind="stable")
     ts, cs = token[order], comps[doc[order]]
     starts = np.flatnonzero(np.r_[True, ts[1:] != ts[:-1]]) if len(ts) else np.zeros(0, np.int64)
@@ -251,15 +281,19 @@ def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.nda
     groups.sort(key=lambda g: (sizes[g[0]], ids[g[0]]))  # no partner stored so far is larger
     trie, own = Trie(), {}
     for d, tokens, places in groups:
-        size, comp, me = int(sizes[d]), int(comps[d]), int(ids[d])
-        for other, shared, depth in trie.probe(tokens, places, size, comp):
+        size, comp, me, taken = int(sizes[d]), int(comps[d]), int(ids[d]), 0
+        index = {t: k for k, t in enumerate(tokens)}
+        for other, depth, most, lacked in trie.probe(tokens, places, size, comp, int(lasts[d]), VISITS if few else None):
             o_places, o_tokens = own[other]
-            osize, first = int(sizes[other]), o_tokens[depth - 1]
+            osize = int(sizes[other])
             if DEN * osize < NUM * size or int(comps[other]) == comp:
                 continue
-            reach = 1 + min(size - places[tokens.index(first)] - 1, osize - o_places[depth - 1] - 1)
-            if reach >= needed(size, osize):
+            mine = size - places[index[o_tokens[depth - 1]]]
+            if min(mine, osize - o_places[depth - 1], most, osize - lacked) >= needed(size, osize):
                 found.add((me, int(ids[other])))
+                taken += 1
+                if few and taken == FEW:
+                    break
         k = sum(p < own_prefix(size) for p in places)
         if k:
             own[d] = (places[:k], tokens[:k])
@@ -267,8 +301,8 @@ def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.nda
     return found
 
 
-def prefix_join(docs: DataFrame, bits: np.ndarray, shards: int) -> DataFrame:
-    """Candidate pairs (a, b) between components, from id, text, comp."""
+def prefix_join(docs: DataFrame, bits: np.ndarray, shards: int, few: bool = False) -> DataFrame:
+    """Candidate pairs (a, b) between components, from id, text, comp; some of each document, or all."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(bits)
@@ -279,16 +313,17 @@ def prefix_join(docs: DataFrame, bits: np.ndarray, shards: int) -> DataFrame:
         def flush(ids, comps, sizes, sets):
             lengths = np.array([len(s) for s in sets], np.int64)
             token, pos = np.concatenate(sets), ragged(np.zeros(len(sets), np.int64), lengths)
-            doc = np.repeat(np.arange(len(sets)), lengths)
-            shard = (token & np.uint64(0xFFFFFFFF)) % np.uint64(shards)
-            out = []
-            for k in range(shards):
-                at = np.flatnonzero(shard == k)
-                if len(at):
-                    who, local = np.unique(doc[at], return_inverse=True)
-                    out.append((k, token[at].tobytes(), local.astype(np.int32).tobytes(), pos[at].astype(np.int32).tobytes(), np.array(ids)[who].tobytes(), np.array(comps)[who].tobytes(), np.array(sizes, np.int32)[who].tobytes()))
-            names = ["shard", "token", "doc", "pos", "ids", "comps", "sizes"]
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32())] + [pa.array([o[j] for o in out], pa.binary()) for j in range(1, 7)], names)
+            doc, last = np.repeat(np.arange(len(sets)), lengths), token[np.cumsum(lengths) - 1]
+            shard = ((token & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
+            ids, comps, sizes, out = np.array(ids), np.array(comps), np.array(sizes, np.int32), []
+            order = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            for k in np.unique(shard).tolist():
+                at = order[bounds[k] : bounds[k + 1]]
+                who, local = np.unique(doc[at], return_inverse=True)
+                out.append((k, *(x.tobytes() for x in (token[at], local.astype(np.int32), pos[at].astype(np.int32), ids[who], comps[who], sizes[who], last[who]))))
+            names = ["shard", "token", "doc", "pos", "ids", "comps", "sizes", "lasts"]
+            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32())] + [pa.array([o[j] for o in out], pa.binary()) for j in range(1, 8)], names)
 
         ids, comps, sizes, sets, held = [], [], [], [], 0
         for part in parts:
@@ -308,7 +343,7 @@ def prefix_join(docs: DataFrame, bits: np.ndarray, shards: int) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         t = table.to_pydict()
-        token = np.frombuffer(b"".join(t["token"]), np.uint64)
+        token, lasts = (np.frombuffer(b"".join(t[k]), np.uint64) for k in ("token", "lasts"))
         pos = np.frombuffer(b"".join(t["pos"]), np.int32)
         ids, comps, sizes = (np.frombuffer(b"".join(t[k]), kind) for k, kind in (("ids", np.int64), ("comps", np.int64), ("sizes", np.int32)))
         shift, doc = 0, []
@@ -316,35 +351,54 @@ def prefix_join(docs: DataFrame, bits: np.ndarray, shards: int) -> DataFrame:
             doc.append(np.frombuffer(local, np.int32).astype(np.int64) + shift)
             shift += len(who) // 8
         del t
-        pairs = sorted(shard_pairs(token, np.concatenate(doc), pos, ids, comps, sizes))
+        pairs = sorted(shard_pairs(token, np.concatenate(doc), pos, ids, comps, sizes, lasts, few))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    return docs.select("id", "text", "comp").mapInArrow(cut, "shard int, token binary, doc binary, pos binary, ids binary, comps binary, sizes binary").groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+    cut_up = docs.select("id", "text", "comp").mapInArrow(cut, "shard int, token binary, doc binary, pos binary, ids binary, comps binary, sizes binary, lasts binary")
+    return cut_up.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every row."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = texts.where("id is not null")
     rows = stage(set_rows(texts), "join-sets")
-    sets = rows.where("kind = 0").select("id", "n", "digest", "minima", "tally")
-    full = sets.where("n > 0 and id is not null")
-    classes = stage(full.groupBy("digest").agg(F.min("id").alias("class"), F.min_by("minima", "id").alias("minima"), F.first("n").alias("n"), F.min_by("tally", "id").alias("tally")), "join-classes")
-    tallies = classes.select(F.col("class").alias("id"), "n", "tally")
-    keys = classes.select("class", F.posexplode("minima").alias("order", "low"))
-    firsts = keys.groupBy("order", "low").agg(F.min("class").alias("b"), F.count("*").alias("size")).where("size > 1").drop("size")
-    near = keys.join(firsts, ["order", "low"]).where("class <> b").select(F.col("class").alias("a"), "b").distinct()
-    near_links = stage(linked(texts.where("id is not null"), possible(near, tallies)), "join-links")
-    parts = stage(connected_components(near_links), "join-parts")
-    comp = classes.select(F.col("class").alias("id")).distinct().join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+    sets = rows.where("kind = 0").select("id", "n", "digest")
+    salted = sets.where("n > 0 and id is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    classes = stage(rows.where("kind = 0 and n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.min_by("tally", "id").alias("tally")), "join-classes")
+    # where texts share an identifier, a bound by one tally would not hold for the other
+    tallies = classes.groupBy(F.col("class").alias("id")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.first("tally").alias("tally")).select("id", "n", F.when(F.col("k") == 1, F.col("tally")).alias("tally"))
+    bits = rarity(rows)
     total = classes.agg(F.sum(F.col("n") / DEN + 1)).first()[0] or 0
-    found = prefix_join(texts.join(comp.hint("merge"), "id"), rarity(rows), max(1, round(total / SHARD_TOKENS)))
-    far_links = stage(linked(texts.where("id is not null"), possible(found, tallies)), "join-links")
-    if not far_links.isEmpty():
-        parts = connected_components(near_links.union(far_links))
-    by_set = classes.select("digest", "class")
-    out = sets.join(by_set, "digest", "left").join(parts.withColumnRenamed("id", "class"), "class", "left")
-    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "class", "id")).alias("component_id"))
+    shards = max(1, round(total / SHARD_TOKENS))
+    of_class = salted.groupBy("digest", "salt").agg(F.min("id").alias("low"), F.max("id").alias("high")).join(classes.select("digest", "class"), "digest")
+    of_class = stage(of_class, "join-salted")
+    links = stage(shared_identifiers(salted, of_class), "join-links")
+    parts = None
+    for few in (True, False):
+        comp = classes.select(F.col("class").alias("id")).distinct()
+        if parts is not None:
+            comp = comp.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+        else:
+            comp = comp.withColumn("comp", F.col("id"))
+        found = prefix_join(known.join(comp.hint("merge"), "id"), bits, shards, few)
+        more = stage(linked(known, possible(found, tallies)), "join-links")
+        if not few and more.isEmpty():
+            break
+        links = links.union(more)
+        parts = stage(connected_components(links), "join-parts")
+    named = of_class.select("digest", "salt", "class").join(parts.withColumnRenamed("id", "class"), "class", "left").select("digest", "salt", F.coalesce("component", "class").alias("component"))
+    linked_rows = salted.join(named, ["digest", "salt"]).select("id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+    alone = sets.where("n = 0 or id is null").select("id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
+    return linked_rows.union(alone)
+
+
+def shared_identifiers(salted: DataFrame, of_class: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that rows of one identifier are in."""
+    mine = salted.select("id", "digest", "salt").join(of_class.select("digest", "salt", "class"), ["digest", "salt"]).select("id", "class").distinct()
+    least = mine.groupBy("id").agg(F.min("class").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
+    return mine.join(least, "id").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

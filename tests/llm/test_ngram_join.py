@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from sameword.llm import ngram_join
@@ -46,25 +47,53 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("orders", [6, 1])
-def test_components_as_brute_force_finds_them(spark, orders, monkeypatch):
-    monkeypatch.setattr(ngram_join, "A", ngram_join.A[:orders])
-    monkeypatch.setattr(ngram_join, "SHARD_TOKENS", 600)
-    rows = corpus(orders)
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as class", "1 as id", "2 as comp")
+@pytest.mark.parametrize("seed, tokens, few", [(6, 600, 2), (1, 600, 1), (2, 10_000_000, 2)])
+def test_components_as_brute_force_finds_them(spark, seed, tokens, few, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHARD_TOKENS", tokens)
+    monkeypatch.setattr(ngram_join, "FEW", few)
+    monkeypatch.setattr(ngram_join, "FAN", 2)
+    rows = corpus(seed)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as class", "1 as id", "2 as comp", "3 as digest", "4 as salt")
     got = {r.id: (r.n_shingles, r.component_id) for r in components(docs).collect()}
     assert got == brute(rows)
 
 
-def test_trie_alone_finds_every_link(spark, monkeypatch):
-    """Without the first round, all links come from the trie."""
+def test_second_pass_alone_finds_every_link(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "linked", (lambda real, calls: lambda d, p, **k: real(d, p.where("1 = 0") if calls.append(1) or len(calls) == 1 else p, **k))(ngram_join.linked, []))
     rows = corpus(5)
     got = {r.id: (r.n_shingles, r.component_id) for r in components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
 
 
+def test_shard_candidates_hold_every_link():
+    """Many random small sets in one shard: what the trie leaves out can't link; what its bounds let pass is near."""
+    r = random.Random(9)
+    for _ in range(60):
+        sets = [sorted(r.sample(range(1, 60), r.randint(1, 14))) for _ in range(25)]
+        for k in range(12):
+            base = set(r.choice(sets))
+            base.discard(r.choice(sorted(base)))
+            sets.append(sorted(base | {r.randint(1, 60)}))
+        n = [len(s) for s in sets]
+        pre = [s[: ngram_join.prefix(len(s))] for s in sets]
+        flat = lambda f, kind: np.array([x for k, s in enumerate(pre) for x in f(k, s)], kind)
+        ids = np.arange(len(sets))
+        args = (flat(lambda k, s: s, np.uint64), flat(lambda k, s: [k] * len(s), np.int64), flat(lambda k, s: range(len(s)), np.int32), ids, ids, np.array(n, np.int32), np.array([s[-1] for s in pre], np.uint64))
+        got = {tuple(sorted(x)) for x in ngram_join.shard_pairs(*args)}
+        want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 4 * len(set(sets[a]) & set(sets[b])) >= 3 * len(set(sets[a]) | set(sets[b]))}
+        assert want <= got
+        assert {tuple(sorted(x)) for x in ngram_join.shard_pairs(*args, few=True)} <= got
+
+
 def test_empty_table_and_null_or_repeated_identifiers(spark):
     docs = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
     assert components(docs.limit(0)).count() == 0
     assert sorted((r.id or 0, r.component_id or 0) for r in components(docs).collect()) == [(0, 0), (1, 1), (1, 1), (3, 1)]
+
+
+def test_rows_of_one_identifier_with_several_texts(spark):
+    """5 stands for two texts: one links with 3, the other with 7, and so all are one component."""
+    x, y = [f"x{i}" for i in range(40)], [f"y{i}" for i in range(40)]
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (3, " ".join([*x[:-1], "z"])), (7, " ".join([*y[:-1], "z"])), (9, " ".join(y)), (11, "a b c d e f")]
+    got = sorted((r.id, r.component_id) for r in components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (7, 3), (9, 3), (11, 11)]
