@@ -2,14 +2,71 @@ import zlib
 
 import numpy as np
 
-from sameword.llm.quality import PASSAGE, fit, op9_quality, passages, score
+from sameword.llm.quality import PASSAGE, Model, fit, op9_quality, passages, score
+
+
+def bags(texts):
+    return passages(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
 
 
 def test_passages_cover_whole_texts():
-    texts = [b"", b"a" * PASSAGE, b"a" * PASSAGE + b"9", b"x"]
-    ends = np.cumsum([0, *map(len, texts)])
-    x, counts = passages(np.frombuffer(b"".join(texts), np.uint8), ends)
-    assert counts.tolist() == [1, 1, 2, 1] and len(x) == 5 and x[3, 2] == 1 and x[0, :-1].sum() == 0
+    d = bags([b"", b"a" * PASSAGE, b"a" * PASSAGE + b"9", b"x"])
+    assert d.counts.tolist() == [1, 1, 2, 1] and len(d.x) == 5 and d.x[3, 2] == 1 and d.x[0, :-1].sum() == 0
+    assert d.sizes.tolist() == [0, 1, 1, 0, 1]
+
+
+def test_words():
+    texts = [b"The cat", b"sat  the\tCAT ", b"", b" \n", b"the" * 40 + b" end", "größe".encode()]
+    d = bags(texts)
+    want = [w for t in texts for w in t.lower().split()]
+    names = {}
+    for word, bucket in zip(want, d.words.tolist(), strict=True):
+        assert names.setdefault(word, bucket) == bucket
+    assert len(set(names.values())) == len(names) and d.sizes.tolist() == [2, 3, 0, 0, 2, 1]
+
+
+def test_forward_and_gradients():
+    """Against a plain document by document computation, and finite differences."""
+    r = np.random.default_rng(1)
+    texts = [b"one two three " * 60, b"", b"two 99 $$ " * 90, b"three" * 300, b"one"]
+    d, m, y = bags(texts), Model(hidden=5, gate=3), np.array([1.0, 0, 1, 0, 1])
+    m.p["T"] = r.normal(0, 1, m.p["T"].shape)
+
+    def plain():
+        out, passage, word, p = [], 0, 0, m.p
+        for n in d.counts:
+            h = []
+            for k in range(passage, passage + n):
+                mine = [p["T"][w] for w in d.words[word : word + d.sizes[k]]]
+                word += d.sizes[k]
+                h.append(np.tanh(d.x[k] @ p["E"] + (sum(mine) / len(mine) if mine else 0) + p["e"]))
+            passage += n
+            s = [np.exp(p["v"] @ (np.tanh(x @ p["A"]) / (1 + np.exp(-(x @ p["B"]))))) for x in h]
+            z = sum(a * x for a, x in zip(s, h)) / sum(s)
+            out.append(1 / (1 + np.exp(-(z @ p["w"] + p["b"][0]))))
+        return np.array(out)
+
+    assert np.allclose(plain(), m.score(d), atol=1e-6)
+    loss = lambda: -np.mean(y * np.log(plain()) + (1 - y) * np.log(1 - plain()))
+    for name, g in m.gradients(d, y).items():
+        at = np.unravel_index(np.argsort(-np.abs(g), axis=None)[:3], g.shape)
+        for place in zip(*at):
+            kept = m.p[name][place]
+            m.p[name][place] = kept + 1e-5
+            up = loss()
+            m.p[name][place] = kept - 1e-5
+            assert abs((up - loss()) / 2e-5 - g[place]) < 1e-5, name
+            m.p[name][place] = kept
+
+
+def test_learns_what_only_words_tell(spark):
+    """Both kinds of text have the same letters in words of the same lengths."""
+    r = np.random.default_rng(3)
+    good, bad = ["stone", "river", "light", "plain"], ["notes", "viver", "thgil", "nialp"]
+    rows = [(i, " ".join(r.choice(good if i % 2 else bad, 120))) for i in range(300)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all((x.score > 0.5) == bool(x.doc_id % 2) for x in score(docs, fit(docs, labels)).collect())
 
 
 def test_learns_and_ignores_the_other_fold(spark):
