@@ -4,12 +4,16 @@ A shard's graph is flat arrays: for each level the nodes on it and, for each nod
 none). Whole batches of nodes are inserted and whole blocks of queries searched at once, level by level from the top.
 Neighbours are chosen so that they point in different directions. Scores are exact cosines in double precision.
 
-Equal vectors are one node with its smallest identifiers, so that copies can't cut a graph into islands.
+Every query searches every shard, so shards are few: as many as the session has cores while they hold LEAST nodes or
+more, and beyond that as many as MOST nodes to a shard make. A shard meets queries in blocks of QUERIES, and its graph is
+sent to a task once for each block. Equal vectors are one node with its smallest identifiers, so that copies can't cut a
+graph into islands.
 
 Defined cases: vectors that are null, empty, zero, or that hold a null or non-finite component take no part, neither as
-queries nor as candidates; vectors meet only vectors of their own length; ties go to the smaller identifier; repeated rows
-(same identifier too) are candidates once; with fewer candidates than asked for, all are returned; an empty table gives an
-empty result; other columns are ignored.
+queries nor as candidates, and neither do null identifiers; vectors meet only vectors of their own length; ties go to the
+smaller identifier; repeated rows (same identifier too) are candidates once, and where their vectors differ the nearest
+counts; a query whose rows have several vectors of one length asks with the least; with fewer candidates than asked for,
+all are returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ from pyspark.sql import functions as F
 
 from sameword.shared import stage
 
-SHARD = 4096
+LEAST, MOST = 4096, 1 << 18
 M = 16
 EF_BUILD, EF = 64, 96
-BLOCK = 512
+#: Queries that go through a graph together at most, and marks (one for each of them and each node) that this may take.
+BLOCK, MARKS = 512, 1 << 25
+QUERIES = 1 << 14
 
 
 def chosen(x: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
@@ -80,6 +86,10 @@ def beam(x: np.ndarray, near: np.ndarray, q: np.ndarray, entry: np.ndarray, ef:
     return ids, sims
 
 
+def together(nodes: int) -> int:
+    return max(16, min(BLOCK, MARKS // max(1, nodes)))
+
+
 class Graph:
     """levels: from the top, (nodes, neighbours): neighbours are places in nodes."""
 
@@ -101,7 +111,7 @@ class Graph:
         self.join(x, near, np.arange(first), np.zeros((first, 0), int), np.zeros((first, 0), np.float32))
         at = first
         while at < len(nodes):
-            new = np.arange(at, min(len(nodes), 2 * at, at + BLOCK))
+            new = np.arange(at, min(len(nodes), 2 * at, at + together(len(nodes))))
             ids, sims = beam(x[:at], near[:at], x[new], self.entries(self.x[nodes[new]], at), EF_BUILD)
             self.join(x, near, new, ids, sims)
             at = new[-1] + 1
@@ -144,8 +154,9 @@ class Graph:
 
     def search(self, q: np.ndarray, ef: int = EF) -> np.ndarray:
         out = []
-        for i in range(0, len(q), BLOCK):
-            part = q[i : i + BLOCK].astype(np.float32)
+        block = together(len(self.x))
+        for i in range(0, len(q), block):
+            part = q[i : i + block].astype(np.float32)
             entry = np.zeros((len(part), 1), int)
             for nodes, near in self.levels[:-1]:
                 entry = beam(self.x[nodes], near, part, entry, 8)[0]
@@ -178,16 +189,19 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def index(vectors: DataFrame, k: int, shard_size: int = SHARD) -> DataFrame:
-    """From id, v: a row for each shard: dim, shard, and as flat arrays ids of nodes, their members, vectors, graph."""
+def index(vectors: DataFrame, k: int, shard_size: int | None = None) -> DataFrame:
+    """From id, v: a row for each shard: dim, shard, and as flat arrays ids of nodes, their members, vectors, graph.
+    shard_size: nodes of a shard, at the place of the rule."""
     part = vectors.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("few"))
-    nodes = part.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("few"))), 1, k + 1).alias("members"))
+    nodes = part.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("few")))), 1, k + 1).alias("members"))
     nodes = stage(nodes.select(F.size("v").alias("dim"), F.col("members")[0].alias("id"), "members", "v"), "ann-nodes")
-    shards = nodes.groupBy("dim").agg(F.ceil(F.count("*") / shard_size).alias("shards"))
+    n, cores = F.count("*"), vectors.sparkSession.sparkContext.defaultParallelism
+    count = F.ceil(n / shard_size) if shard_size else F.greatest(F.least(F.ceil(n / LEAST), F.lit(cores)), F.ceil(n / MOST))
+    shards = nodes.groupBy("dim").agg(count.alias("shards"))
     tasks = int(shards.agg(F.sum("shards")).first()[0] or 1)
-    placed = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
+    placed = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
     # a shard takes seconds to build from little data: a fixed count keeps many of them from being put into one task
-    placed = placed.select("dim", "shard", "id", "members", "v").repartition(2 * tasks, "dim", "shard")
+    placed = placed.select("dim", "shard", "id", "members", "v").repartition(4 * tasks, "dim", "shard")
 
     def build(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("id").to_pylist(), table.column("members").to_pylist(), table.column("v").to_pylist(), strict=True), key=lambda r: r[0])
@@ -202,15 +216,15 @@ def index(vectors: DataFrame, k: int, shard_size: int = SHARD) -> DataFrame:
     return placed.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, members binary, has binary, vectors binary, nodes binary, near binary, sizes binary")
 
 
-def nearest(embeddings: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_size: int = SHARD, ef: int = EF) -> DataFrame:
+def nearest(embeddings: DataFrame, queries: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_size: int | None = None, ef: int = EF, block: int = QUERIES) -> DataFrame:
     """query_id, rank, id, score: for each row that meets the condition, the k nearest other rows that were found."""
     rows = embeddings.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    shards = stage(index(rows, k, shard_size), "ann-shards")
-    asking = rows.where("asks").dropDuplicates(["id"]).select("id", F.size("v").alias("dim"), "v")
-    sizes = asking.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    shards = stage(index(rows.select("id", "v"), k, shard_size), "ann-shards")
+    asking = rows.where("asks").groupBy("id", F.size("v").alias("dim")).agg(F.min("v").alias("v"))
+    sizes = asking.groupBy("dim").agg(F.ceil(F.count("*") / block).alias("blocks"))
     blocks = asking.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("qs"))
-    there = shards.groupBy("dim").agg(F.max("shard").alias("last"))
-    spread = stage(blocks, "ann-blocks").join(there, "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), "last"))).drop("last")
+    there = shards.groupBy("dim").agg(F.collect_set("shard").alias("shard"))  # a number for each shard of a dimension
+    spread = stage(blocks, "ann-blocks").join(there, "dim").withColumn("shard", F.explode("shard"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,14 +239,21 @@ def nearest(embeddings: DataFrame, queries: Column, k: int = 5, id_col: str = "v
                     found = found[found >= 0]
                     score = (u[found] @ q[i]) / (norm[found] * lq[i])
                     top = np.argsort(-score, kind="stable")[: 4 * (k + 1)]
-                    every = sorted((-s, int(m)) for n, s in zip(found[top].tolist(), score[top].tolist(), strict=True) for m in members[n, : has[n]] if m != asked[i])
-                    out += [(int(asked[i]), m, -s) for s, m in every[:k]]
+                    best: dict[int, float] = {}
+                    for n, s in zip(found[top].tolist(), score[top].tolist(), strict=True):
+                        for m in members[n, : has[n]].tolist():
+                            if m != asked[i]:
+                                best[m] = max(s, best.get(m, -2.0))
+                    out += [(int(asked[i]), m, s) for m, s in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]]
                 a, b, c = zip(*out, strict=True) if out else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], ["query_id", "id", "score"])
 
-    met = spread.join(shards, ["dim", "shard"]).select("qs", "members", "has", "vectors", "nodes", "near", "sizes")
+    pairs = spread.join(shards, ["dim", "shard"])
+    tasks = max(1, pairs.select("dim").count())  # a search takes seconds of little data: each block and shard is a task
+    met = pairs.repartition(4 * tasks, "dim", "block", "shard").select("qs", "members", "has", "vectors", "nodes", "near", "sizes")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return met.mapInArrow(search, "query_id long, id long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    found = met.mapInArrow(search, "query_id long, id long, score double").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
 def op1_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,3 +35,24 @@ def test_recall_copies_and_odd_vectors(spark):
 
 def test_empty(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
+
+
+def test_recall_on_the_tables_vectors(spark):
+    """64 dimensions, in one shard and in several; and by the rule that counts cores."""
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = {r.vec_id: np.array(r.embedding, float) for r in df.collect()}
+    want = brute([(i, v.tolist()) for i, v in x.items()], 5, 50)
+    for size in (None, 700, 250):
+        got = {}
+        for r in nearest(df, F.col("vec_id") % 50 == 0, shard_size=size, block=16).collect():
+            got.setdefault(r.query_id, set()).add(r.id)
+        hits = sum(len({i for _, i in want[q]} & got[q]) for q in want)
+        assert set(got) == set(want) and hits >= 0.97 * sum(map(len, want.values()))
+
+
+def test_identifiers_of_several_vectors(spark):
+    """7 is a candidate once, by its nearer vector; 50 asks with the lesser of its two."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (7, [0.0, 2.0]), (7, [1.0, 1.0]), (8, [1.0, 1.0]), (9, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.id, round(r.score, 6)) for r in nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    assert got == [(1, 7, 1.0), (2, 8, 0.707107), (3, 9, 0.0)]
