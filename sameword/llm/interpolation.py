@@ -4,7 +4,9 @@ Texts are packed once into blocks of hashed tokens, each block from one fold. A
 words and word pairs: sorted keys go to shards of the hash space, a shard adds up all blocks' counts, and answers come
 back in the order of the keys. So every count is exact, over all training documents, and no task holds more than a shard
 or a few blocks. Mixture weights of each bucket of context counts are learned by expectation-maximisation on held-out
-counts: for a training token, those of all folds but its own.
+counts: for a training token, those of all folds but its own; tokens are counted in bins of a quarter of a power of two of
+either probability, so that what the driver learns from has a fixed size. Trigrams are left out for their keys' room: with
+pairs alone the operator writes nearly four times its input.
 
 A text's tokens are its words and one end, which is also the context of the first. Counts of words are exact up to
 collisions of 64-bit hashes.
@@ -192,6 +194,9 @@ def weights_of(cells: np.ndarray, counts: np.ndarray, uniform: float, rounds: in
         sums = np.stack([np.bincount(b, part[:, k], BUCKETS) for k in range(3)], 1)
         # a bucket that held-out tokens never reach keeps even weights; none is ever zero
         w = (sums + 1e-3) / (sums + 1e-3).sum(1, keepdims=True)
+    # a context without counts has no pairs: the others share their weight
+    w[0, 0] = 0.0
+    w[0] /= w[0].sum()
     return w
 
 
