@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sameword.shared import stage
+from sameword.shared import discard, stage
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        e = stage(star(star(e, True), False), "cc")
+        last, e = e, stage(star(star(e, True), False), "cc")
+        discard(last)
         now = mark(e)
         if now == before:
             break
