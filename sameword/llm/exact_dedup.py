@@ -4,7 +4,8 @@ A key's state holds the digest, the smallest identifier seen and a locator of it
 earlier holder are compared with it byte by byte; rows whose digest agrees but whose text differs form groups of their own.
 Only DataFrame operations run here.
 
-Defined cases: a null text counts as empty; a null identifier sorts after every other; repeated rows (same identifier
+Defined cases: a null text counts as empty; a null identifier sorts after every other; file in the result is a hash of
+the path, which locate.file_table() has in full; repeated rows (same identifier
 too) are separate rows of a group of which one stays; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -13,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sameword.llm.locate import FILE, ROW, with_locator
+from sameword.llm.locate import Located, with_locator
 from sameword.llm.sieve import maybe_in
-from sameword.shared import fresh_path, stage
+from sameword.shared import fresh_path, remove, stage, staged_at
 
+#: Parts in which copies of one text meet what is held of it.
+SALTS = 1024
 #: State on disk, with no space reserved ahead: many partitions hold little each.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -29,22 +32,23 @@ def one_space(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def located(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def located(docs: DataFrame | Located, id_col: str, text_col: str) -> DataFrame:
     """id, norm and the locator (file, row)."""
-    at = docs if FILE in docs.columns else with_locator(docs.select(F.col(id_col), F.col(text_col)))
-    return at.select(F.col(id_col).alias("id"), one_space(F.col(text_col)).alias("norm"), F.col(FILE).alias("file"), F.col(ROW).alias("row"))
+    at = docs if isinstance(docs, Located) else with_locator(docs.select(F.col(id_col), F.col(text_col)))
+    return at.rows.select(F.col(id_col).alias("id"), one_space(F.col(text_col)).alias("norm"), F.col(at.file).alias("file"), F.col(at.row).alias("row"))
 
 
 def fold_digests(spark: SparkSession, log: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """Run the log (key, id, file, row; a table of files) through keyed state; return the state: key, holder, size."""
+    """Run the staged log (key, id, file, row) through keyed state; return the state, staged: key, holder, size. The
+    stream's folder is deleted after that."""
+    if log.isEmpty():  # a stream without files has no state to read
+        kind = log.schema["id"].dataType.simpleString()
+        return spark.createDataFrame([], f"key binary, holder struct<late:boolean,id:{kind},file:bigint,row:bigint>, size bigint")
     reader = spark.readStream.schema(log.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    seen = reader.parquet(log.inputFiles()[0].rsplit("/", 1)[0]) if log.inputFiles() else None
-    if seen is None:
-        return spark.createDataFrame([], "key binary, holder struct<late:boolean,id:bigint,file:bigint,row:bigint>, size bigint")
     holder = F.struct(F.col("id").isNull().alias("late"), "id", "file", "row")
-    state = seen.groupBy("key").agg(F.min(holder).alias("holder"), F.count(F.lit(1)).alias("size"))
+    state = reader.parquet(staged_at(log)).groupBy("key").agg(F.min(holder).alias("holder"), F.count(F.lit(1)).alias("size"))
     path, before = fresh_path(spark, "dedup-state"), {k: spark.conf.get(k, None) for k in STATE}
     for k, v in STATE.items():
         spark.conf.set(k, v)
@@ -52,25 +56,30 @@ def fold_digests(spark: SparkSession, log: DataFrame, files_per_batch: int | Non
         run = state.writeStream.format("noop").outputMode("update").option("checkpointLocation", path).trigger(availableNow=True).start()
         run.awaitTermination()
         held = spark.read.format("statestore").load(path)
+        smallest, count = [f.name for f in held.schema["value"].dataType.fields]
+        out = stage(held.select(F.col("key.key").alias("key"), F.col("value")[smallest].alias("holder"), F.col("value")[count].alias("size")), "dedup-held")
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    smallest, count = [f.name for f in held.schema["value"].dataType.fields]
-    return held.select(F.col("key.key").alias("key"), F.col("value")[smallest].alias("holder"), F.col("value")[count].alias("size"))
+    remove(spark, path)
+    return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bytes: int = 32, files_per_batch: int | None = None, rows_per_salt: int = 4096) -> DataFrame:
+def exact_dedup(docs: DataFrame | Located, id_col: str = "doc_id", text_col: str = "text", key_bytes: int = 32, files_per_batch: int | None = None, rows_per_salt: int = 4096) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256, and the locator (file, row).
 
     key_bytes: how much of the SHA-256 digest keys the state; whatever it is, full bytes decide. Large groups are
     compared with their holder in salted parts of about rows_per_salt rows.
     """
-    spark = docs.sparkSession
     rows = located(docs, id_col, text_col)
+    spark = rows.sparkSession
     sha = F.unhex(F.sha2("norm", 256))
     log = stage(rows.select("id", "file", "row", sha.alias("sha")).withColumn("key", F.substring("sha", 1, key_bytes)), "dedup-log")
-    state = stage(fold_digests(spark, log, files_per_batch), "dedup-held")
-    assigned = stage(log.join(state.hint("merge"), "key"), "dedup-assigned")
+    state = fold_digests(spark, log, files_per_batch)
+    # copies of one text meet its state in SALTS parts
+    salted = log.withColumn("salt", F.pmod(F.xxhash64("file", "row"), F.lit(SALTS)))
+    parted = salted.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("n")).drop("n").join(state.hint("merge"), "key")
+    assigned = stage(salted.join(parted.hint("merge"), ["key", "salt"]).drop("salt"), "dedup-assigned")
     hits = stage(assigned.where("size > 1").drop("sha"), "dedup-hits")
     texts = stage(maybe_in(rows.drop("id"), hits, "file", "row").join(hits.hint("merge"), ["file", "row"]), "dedup-texts")
     parts = F.ceil(F.col("size") / rows_per_salt).cast("int")
@@ -92,8 +101,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs, its columns unchanged, without the rows whose text an earlier row has."""
     at = with_locator(docs)
-    lost = exact_dedup(at, id_col, text_col, **how).where("not kept").select(F.col("file").alias(FILE), F.col("row").alias(ROW))
-    return at.join(stage(lost, "dedup-lost"), [FILE, ROW], "left_anti").select(*docs.columns)
+    lost = exact_dedup(at, id_col, text_col, **how).where("not kept").select(F.col("file").alias(at.file), F.col("row").alias(at.row))
+    return at.rows.join(stage(lost, "dedup-lost"), at.place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sameword.shared import stage
+from sameword.shared import fresh_name, stage
+
+
+@dataclass
+class Located:
+    """A table with a file and a row column, named so that they clash with none of its own. file is a hash of the path,
+    which file_table() has in full."""
+
+    rows: DataFrame
+    file: str
+    row: str
+
+    @property
+    def place(self) -> list[str]:
+        return [self.file, self.row]
+
+
+def hidden(docs: DataFrame):
+    """The scan's metadata, also where the table has a column of that name."""
+    return docs.metadataColumn("_metadata")
+
 
-FILE, ROW = "_at_file", "_at_row"
+def with_locator(docs: DataFrame) -> Located:
+    """A row's locator is equal at every reading. A table that isn't read from files is written to the shared folder first."""
+    file, row = fresh_name("_at_file", *docs.columns), fresh_name("_at_row", *docs.columns)
+    for at in (docs, None):
+        at = stage(docs, "located") if at is None else at
+        try:
+            return Located(at.select("*", F.xxhash64(hidden(at)["file_path"]).alias(file), hidden(at)["row_index"].alias(row)), file, row)
+        except AnalysisException:
+            if at is not docs:
+                raise
+    raise AssertionError
 
 
-def with_locator(docs: DataFrame) -> DataFrame:
-    """docs with _at_file and _at_row, equal for a row at every reading. Other tables are written to the shared folder first."""
-    if FILE in docs.columns and ROW in docs.columns:
-        return docs
-    try:
-        return docs.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
-    except AnalysisException:
-        return with_locator(stage(docs, "located"))
+def file_table(docs: DataFrame) -> DataFrame:
+    """file, path: the files that the locators of a table's rows name."""
+    path = hidden(docs)["file_path"]
+    return docs.select(F.xxhash64(path).alias("file"), path.alias("path")).distinct()

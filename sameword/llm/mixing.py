@@ -7,7 +7,7 @@ the last epoch ends where the budget does. Sources interleave by the share of th
 
 Defined cases: a null source is a source of its own; a null or empty text counts as one token, so that it has a place;
 repeated rows are rows of their own; one source gets weight 1; an empty table gives an empty result; the table's other
-columns stay as they are.
+columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sameword.llm.locate import FILE, ROW, with_locator
-from sameword.shared import stage
+from sameword.llm.locate import Located, with_locator
+from sameword.shared import fresh_name, stage
 
 BLOCK_TOKENS = 1_000_000
 REPEATS = 2.0
@@ -68,9 +68,13 @@ def plan_of(totals: DataFrame, exponent: float, budget: float | None = None, blo
     return out.withColumns({"epochs": F.col("budget") / F.col("tokens"), "blocks": F.ceil(F.col("tokens") / block_tokens).cast("long")})
 
 
-def mix_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", repeats: float = REPEATS, entropy: float | None = None, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
+FILE, ROW = "at_file", "at_row"
+
+
+def mix_order(docs: DataFrame | Located, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", repeats: float = REPEATS, entropy: float | None = None, budget: float | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 17) -> DataFrame:
     """A row for each place in the mix: id, source, tokens, weight, epoch, block, seq (0 to 1, the order), and locator."""
-    slim = stage(with_locator(docs).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), tokens_of(F.col(text_col)).alias("tokens"), FILE, ROW), "mix-rows")
+    at = docs if isinstance(docs, Located) else with_locator(docs)
+    slim = stage(at.rows.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), tokens_of(F.col(text_col)).alias("tokens"), F.col(at.file).alias(FILE), F.col(at.row).alias(ROW)), "mix-rows")
     totals = stage(totals_of(slim), "mix-totals")
     plan = stage(plan_of(totals, bisect_exponent(totals, repeats, entropy), budget, block_tokens), "mix-plan")
     own = plan.select(F.col("source").alias("s"), F.col("tokens").alias("all"), "weight", "budget", "blocks")
@@ -90,8 +94,9 @@ def mix_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents, columns unchanged, written in the order of the mix."""
     at = with_locator(docs)
-    order = stage(mix_order(at, **how).select(F.col("seq").alias("_mix_seq"), FILE, ROW), "mix-order")
-    return at.join(order, [FILE, ROW]).repartitionByRange("_mix_seq", FILE, ROW).sortWithinPartitions("_mix_seq", FILE, ROW).select(*docs.columns)
+    seq = fresh_name("_mix_seq", *at.rows.columns)
+    order = stage(mix_order(at, **how).select(F.col("seq").alias(seq), F.col(FILE).alias(at.file), F.col(ROW).alias(at.row)), "mix-order")
+    return at.rows.join(order, at.place).repartitionByRange(seq, *at.place).sortWithinPartitions(seq, *at.place).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

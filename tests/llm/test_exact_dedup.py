@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 
 from sameword.llm.exact_dedup import exact_dedup, keep_one
+from sameword.llm.locate import file_table
 
 ROWS = [(5, "a  b"), (3, "a\tb"), (9, None), (7, ""), (2, "\n"), (1, " "), (4, "A b"), (4, "A b"), (None, "A b"), (None, "only"), (6, "é" * 50000), (8, "a b"), (10, "é" * 50000)] + [(100 + i, "hot") for i in range(60)]
 
@@ -31,3 +32,19 @@ def test_kept_rows_and_small_batches(spark, tmp_path):
 
 def test_empty(spark):
     assert exact_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_names_that_clash_and_files(spark, tmp_path):
+    table = spark.createDataFrame([(i, "x" if i < 3 else "y", i, i, i) for i in range(5)], "doc_id long, text string, _metadata long, _at_file long, _at_row long")
+    table.write.parquet(str(tmp_path / "t"))
+    for docs in (table, spark.read.parquet(str(tmp_path / "t"))):
+        got = keep_one(docs)
+        assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [(0, "x", 0, 0, 0), (3, "y", 3, 3, 3)]
+    held = exact_dedup(docs).select("file").distinct().join(file_table(docs), "file").collect()
+    assert held and all(str(tmp_path) in r.path for r in held)
+
+
+def test_string_identifiers_and_empty(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "x"), (None, "z")], "doc_id string, text string")
+    assert sorted((r.id or "", r.keep_id or "", r.kept) for r in exact_dedup(docs).collect()) == [("", "", True), ("a", "a", True), ("b", "a", False)]
+    assert exact_dedup(docs.limit(0)).count() == 0

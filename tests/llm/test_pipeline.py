@@ -40,3 +40,34 @@ def test_stages_against_brute_force(spark):
         assert docs.columns == columns and {r.doc_id for r in docs.collect()} == ids, name
     out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def odd(spark):
+    """Nulls in every column, an empty and a long text, repeated rows, and columns with the names the stages use."""
+    names = ["_score", "_metadata", "_at_file", "_at_row", "_mix_seq", "id", "class", "comp", "_id", "_text", "tokens", "component_id"]
+    rows = [(1, "some words " * 30, "en", "a", 9), (2, None, None, None, None), (3, "", "en", "a", 0), (None, "some words " * 30, "en", "b", 1), (4, "long text " * 20000, "en", "b", 1), (1, "some words " * 30, "en", "a", 9), (5, "other words for a near copy of this text " * 9, "en", "a", 1), (6, "other words for a near copy of this text " * 9 + "end", "en", "a", 1)]
+    return spark.createDataFrame([(*r, *[42.0] * len(names)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` double" for n in names))
+
+
+def test_each_stage_with_odd_rows_and_names(spark):
+    docs = odd(spark)
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        got = step(spark, docs, SF)
+        assert got.columns == docs.columns, name
+        kept = got.collect()
+        assert all(r[c] == 42.0 for r in kept for c in docs.columns[5:]), name
+        by_id = [r.doc_id for r in kept]
+        if name == "exact_dedup":  # copies of 1, the null identifier's row among them, and of the empty text
+            assert sorted(by_id) == [1, 2, 4, 5, 6]
+        if name == "ngram_join":
+            assert sorted(x or 0 for x in by_id) == [0, 1, 1, 2, 3, 4, 5]
+        if name == "mixing":
+            assert {(x, by_id.count(x) > 0) for x in (None, 1, 2, 3, 4, 5, 6)} == {(x, True) for x in (None, 1, 2, 3, 4, 5, 6)}
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert out.count() == docs.count() and out.where("doc_id = 2").first().n_tokens == 0
+
+
+def test_each_stage_with_an_empty_table(spark):
+    docs = odd(spark).limit(0)
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, docs, SF).count() == 0
