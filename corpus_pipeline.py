@@ -1,4 +1,10 @@
-"""The corpus pipeline: quality, exact copies, near copies, mix, tokens."""
+"""The corpus pipeline: quality, exact copies, near copies, mix, tokens.
+
+Defined cases, for every stage: a null or empty text is a text like any other (one empty passage, one token, no
+shingles, no near copies); repeated rows are copies, of which one stays; rows with a null identifier are scored, deduped
+exactly, never near copies, mixed and encoded; an empty table gives an empty table; extra columns, whatever their names,
+go through all stages but the last unchanged.
+"""
 
 from __future__ import annotations
 
@@ -6,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sameword.llm import bpe, exact_dedup, mixing, ngram_join, quality
-from sameword.shared import stage
+from sameword.shared import fresh_name, stage
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on labelled documents that are still here, accepts."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, score_col="_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    name = fresh_name("_score", *docs.columns)
+    return quality.score(docs, model, score_col=name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
