@@ -7,8 +7,9 @@ import time
 from pyspark.sql import SparkSession
 
 from sameword.plans import registry
+from sameword.shared import clear
 
-NAMES = ["clean_text", "boilerplate_strip", "minhash_signature", "minhash_groups", "lsh_candidates", "exact_jaccard_pairs", "band_join_events", "window_neighbour_count", "dedup_exact_keep_first", "connected_components", "cluster_output", "pair_metrics"]
+NAMES = ["clean_text", "boilerplate_strip", "minhash_signature", "minhash_groups", "lsh_candidates", "exact_jaccard_pairs", "band_join_events", "window_neighbour_count", "dedup_exact_keep_first", "connected_components", "cluster_output", "pair_metrics", "window_cosine_pairs", "window_cosine_veto", "threshold_sweep", "rerank_sigmoid_filter", "louvain_clusters", "flagship_pipeline"]
 
 
 def main() -> None:
@@ -24,6 +25,7 @@ def main() -> None:
         began = time.time()
         registry.QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - began, 2)
+        clear(spark)
     print(json.dumps({"metric": "headline queries, total", "value": round(sum(times.values()), 2), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/"))}))
 
 

@@ -1,10 +1,15 @@
-"""Clusters: restoring collapsed rows, canonical articles, outputs, and their quality (JO3, JO7, AG9-AG16, SE1-SE2)."""
+"""Clusters: restoring collapsed rows, canonical articles, outputs, pairs for experts, and their quality (JO3, JO7, JO8,
+AG9-AG16, SA2, SA5, SE1-SE2)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sameword.functions import text as T
+from sameword.operators.ingest import dense_ids
+
 
 def restore(assigned: DataFrame, groups: DataFrame) -> DataFrame:
     """JO3: cluster of every member, from clusters of those that stand for them."""
@@ -28,6 +33,26 @@ def pairs_within(rows: DataFrame, group: str, id_col: str = "id") -> DataFrame:
     return a.join(b, group).where("id_a < id_b").select("id_a", "id_b").distinct()
 
 
+def expert_pairs(assigned: DataFrame, articles: DataFrame, order: str, most: int = 500, seed: str = "42") -> DataFrame:
+    """pair_id, news_id_a, news_id_b, text_a, text_b, algorithmic_label, place (SA2, SA5, JO8, FI11, PR26).
+
+    Seeded samples of at most `most` pairs of natural articles of one cluster, then of several; place is the shuffled
+    order in which they are judged. Negatives: each article draws one partner, refused if it is in the same cluster.
+    order: a column that numbers the articles, unique; only sampled rows are numbered here."""
+    nat = articles.where(T.is_original(F.col("id"))).join(assigned, "id").select("id", order, "cluster_id")
+    by = lambda a, b: F.md5(F.concat_ws("|", F.lit(seed), a, b))
+    pos = pairs_within(nat, "cluster_id").withColumn("o", by("id_a", "id_b")).orderBy("o").limit(most).withColumn("label", F.lit(1))
+    placed = dense_ids(nat, order, -1).withColumnRenamed("new_id", "at")
+    drawn = placed.withColumn("other", F.pmod(T.draw(F.lit("n"), F.col("id")), F.lit(nat.count())))
+    found = drawn.join(placed.select(F.col("at").alias("other"), F.col("id").alias("id_b"), F.col("cluster_id").alias("c_b")), "other").where(~F.col("cluster_id").eqNullSafe(F.col("c_b")))
+    neg = found.select(F.col("id").alias("id_a"), "id_b").withColumn("o", by("id_a", "id_b")).orderBy("o").limit(most).withColumn("label", F.lit(0))
+    numbered = pos.union(neg).withColumn("pair_id", (F.row_number().over(W.orderBy(F.desc("label"), "o")) - 1).cast("long"))
+    numbered = numbered.withColumn("place", (F.row_number().over(W.orderBy(F.md5(F.concat(F.lit("s|"), F.col("pair_id").cast("string"))), "pair_id")) - 1).cast("long"))
+    told = articles.select("id", T.pair_text(F.col("title"), F.col("text")).alias("t"))
+    out = numbered.join(told.select(F.col("id").alias("id_a"), F.col("t").alias("text_a")), "id_a").join(told.select(F.col("id").alias("id_b"), F.col("t").alias("text_b")), "id_b")
+    return out.select("pair_id", F.col("id_a").alias("news_id_a"), F.col("id_b").alias("news_id_b"), "text_a", "text_b", F.col("label").alias("algorithmic_label"), "place")
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 

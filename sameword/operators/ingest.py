@@ -1,23 +1,41 @@
-"""Validation, filters and exact-copy rules (IO2-IO5, FI1-FI6, FI14, AG5-AG8, PR25)."""
+"""Validation, filters and exact-copy rules (IO2-IO5, FI1-FI6, FI13, FI14, AG5-AG8, AG17, AG18, PR25)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sameword.functions import text as T
 
-# What a failed scrape looks like.
-BROKEN = ("Access to this page has been denied", "Target URL returned error", "Just a moment...", "Press & Hold to confirm you are a human", "Markdown Content: Before we continue", "Risk Disclosure")
+# What a failed scrape looks like (FI1), and the shorter list (FI2).
+BROKEN = (
+    "Yahoo on osa",
+    "Just a moment...",
+    "Access to this page has been denied",
+    "Target URL returned error",
+    "Prices of cryptocurrencies",
+    "Markdown Content: Before we continue",
+)
+BROKEN_SHORT = (
+    "Yahoo on osa",
+    "Just a moment...",
+    "Access to this page has been denied",
+)
+
+
+def article_time(c: Column) -> Column:
+    """ISO dates, with a zone or in the session's, and seconds since 1970; null for anything else."""
+    seconds = F.when(c.rlike(r"^-?\d+(\.\d+)?$"), F.timestamp_micros((c.try_cast("decimal(20,6)") * 1_000_000).cast("long")))
+    return F.when(c.rlike(r"^\d{4}-\d{2}-\d{2}($|[T ])"), F.try_to_timestamp(c)).otherwise(seconds)
 
 
 def validate(raw: DataFrame) -> DataFrame:
     """IO5: rows of the article schema; a row whose required field is null or whose label is no integer goes."""
-    made = raw.withColumns({"ts": F.try_to_timestamp("published_at"), "label": F.col("true_cluster_id").try_cast("bigint")})
+    made = raw.withColumns({"ts": article_time(F.col("published_at")), "label": F.col("true_cluster_id").try_cast("bigint")})
     ok = F.col("id").isNotNull() & F.col("title").isNotNull() & F.col("text").isNotNull() & F.col("source").isNotNull() & F.col("ts").isNotNull()
     ok &= F.col("true_cluster_id").isNull() | F.col("label").isNotNull()
     return made.where(ok).select("id", "title", "text", "source", F.col("ts").alias("published_at"), F.col("label").alias("true_cluster_id"))
@@ -48,6 +66,25 @@ def long_enough(rows: DataFrame, text: str = "text", least: int = 100) -> DataFr
     return rows.where(F.length(T.strip(F.col(text))) >= least)
 
 
+def drop_known_lines(rows: DataFrame, id_col: str, text_col: str, known: DataFrame) -> DataFrame:
+    """PR2 for a dictionary (line) of any size: lines of over 15 characters, stripped, meet it in an anti join, and what is
+    left is put together again in order. A text whose lines all go is empty. Identifiers are unique."""
+    lines = rows.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("_pos", "_raw")).withColumn("line", T.strip(F.col("_raw")))
+    kept = lines.join(known.where(F.length("line") > 15).select("line").distinct(), "line", "left_anti")
+    made = kept.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_raw"))), lambda s: s["_raw"]), "\n").alias("_t"))
+    return rows.join(made, id_col, "left").withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.coalesce("_t", F.lit("")))).drop("_t")
+
+
+def up_to(rows: DataFrame, have: int, target: int, order: str) -> DataFrame:
+    """FI13: so many more rows, in order, that the target is met."""
+    return rows.orderBy(order).limit(max(0, target - have))
+
+
+def shuffled(rows: DataFrame, order: str, seed: str = "42") -> DataFrame:
+    """IO4: a permutation that a seed fixes."""
+    return rows.orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(order).cast("string"))), order)
+
+
 def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
     """AG5, AG8: of each key the first in order. Only key and order are moved before rows are chosen."""
     first = rows.groupBy(key.alias("_k")).agg(F.min(order).alias("_o")).select("_o")
@@ -55,17 +92,28 @@ def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
 
 
 def merge_labels(rows: DataFrame, key: Column, order: str, least: int = 50) -> DataFrame:
-    """AG6: every row of a key gets the first holder's label, or its id; keys of up to `least` characters don't merge."""
-    k = rows.withColumn("_k", key)
-    first = k.where(F.length("_k") > least).groupBy("_k").agg(F.min_by(F.coalesce(F.when(F.col("true_cluster_id") != 0, F.col("true_cluster_id")), F.col(order)), order).alias("_l"))
-    return k.join(first, "_k", "left").withColumn("true_cluster_id", F.coalesce("_l", "true_cluster_id")).drop("_k", "_l")
-
-
-def merge_later(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """AG7: later holders get the first one's label as it is, null too; the first row stays untouched."""
-    k = rows.withColumn("_k", key)
-    first = k.groupBy("_k").agg(F.min_by(F.struct("true_cluster_id"), order).alias("_l"), F.min(order).alias("_o"))
-    return k.join(first, "_k").withColumn("true_cluster_id", F.when(F.col(order) == F.col("_o"), F.col("true_cluster_id")).otherwise(F.col("_l.true_cluster_id"))).drop("_k", "_l", "_o")
+    """AG6: every row gets the label of its key's first holder, or that one's identifier where it has none or 0. Keys of up
+    to `least` characters (and null ones) don't merge: their rows keep their own label, or get their own identifier."""
+    own = F.coalesce(F.when(F.col("true_cluster_id") != 0, F.col("true_cluster_id")), F.col(order))
+    k = rows.withColumn("_k", F.when(F.length(key) > least, key))
+    first = k.where("_k is not null").groupBy("_k").agg(F.min_by(own, order).alias("_l"))
+    return k.join(first, "_k", "left").withColumn("true_cluster_id", F.coalesce(F.col("_l"), own)).drop("_k", "_l")
+
+
+def merge_later(rows: DataFrame, key: Column, order: str, absent: Column | None = None) -> DataFrame:
+    """AG7: later holders get the first one's label as it is, null too; the first row stays untouched. absent: where the
+    first holder's record has no label at all, not even null, its identifier is the label. Null keys are one key."""
+    k = rows.withColumns({"_k": key, "_a": F.lit(False) if absent is None else absent})
+    label = F.when(F.col("_a"), F.col(order)).otherwise(F.col("true_cluster_id"))
+    first = k.groupBy("_k").agg(F.min_by(F.struct(label.alias("l")), order).alias("_l"), F.min(order).alias("_o")).withColumnRenamed("_k", "_key")
+    met = k.join(first, F.col("_k").eqNullSafe(F.col("_key")))
+    return met.withColumn("true_cluster_id", F.when(F.col(order) == F.col("_o"), F.col("true_cluster_id")).otherwise(F.col("_l.l"))).drop("_k", "_key", "_l", "_o", "_a")
+
+
+def reported(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """AG17, AG18: the rows, and their count (get["rows"]) once something has run over them."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
 def unseen(rows: DataFrame, seen: DataFrame, key: str) -> DataFrame:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = 4294967311
+#: Words whose n values are held at once.
+AT_ONCE = 8192
 
 
 def coefficients(n: int) -> list[tuple[int, int]]:
@@ -19,11 +27,43 @@ def coefficients(n: int) -> list[tuple[int, int]]:
 
 
 def signatures(rows: DataFrame, id_col: str, tokens: Column, n: int = 128) -> DataFrame:
-    """id, sig: the least of (a h + b) mod p over a token set, for each of n functions; all p where there are no tokens."""
-    words = rows.select(id_col, F.explode(F.array_distinct(tokens)).alias("w")).select(id_col, F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long").alias("h"))
-    mins = words.groupBy(id_col).agg(*[F.min((F.lit(a) * F.col("h") + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(coefficients(n))])
-    sig = mins.select(id_col, F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
-    return rows.select(id_col).join(sig, id_col, "left").select(id_col, F.coalesce("sig", F.array_repeat(F.lit(PRIME).cast("long"), n)).alias("sig"))
+    """id, sig: the least of (a h + b) mod p over a token set, for each of n functions; all p where there are no tokens.
+
+    No shuffle: a batch's distinct words are hashed once, their n values are rows of a table, and a document takes the
+    least of its words' rows."""
+    a, b = (np.array(x, np.uint64) for x in zip(*coefficients(n), strict=True))
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            words = lists.flatten().dictionary_encode()
+            sizes = np.nan_to_num(pc.list_value_length(lists).to_numpy(zero_copy_only=False)).astype(np.int64)
+            at = words.indices.to_numpy()
+            sig = np.full((batch.num_rows, n), PRIME, np.uint64)
+            first = np.cumsum(sizes) - sizes
+            h = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in words.dictionary.to_pylist()], np.uint64)
+            full = np.flatnonzero(sizes)
+            for some in np.array_split(full, max(1, int(sizes.sum()) // AT_ONCE)):
+                if len(some):
+                    here = at[first[some[0]] : first[some[-1]] + sizes[some[-1]]]
+                    own, index = np.unique(here, return_inverse=True)
+                    values = (h[own][:, None] * a + b) % np.uint64(PRIME)
+                    for cut in (some,) if len(here) <= 4 * AT_ONCE else np.array_split(some, len(some)):
+                        shift = first[cut] - first[some[0]]
+                        part = index[shift[0] : shift[-1] + sizes[cut[-1]]]
+                        sig[cut] = least(values, part, shift - shift[0])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * n, pa.int32()), pa.array(sig.ravel().astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], [id_col, "sig"])
+
+    return rows.select(id_col, tokens.alias("w")).mapInArrow(run, f"{id_col} {kind}, sig array<bigint>")
+
+
+def least(values: np.ndarray, part: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The least row of values for each run of part; a run too long for one table goes in pieces."""
+    if len(part) <= 4 * AT_ONCE:
+        return np.minimum.reduceat(values[part], starts, axis=0)
+    return np.minimum.reduce([values[part[k : k + AT_ONCE]].min(0) for k in range(0, len(part), AT_ONCE)])[None, :]
 
 
 def estimate(a: Column, b: Column, n: int = 128) -> Column:
@@ -37,16 +77,31 @@ def signature_groups(rows: DataFrame, id_col: str, time_col: str) -> DataFrame:
     return keyed.join(rep, "k").select("rep_id", F.col(id_col).alias("member_id"))
 
 
+def representatives(rows: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """id and rep, the smallest identifier with an equal key. Copies of one key are counted in parts before they meet."""
+    keyed = rows.select(id_col, key.alias("_k"))
+    reps = keyed.groupBy("_k").agg(F.min(id_col).alias("rep"))
+    return keyed.join(reps, "_k").select(id_col, "rep")
+
+
 def band_candidates(sig: DataFrame, id_col: str, bands: int = 32, rows: int = 4) -> DataFrame:
-    """Pairs that share a band, smaller id first. Equal signatures should be collapsed before."""
-    keys = sig.select(id_col, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.md5(F.array_join(F.slice(F.col("sig"), b * rows + 1, F.lit(rows)), ",")))).alias("band", "k"))
+    """id_a, id_b: pairs of representatives that share a band, smaller first, and each representative with the others of
+    its signature. Copies never meet each other."""
+    same = representatives(sig, id_col, F.md5(F.array_join("sig", ",")))
+    own = sig.join(same.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
+    keys = own.select(id_col, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.md5(F.array_join(F.slice(F.col("sig"), b * rows + 1, F.lit(rows)), ",")))).alias("band", "k"))
     a, b = keys.select(F.col(id_col).alias("id_a"), "band", "k"), keys.select(F.col(id_col).alias("id_b"), "band", "k")
-    return a.join(b, ["band", "k"]).where("id_a < id_b").select("id_a", "id_b").distinct()
+    copies = same.where(F.col(id_col) != F.col("rep")).select(F.col("rep").alias("id_a"), F.col(id_col).alias("id_b"))
+    return a.join(b, ["band", "k"]).where("id_a < id_b").select("id_a", "id_b").distinct().union(copies)
 
 
 def jaccard_pairs(sets: DataFrame, id_col: str, tokens_col: str, least: float) -> DataFrame:
-    """Exact Jaccard of at least `least`: rare-first prefixes find candidates, whole sets decide."""
-    words = sets.select(id_col, F.explode(F.array_distinct(tokens_col)).alias("w"))
+    """id_a, id_b, jaccard of at least `least`: pairs of representatives of equal sets (rare-first prefixes find them,
+    whole sets decide), and each representative with the others of its set. Empty sets link with nothing."""
+    distinct = sets.select(id_col, F.array_distinct(tokens_col).alias("_s")).where(F.size("_s") > 0)
+    same = representatives(distinct, id_col, F.sha2(F.array_join(F.array_sort("_s"), "\x00"), 256))
+    own = distinct.join(same.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
+    words = own.select(id_col, F.explode("_s").alias("w"))
     df = words.groupBy("w").agg(F.count("*").alias("df"))
     ordered = words.join(df, "w").groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda s: s["w"]).alias("ws"))
     n = F.size("ws")
@@ -54,7 +109,7 @@ def jaccard_pairs(sets: DataFrame, id_col: str, tokens_col: str, least: float) -
     a = pre.select(F.col(id_col).alias("id_a"), F.col("n").alias("na"), "w")
     b = pre.select(F.col(id_col).alias("id_b"), F.col("n").alias("nb"), "w")
     near = a.join(b, "w").where((F.col("id_a") < F.col("id_b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("id_a", "id_b").distinct()
-    whole = ordered.select(id_col, "ws")
-    met = near.join(whole.select(F.col(id_col).alias("id_a"), F.col("ws").alias("wa")), "id_a").join(whole.select(F.col(id_col).alias("id_b"), F.col("ws").alias("wb")), "id_b")
+    met = near.join(own.select(F.col(id_col).alias("id_a"), F.col("_s").alias("wa")), "id_a").join(own.select(F.col(id_col).alias("id_b"), F.col("_s").alias("wb")), "id_b")
     both = F.size(F.array_intersect("wa", "wb"))
-    return met.withColumn("jaccard", both / (F.size("wa") + F.size("wb") - both)).where(F.col("jaccard") >= least).select("id_a", "id_b", "jaccard")
+    pairs = met.withColumn("jaccard", both / (F.size("wa") + F.size("wb") - both)).where(F.col("jaccard") >= least).select("id_a", "id_b", "jaccard")
+    return pairs.union(same.where(F.col(id_col) != F.col("rep")).select(F.col("rep").alias("id_a"), F.col(id_col).alias("id_b"), F.lit(1.0).alias("jaccard")))

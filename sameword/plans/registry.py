@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from sameword.config import BAD_PHRASES, DedupConfig
 from sameword.functions import text as T
-from sameword.operators import clusters, graph, ingest, sketch, windowed
+from sameword.operators import clusters, graph, ingest, judge, sketch, windowed
 from sameword.plans.pipeline import DedupPipeline, trigram_logit
 from sameword.shared import stage
 from sameword.sources.readers import main_text
@@ -23,7 +23,11 @@ SQUEEZE = r"trim(regexp_replace({}, '[\s\p{{Z}}]+', ' ', 'g'))"
 ART = r"""art AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS text, source,
   CASE WHEN left(split_part(coalesce(text, ''), '. ', 1), 100) <> '' THEN left(split_part(coalesce(text, ''), '. ', 1), 100) || '...' ELSE 'News Article' END AS title,
   TIMESTAMP '2024-01-01' + ((doc_id * 7919) % 43200) * INTERVAL 1 MINUTE AS published_at FROM documents)"""
-KEY = "regexp_replace(replace(replace(replace(regexp_replace(text, 'Reference ID [a-z0-9-]+', '', 'g'), 'Ad Disclosure', ''), 'Advertisement', ''), 'Sponsored Content', ''), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')"
+# Fixed values, as texts of the oracle.
+KEY = r"""regexp_replace(replace(replace(replace(regexp_replace(text, 'Reference ID [a-z0-9-]+', '', 'g'),
+  'Warning: This page maybe requiring CAPTCHA, please make sure you are authorized to access this page.', ''),
+  'Trusted Editorial content, reviewed by leading industry experts and seasoned editors.', ''),
+  'Ad Disclosure', ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"""
 LAB = ART + f""", keyed AS (SELECT *, {KEY} AS k FROM art),
 lab AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY k) > 1 THEN CAST(min(doc_id) OVER (PARTITION BY k) AS VARCHAR) END AS label FROM keyed)"""
 TOKS = ART + f", toks AS (SELECT id, published_at, {TOK.format('text')} AS t FROM art)"
@@ -38,6 +42,17 @@ def articles(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.col("doc_id").cast("string").alias("id"), T.made_up_title(F.lit(None).cast("string"), text).alias("title"), text.alias("text"), "source", at.alias("published_at"))
 
 
+#: What makes copies of a text differ until its key is taken; 'Ad Disclosur' and an upper-case reference stay in it.
+NOISY = """CASE doc_id % 8 WHEN 0 THEN text || ' Ad Disclosure' WHEN 1 THEN 'Warning: This page maybe requiring CAPTCHA, please make sure you are authorized to access this page. ' || text
+  WHEN 2 THEN text || 'Trusted Editorial content, reviewed by leading industry experts and seasoned editors.' WHEN 3 THEN 'Reference ID 0a-b9 ' || text
+  WHEN 4 THEN CASE WHEN doc_id % 3 = 0 THEN 'short' ELSE text || ' Reference ID AB' END WHEN 5 THEN text || ' Ad Disclosur' ELSE text END"""
+NOISED = f"noised AS (SELECT * REPLACE ({NOISY} AS text) FROM art)"
+
+
+def noised(spark: SparkSession, sf: str) -> DataFrame:
+    return articles(spark, sf).withColumn("text", F.expr(NOISY))
+
+
 def labelled(a: DataFrame) -> DataFrame:
     """Exact copies share a label, their first id."""
     k = a.withColumn("k", T.noise_key(F.col("text")))
@@ -105,12 +120,9 @@ def boilerplate_mine(spark, sf):
 
 @query(f"WITH {ART}, {LINES}, p AS (SELECT doc_id, pos, raw FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM art)), k AS (SELECT * FROM p WHERE {STRIP.format('raw')} NOT IN (SELECT line FROM boiler)) SELECT a.doc_id, md5(coalesce(string_agg(k.raw, chr(10) ORDER BY pos), '')) AS text_md5 FROM art a LEFT JOIN k ON a.doc_id = k.doc_id GROUP BY a.doc_id")
 def boilerplate_strip(spark, sf):
-    """PR2 for a dictionary of any size: lines meet it in an anti join and are put together again in order."""
+    """PR2 for a dictionary of any size."""
     a = articles(spark, sf)
-    lines = a.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", T.strip(F.col("raw")))
-    kept = lines.join(boilerplate(a).select("line"), "line", "left_anti")
-    made = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda s: s["raw"]), "\n").alias("t"))
-    return a.select("doc_id").join(made, "doc_id", "left").select("doc_id", F.md5(F.coalesce("t", F.lit(""))).alias("text_md5"))
+    return ingest.drop_known_lines(a, "doc_id", "text", boilerplate(a)).select("doc_id", F.md5("text").alias("text_md5"))
 
 
 PHRASES = ("the ", "and", "ing", "e.\n", *BAD_PHRASES)
@@ -156,11 +168,18 @@ def fill_title_date(spark, sf):
     return a.select("id", T.made_up_title(F.col("t"), F.col("text")).alias("title"), F.coalesce(F.nullif("d", F.lit("")), F.lit("2024-01-01")).alias("published_at"))
 
 
-@query(f"WITH {ART} SELECT id, CASE WHEN doc_id % 5 = 4 THEN NULL WHEN doc_id % 5 = 3 THEN epoch_us(published_at - INTERVAL 3 HOUR) ELSE epoch_us(published_at) END AS t_us FROM art")
+DATES = """CASE doc_id % 9 WHEN 0 THEN strftime(published_at, '%Y-%m-%dT%H:%M:%S') WHEN 1 THEN strftime(published_at, '%a, %d %b %Y %H:%M:%S GMT')
+  WHEN 2 THEN strftime(published_at, '%-d %b %Y %H:%M:%S -0530') WHEN 3 THEN strftime(published_at, '%Y-%m-%dT%H:%M:%S+03:00') WHEN 4 THEN 'soon'
+  WHEN 5 THEN strftime(published_at, '%B %-d, %Y') WHEN 6 THEN strftime(published_at, '%Y/%m/%d') WHEN 7 THEN '' END"""
+
+
+@query(f"WITH {ART} SELECT id, {DATES} AS raw, CASE doc_id % 9 WHEN 2 THEN strftime(published_at, '%Y-%m-%dT%H:%M:%S-05:30') WHEN 3 THEN strftime(published_at, '%Y-%m-%dT%H:%M:%S+03:00') WHEN 4 THEN 'soon' WHEN 5 THEN strftime(published_at, '%Y-%m-%dT00:00:00+00:00') WHEN 6 THEN strftime(published_at, '%Y-%m-%dT00:00:00+00:00') WHEN 7 THEN '' WHEN 8 THEN NULL ELSE strftime(published_at, '%Y-%m-%dT%H:%M:%S+00:00') END AS published_at, CASE WHEN doc_id % 9 IN (4, 7, 8) THEN NULL WHEN doc_id % 9 = 2 THEN epoch_us(published_at + INTERVAL 330 MINUTE) WHEN doc_id % 9 = 3 THEN epoch_us(published_at - INTERVAL 3 HOUR) WHEN doc_id % 9 IN (5, 6) THEN epoch_us(date_trunc('day', published_at)) ELSE epoch_us(published_at) END AS t_us FROM art")
 def parse_dates(spark, sf):
-    p, m = F.col("published_at"), F.col("doc_id") % 5
-    raw = F.when(m == 0, F.date_format(p, "yyyy-MM-dd'T'HH:mm:ss")).when(m == 1, F.date_format(p, "EEE, d MMM yyyy HH:mm:ss 'GMT'")).when(m == 2, F.date_format(p, "d MMM yyyy HH:mm:ss '+0000'")).when(m == 3, F.date_format(p, "yyyy-MM-dd'T'HH:mm:ss'+03:00'")).otherwise("soon")
-    return articles(spark, sf).select("id", F.unix_micros(T.flexible_date(raw)).alias("t_us"))
+    p, m = F.col("published_at"), F.col("doc_id") % 9
+    day = lambda f: F.date_format(p, f)
+    raw = F.when(m == 0, day("yyyy-MM-dd'T'HH:mm:ss")).when(m == 1, day("EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(m == 2, day("d MMM yyyy HH:mm:ss '-0530'"))
+    raw = raw.when(m == 3, day("yyyy-MM-dd'T'HH:mm:ss'+03:00'")).when(m == 4, "soon").when(m == 5, day("MMMM d, yyyy")).when(m == 6, day("yyyy/MM/dd")).when(m == 7, "")
+    return articles(spark, sf).select("id", raw.alias("raw")).select("id", "raw", T.fixed_date(F.col("raw")).alias("published_at"), F.unix_micros(T.flexible_date(F.col("raw"))).alias("t_us"))
 
 
 @query(r"WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS source FROM pages) SELECT page_id, source, CASE WHEN contains(source, '.ru') OR contains(source, 'meduza') THEN 'ru' ELSE 'en' END AS lang FROM p")
@@ -176,18 +195,24 @@ def html_extract(spark, sf):
 
 # -- filters and exact copies
 
-MARKS6, MARKS3 = ("###", "%%%", "!!", "http", "Licensed", " | "), ("###", "%%%", "!!")
-no_marks = lambda marks: " AND ".join(f"NOT contains(text, '{m}')" for m in marks)
+# Fixed values, as texts of the oracle; the last two are no markers.
+MARKED = """marked AS (SELECT * REPLACE (text || CASE doc_id % 10 WHEN 0 THEN 'Yahoo on osa' WHEN 1 THEN ' Just a moment...' WHEN 2 THEN 'Access to this page has been denied'
+  WHEN 3 THEN 'Target URL returned error 403' WHEN 4 THEN 'Prices of cryptocurrencies' WHEN 5 THEN 'Markdown Content: Before we continue' WHEN 6 THEN 'just a moment...' WHEN 7 THEN 'Risk Disclosure' ELSE '' END AS text) FROM art)"""
 
 
-@query(f"WITH {ART} SELECT id FROM art WHERE {no_marks(MARKS6)}")
+def marked(spark, sf) -> DataFrame:
+    parts = MARKED.partition("text || ")[2].rpartition(" AS text")[0]
+    return articles(spark, sf).withColumn("text", F.concat("text", F.expr(parts)))
+
+
+@query(f"WITH {ART}, {MARKED} SELECT id FROM marked WHERE NOT regexp_matches(text, 'Yahoo on osa|Just a moment\\.\\.\\.|Access to this page has been denied|Target URL returned error|Prices of cryptocurrencies|Markdown Content: Before we continue')")
 def broken_filter(spark, sf):
-    return ingest.not_broken(articles(spark, sf), markers=MARKS6).select("id")
+    return ingest.not_broken(marked(spark, sf)).select("id")
 
 
-@query(f"WITH {ART} SELECT id FROM art WHERE {no_marks(MARKS3)}")
+@query(f"WITH {ART}, {MARKED} SELECT id FROM marked WHERE NOT regexp_matches(text, 'Yahoo on osa|Just a moment\\.\\.\\.|Access to this page has been denied')")
 def broken_filter_short(spark, sf):
-    return ingest.not_broken(articles(spark, sf), markers=MARKS3).select("id")
+    return ingest.not_broken(marked(spark, sf), markers=ingest.BROKEN_SHORT).select("id")
 
 
 @query(f"WITH {ART} SELECT id FROM art WHERE length({STRIP.format('text')}) >= 400")
@@ -201,26 +226,33 @@ def drop_synthetic(spark, sf):
     return ingest.not_synthetic(a).select("id")
 
 
-@query(f"WITH {ART} SELECT min(doc_id) AS doc_id FROM art GROUP BY {KEY}")
+@query(f"WITH {ART}, {NOISED} SELECT min(doc_id) AS doc_id FROM noised GROUP BY {KEY}")
 def dedup_exact_keep_first(spark, sf):
-    return ingest.keep_first(articles(spark, sf), T.noise_key(F.col("text")), "doc_id").select("doc_id")
+    return ingest.keep_first(noised(spark, sf), T.noise_key(F.col("text")), "doc_id").select("doc_id")
+
 
+@query(f"WITH {ART}, {NOISED} SELECT doc_id, md5({KEY}) AS key_md5 FROM noised")
+def noise_strip(spark, sf):
+    return noised(spark, sf).select("doc_id", F.md5(T.noise_key(F.col("text"))).alias("key_md5"))
 
-TC = f"tc AS (SELECT *, {KEY} AS k, CASE WHEN doc_id % 4 = 0 THEN doc_id + 7 WHEN doc_id % 4 = 1 THEN 0 END AS tcid FROM art)"
+
+TC = f"{NOISED}, tc AS (SELECT *, {KEY} AS k, CASE WHEN doc_id % 4 = 0 THEN doc_id + 7 WHEN doc_id % 4 = 1 THEN 0 END AS tcid FROM noised)"
 
 
 def with_labels(spark, sf):
-    return articles(spark, sf).withColumn("true_cluster_id", F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") + 7).when(F.col("doc_id") % 4 == 1, F.lit(0)))
+    return noised(spark, sf).withColumn("true_cluster_id", F.when(F.col("doc_id") % 4 == 0, F.col("doc_id") + 7).when(F.col("doc_id") % 4 == 1, F.lit(0)))
 
 
-@query(f"WITH {ART}, {TC} SELECT doc_id, CASE WHEN length(k) > 50 THEN first_value(coalesce(nullif(tcid, 0), doc_id)) OVER (PARTITION BY k ORDER BY doc_id) ELSE tcid END AS true_cluster_id FROM tc")
+@query(f"WITH {ART}, {TC} SELECT doc_id, CASE WHEN length(k) > 50 THEN first_value(coalesce(nullif(tcid, 0), doc_id)) OVER (PARTITION BY k ORDER BY doc_id) ELSE coalesce(nullif(tcid, 0), doc_id) END AS true_cluster_id FROM tc")
 def dedup_merge_labels(spark, sf):
     return ingest.merge_labels(with_labels(spark, sf), T.noise_key(F.col("text")), "doc_id").select("doc_id", "true_cluster_id")
 
 
-@query(f"WITH {ART}, {TC} SELECT doc_id, CASE WHEN row_number() OVER w = 1 THEN tcid ELSE first_value(tcid) OVER w END AS true_cluster_id FROM tc WINDOW w AS (PARTITION BY k ORDER BY doc_id)")
+@query(f"WITH {ART}, {TC}, n AS (SELECT doc_id, tcid, CASE WHEN doc_id % 11 <> 0 THEN k END AS k, doc_id % 6 = 3 AS absent FROM tc) SELECT doc_id, CASE WHEN row_number() OVER w = 1 THEN tcid ELSE first_value(CASE WHEN absent THEN doc_id ELSE tcid END) OVER w END AS true_cluster_id FROM n WINDOW w AS (PARTITION BY k ORDER BY doc_id)")
 def dedup_merge_later(spark, sf):
-    return ingest.merge_later(with_labels(spark, sf), T.noise_key(F.col("text")), "doc_id").select("doc_id", "true_cluster_id")
+    """Some keys are null, and some records have no label at all (doc_id % 6 = 3, whose label is null here)."""
+    key = F.when(F.col("doc_id") % 11 != 0, T.noise_key(F.col("text")))
+    return ingest.merge_later(with_labels(spark, sf), key, "doc_id", F.col("doc_id") % 6 == 3).select("doc_id", "true_cluster_id")
 
 
 @query(f"WITH {ART}, h AS (SELECT doc_id, md5(lower({STRIP.format('text')})) AS text_hash FROM art), f AS (SELECT text_hash, min(doc_id) AS doc_id FROM h GROUP BY text_hash) SELECT doc_id, text_hash, 1000 + row_number() OVER (ORDER BY doc_id) AS new_id FROM f")
@@ -260,7 +292,7 @@ def minhash_groups(spark, sf):
     return sketch.signature_groups(stage(signed(spark, sf), "signed"), "id", "published_at")
 
 
-BANDS = ", bands AS (SELECT id, b, array_to_string(sig[b * 4 + 1 : b * 4 + 4], ',') AS k FROM sigs, range(32) AS r(b)), cand AS (SELECT DISTINCT x.id AS id_a, y.id AS id_b FROM bands x JOIN bands y ON x.b = y.b AND x.k = y.k AND x.id < y.id)"
+BANDS = ", same AS (SELECT id, min(id) OVER (PARTITION BY sig) AS rep FROM sigs), bands AS (SELECT id, b, array_to_string(sig[b * 4 + 1 : b * 4 + 4], ',') AS k FROM sigs, range(32) AS r(b) WHERE id IN (SELECT rep FROM same)), cand AS (SELECT DISTINCT x.id AS id_a, y.id AS id_b FROM bands x JOIN bands y ON x.b = y.b AND x.k = y.k AND x.id < y.id UNION ALL SELECT rep, id FROM same WHERE id <> rep)"
 
 
 @query(f"WITH {sql_sig(128)}{BANDS} SELECT id_a, id_b FROM cand")
@@ -278,8 +310,9 @@ def minhash_jaccard_pairs(spark, sf):
     return pairs.select("id_a", "id_b", sketch.estimate(F.col("sa"), F.col("sb")).alias("jac")).where("jac >= 0.7")
 
 
-@query(f"WITH {WORDS}, n AS (SELECT id, count(*) AS n FROM words GROUP BY id), b AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM words x JOIN words y ON x.w = y.w AND x.id < y.id GROUP BY ALL) SELECT id_a, id_b, round(c / (p.n + q.n - c), 6) AS jaccard FROM b JOIN n p ON p.id = id_a JOIN n q ON q.id = id_b WHERE c / (p.n + q.n - c) >= 0.7")
+@query(f"WITH {WORDS}, sets AS (SELECT id, list_sort(list(w)) AS s FROM words GROUP BY id), same AS (SELECT id, min(id) OVER (PARTITION BY s) AS rep FROM sets), n AS (SELECT id, len(s) AS n FROM sets), own AS (SELECT * FROM words WHERE id IN (SELECT rep FROM same)), b AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM own x JOIN own y ON x.w = y.w AND x.id < y.id GROUP BY ALL) SELECT id_a, id_b, round(c / (p.n + q.n - c), 6) AS jaccard FROM b JOIN n p ON p.id = id_a JOIN n q ON q.id = id_b WHERE c / (p.n + q.n - c) >= 0.7 UNION ALL SELECT rep, id, 1.0 FROM same WHERE id <> rep")
 def exact_jaccard_pairs(spark, sf):
+    """Pairs of representatives, and each with the copies it stands for."""
     a = articles(spark, sf).select("id", T.tokens(F.col("text")).alias("t"))
     return sketch.jaccard_pairs(a, "id", "t", 0.7).select("id_a", "id_b", F.round("jaccard", 6).alias("jaccard"))
 
@@ -308,8 +341,7 @@ VEC = "vec AS (SELECT vec_id, TIMESTAMP '2024-01-01' + ((vec_id * 7919) % 43200)
 
 @query(f"WITH {VEC} SELECT a.vec_id AS id_a, b.vec_id AS id_b, round(list_dot_product(a.v, b.v), 5) AS cos FROM vec a JOIN vec b ON (b.t > a.t OR (b.t = a.t AND b.vec_id > a.vec_id)) AND b.t < a.t + INTERVAL 3 DAY WHERE list_dot_product(a.v, b.v) >= 0.3")
 def window_cosine_pairs(spark, sf):
-    p = windowed.band_join(timed_vectors(spark, sf), "vec_id", "t", 2, ("v",)).withColumn("cos", windowed.dot(F.col("v_a"), F.col("v_b"))).where("cos >= 0.3")
-    return p.select(F.col("vec_id_a").alias("id_a"), F.col("vec_id_b").alias("id_b"), F.round("cos", 5).alias("cos"))
+    return windowed.cosine_pairs(timed_vectors(spark, sf), "vec_id", "t", "v", 2, 0.3).withColumn("cos", F.round("cos", 5))
 
 
 @query(f"WITH {VEC} SELECT vec_id, round(sqrt(list_dot_product(v, v)), 5) AS norm, round(v[1] / sqrt(list_dot_product(v, v)), 5) AS first FROM vec")
@@ -333,9 +365,12 @@ JAC = f"WITH {sql_sig(128)}{CELLS}{COS}, veto AS (SELECT id_a, id_b, cos, {EST.f
 
 def vetoed(spark, sf, jac: float = 0.7) -> DataFrame:
     a = articles(spark, sf)
-    rows = stage(signed(spark, sf).join(windowed.hashed_vectors(a, "id", T.tokens(F.col("text"))), "id"), "vectors")
-    p = windowed.band_join(rows, "id", "published_at", 2, ("v", "sig")).withColumn("cos", windowed.dot(F.col("v_a"), F.col("v_b"))).where("cos >= 0.9")
-    return p.select("id_a", "id_b", "cos", sketch.estimate(F.col("sig_a"), F.col("sig_b")).alias("jac")).where(F.col("jac") >= jac)
+    rows = a.select("id", "published_at").join(windowed.hashed_vectors(a, "id", T.tokens(F.col("text"))), "id")
+    near = stage(windowed.cosine_pairs(rows, "id", "published_at", "v", 2, 0.9), "near")
+    own = near.select(F.col("id_a").alias("id")).union(near.select("id_b")).distinct()
+    sig = stage(sketch.signatures(a.join(own, "id", "left_semi"), "id", T.tokens(F.col("text"))), "signed")  # of those that passed
+    p = near.join(sig.select(F.col("id").alias("id_a"), F.col("sig").alias("sa")), "id_a").join(sig.select(F.col("id").alias("id_b"), F.col("sig").alias("sb")), "id_b")
+    return p.select("id_a", "id_b", "cos", sketch.estimate(F.col("sa"), F.col("sb")).alias("jac")).where(F.col("jac") >= jac)
 
 
 @query(f"{JAC} SELECT id_a, id_b, round(cos, 6) AS cos, jac FROM veto WHERE jac >= 0.7")
@@ -449,7 +484,7 @@ def confusion_metrics(spark, sf):
 RAND = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 
 
-@query(rf"WITH {ART}, s AS (SELECT id, text, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS p, string_split(text, ' ') AS w FROM art), x AS (SELECT id, string_agg(part, ' ' ORDER BY md5('42|' || id || '|' || (i - 1)), i) AS shuffled FROM (SELECT id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM s) GROUP BY id) SELECT s.id, md5(CASE WHEN text = '' THEN text WHEN len(p) > 1 THEN shuffled WHEN len(w) > 3 THEN array_to_string(list_concat(w[1 : {RAND.format("'42|' || s.id")} % len(w)], w[{RAND.format("'42|' || s.id")} % len(w) + 2 :]), ' ') ELSE text END) AS text_md5 FROM s JOIN x ON s.id = x.id")
+@query(rf"WITH {ART}, s AS (SELECT id, text, string_split(regexp_replace(text, '([.!?])[\s\p{{Z}}]+', '\1' || chr(1), 'g'), chr(1)) AS p, string_split(trim(regexp_replace(text, '[\s\p{{Z}}]+', ' ', 'g')), ' ') AS w FROM art), x AS (SELECT id, string_agg(part, ' ' ORDER BY md5('42|' || id || '|' || (i - 1)), i) AS shuffled FROM (SELECT id, unnest(p) AS part, generate_subscripts(p, 1) AS i FROM s) GROUP BY id) SELECT s.id, md5(CASE WHEN text = '' THEN text WHEN len(p) > 1 THEN shuffled WHEN len(w) > 3 THEN array_to_string(list_concat(w[1 : {RAND.format("'42|' || s.id")} % len(w)], w[{RAND.format("'42|' || s.id")} % len(w) + 2 :]), ' ') ELSE text END) AS text_md5 FROM s JOIN x ON s.id = x.id")
 def synth_mutate(spark, sf):
     return articles(spark, sf).select("id", F.md5(T.mutate(F.col("text"), F.col("id"))).alias("text_md5"))
 
@@ -460,22 +495,46 @@ def synth_ids_dates(spark, sf):
     return articles(spark, sf).select("id", T.copy_id(F.col("id")).alias("new_id"), F.lit("Synthetic").alias("source"), F.col("id").alias("true_cluster_id"), (F.unix_micros("published_at") + secs * 1_000_000).alias("t_us"))
 
 
-@query(f"{LINKS}, prs AS (SELECT x.id AS a, y.id AS b FROM comp x JOIN comp y ON x.cluster_id = y.cluster_id AND x.id < y.id), o AS (SELECT a, b, md5('42|' || a || '|' || b) AS o FROM prs ORDER BY o LIMIT 500) SELECT row_number() OVER (ORDER BY o) - 1 AS pair_id, a AS news_id_a, b AS news_id_b, 1 AS algorithmic_label FROM o")
+NATURAL = "NOT (ends_with({0}, '_dup') OR coalesce(TRY_CAST({0} AS BIGINT) >= 1000000, false))"
+EXPERT = f"""{LINKS}, nat AS (SELECT art.*, cluster_id FROM art JOIN comp ON art.id = comp.id WHERE {NATURAL.format('art.id')}),
+prs AS (SELECT x.id AS a, y.id AS b FROM nat x JOIN nat y ON x.cluster_id = y.cluster_id AND x.id < y.id),
+pos AS (SELECT a, b, 1 AS algorithmic_label, row_number() OVER (ORDER BY md5('42|' || a || '|' || b)) - 1 AS pair_id FROM prs QUALIFY pair_id < 500),
+r AS (SELECT id, cluster_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, {RAND.format("'n|' || id")} % (SELECT count(*) FROM nat) AS other FROM nat),
+q AS (SELECT r.id AS a, o.id AS b FROM r JOIN r o ON o.place = r.other WHERE o.cluster_id IS DISTINCT FROM r.cluster_id),
+neg AS (SELECT a, b, 0 AS algorithmic_label, row_number() OVER (ORDER BY md5('42|' || a || '|' || b)) - 1 AS n FROM q QUALIFY n < 500),
+expert AS (SELECT a, b, algorithmic_label, pair_id FROM pos UNION ALL SELECT a, b, algorithmic_label, n + (SELECT count(*) FROM pos) FROM neg),
+told AS (SELECT e.*, 'TITLE: ' || p.title || chr(10) || chr(10) || 'CONTENT:' || chr(10) || p.text AS text_a, 'TITLE: ' || q.title || chr(10) || chr(10) || 'CONTENT:' || chr(10) || q.text AS text_b,
+  row_number() OVER (ORDER BY md5('s|' || pair_id), pair_id) - 1 AS place FROM expert e JOIN art p ON p.id = a JOIN art q ON q.id = b)"""
+
+
+def expert(spark, sf) -> DataFrame:
+    return clusters.expert_pairs(components(spark, sf), articles(spark, sf), "doc_id")
+
+
+@query(f"{EXPERT} SELECT pair_id, a AS news_id_a, b AS news_id_b, algorithmic_label, md5(text_a) AS text_a_md5, md5(text_b) AS text_b_md5, place FROM told")
+def expert_pairs(spark, sf):
+    """SA2, SA5, FI11, PR26: seeded samples of 500 pairs within and 500 across clusters, numbered, with their texts."""
+    return expert(spark, sf).select("pair_id", "news_id_a", "news_id_b", "algorithmic_label", F.md5("text_a").alias("text_a_md5"), F.md5("text_b").alias("text_b_md5"), "place")
+
+
+@query(f"{EXPERT} SELECT pair_id, a AS news_id_a, b AS news_id_b, algorithmic_label FROM told WHERE algorithmic_label = 1")
 def expert_pairs_positive(spark, sf):
-    """SA2: a seeded sample of 500; the sampled rows alone are numbered."""
-    p = clusters.pairs_within(components(spark, sf), "cluster_id").withColumn("o", F.md5(F.concat_ws("|", F.lit("42"), "id_a", "id_b"))).orderBy("o").limit(500)
-    return p.select((F.row_number().over(W.orderBy("o")) - 1).cast("long").alias("pair_id"), F.col("id_a").alias("news_id_a"), F.col("id_b").alias("news_id_b"), F.lit(1).alias("algorithmic_label"))
+    return expert(spark, sf).where("algorithmic_label = 1").select("pair_id", "news_id_a", "news_id_b", "algorithmic_label")
 
 
-@query(f"{LINKS}, r AS (SELECT doc_id, art.id, cluster_id, {RAND.format(chr(39) + 'n|' + chr(39) + ' || art.id')} % (SELECT count(*) FROM art) AS other FROM art JOIN comp ON art.id = comp.id), q AS (SELECT r.id AS a, o.id AS b FROM r JOIN r o ON o.doc_id = r.other WHERE o.cluster_id IS DISTINCT FROM r.cluster_id) SELECT a AS news_id_a, b AS news_id_b, 0 AS algorithmic_label FROM q ORDER BY md5('42|' || a || '|' || b) LIMIT 500")
+@query(f"{EXPERT} SELECT pair_id, a AS news_id_a, b AS news_id_b, algorithmic_label FROM told WHERE algorithmic_label = 0")
 def expert_pairs_negative(spark, sf):
-    """JO8: each article draws one partner, refused if in the same cluster; a seeded sample of 500."""
-    a = articles(spark, sf).select("doc_id", "id").join(components(spark, sf), "id")
-    n = a.count()
-    r = a.withColumn("other", F.pmod(T.draw(F.lit("n"), F.col("id")), F.lit(n)))
-    o = a.select(F.col("doc_id").alias("other"), F.col("id").alias("b"), F.col("cluster_id").alias("cb"))
-    q = r.join(o, "other").where(~F.col("cluster_id").eqNullSafe(F.col("cb"))).orderBy(F.md5(F.concat_ws("|", F.lit("42"), "id", "b"))).limit(500)
-    return q.select(F.col("id").alias("news_id_a"), F.col("b").alias("news_id_b"), F.lit(0).alias("algorithmic_label"))
+    return expert(spark, sf).where("algorithmic_label = 0").select("pair_id", "news_id_a", "news_id_b", "algorithmic_label")
+
+
+SIDE = "'Article {0}:' || chr(10) || left({1}, 1500) || '...' || chr(10) || chr(10)"
+
+
+@query(f"""{EXPERT}, asked AS (SELECT place // 10 AS batch, count(*) AS n, string_agg('--- PAIR ' || (place % 10) || ' ---' || chr(10) || {SIDE.format('A', 'text_a')} || {SIDE.format('B', 'text_b')}, '' ORDER BY place) AS pairs FROM told GROUP BY ALL)
+SELECT batch, n, md5('You will evaluate pairs of news articles. For each pair, answer exactly ''1'' if they are about the EXACT SAME EVENT (duplicates/rewrites), or ''0'' if they are about DIFFERENT events (or one is a broad summary and the other is a specific event). Do not output anything else except a JSON array of integers: [1, 0, ...]' || chr(10) || chr(10) || pairs || 'Output ONLY a valid JSON array of integers with exactly ' || n || ' elements. Example: [1, 0, 1].') AS prompt_md5 FROM asked""")
+def llm_batch_prompts(spark, sf):
+    """PR28, SA4: ten pairs to a question."""
+    return judge.prompts(expert(spark, sf)).select("batch", F.size("pairs").cast("long").alias("n"), F.md5("prompt").alias("prompt_md5"))
 
 
 REPLY = "CASE doc_id % 5 WHEN 0 THEN '[1, 0]' WHEN 1 THEN 'ok 1 then 0' WHEN 2 THEN 'none' WHEN 3 THEN 'x [0,1] y' END"
@@ -487,14 +546,6 @@ def llm_reply_parse(spark, sf):
     return d.select("doc_id", F.array_join(T.reply_labels(F.expr(REPLY), F.lit(2)), ",").alias("labels"))
 
 
-@query(f"WITH {ART} SELECT doc_id // 10 AS batch, count(*) AS n, md5(string_agg('TITLE: ' || title || chr(10) || chr(10) || 'CONTENT:' || chr(10) || left(text, 1500), chr(10) ORDER BY doc_id)) AS prompt_md5 FROM art GROUP BY ALL")
-def llm_batch_prompts(spark, sf):
-    """PR28, SA4: ten to a prompt."""
-    a = articles(spark, sf).select("doc_id", F.floor(F.col("doc_id") / 10).alias("batch"), T.pair_text(F.col("title"), F.substring("text", 1, 1500)).alias("p"))
-    g = a.groupBy("batch").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("doc_id", "p"))).alias("ps"))
-    return g.select("batch", "n", F.md5(F.array_join(F.transform("ps", lambda s: s["p"]), "\n")).alias("prompt_md5"))
-
-
 @query(f"{CLUSTERS}, pick AS (SELECT cluster_id FROM cl WHERE n > 1 ORDER BY md5('42|' || cluster_id) LIMIT 5) SELECT comp.cluster_id, art.id, left(text, 200) AS snippet, strftime(published_at, '%Y-%m-%d') AS day FROM pick JOIN comp ON comp.cluster_id = pick.cluster_id JOIN art ON art.id = comp.id")
 def inspect_multi(spark, sf):
     """SA1, FI10: five seeded clusters of several articles."""
