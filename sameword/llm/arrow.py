@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -13,7 +11,8 @@ ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def small_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Bound what one Arrow batch holds, so that very long texts don't fill a worker. A lower setting stays."""
+    """Bound what one Arrow batch holds, so that very long texts don't fill a worker. A lower setting stays. Plans run
+    later than they are made, so the setting can't be put back here; it changes no result."""
     now = spark.conf.get(BYTES_PER_BATCH, None)
     size = int(now) if now and now.strip("-").isdigit() else 0
     if not 0 < size <= mb << 20:
@@ -40,14 +39,3 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
     return shift + np.arange(total)
-
-
-def batches(rows: Iterator[dict], schema: pa.Schema, size: int = 1024) -> Iterator[pa.RecordBatch]:
-    held: list[dict] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == size:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_pylist(held, schema)
