@@ -10,8 +10,8 @@ from sameword.config import BAD_PHRASES, DedupConfig
 from sameword.functions import text as T
 from sameword.operators import clusters, graph, ingest, judge, sketch, windowed
 from sameword.plans.pipeline import DedupPipeline, trigram_logit
-from sameword.shared import stage
-from sameword.sources.readers import main_text
+from sameword.shared import fresh_path, stage
+from sameword.sources.readers import main_text, read_articles
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -82,12 +82,15 @@ RAW = """raw AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'not a date' WHEN doc_i
 
 @query(f"WITH {ART}, {RAW} SELECT id, md5(title) AS title_md5, source, epoch_us(TRY_CAST(p AS TIMESTAMP)) AS t_us, TRY_CAST(tc AS BIGINT) AS true_cluster_id FROM raw WHERE TRY_CAST(p AS TIMESTAMP) IS NOT NULL AND source IS NOT NULL AND (tc IS NULL OR TRY_CAST(tc AS BIGINT) IS NOT NULL)")
 def load_validate(spark, sf):
+    """IO1, IO5: raw rows, some of them broken, written as JSON and loaded."""
     a = articles(spark, sf)
     raw = a.withColumns({
         "published_at": F.when(F.col("doc_id") % 7 == 0, "not a date").when(F.col("doc_id") % 11 == 0, None).otherwise(F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss")),
         "true_cluster_id": F.when(F.col("doc_id") % 13 == 0, "abc").when(F.col("doc_id") % 5 == 0, "12"),
     })
-    return ingest.validate(raw).select("id", F.md5("title").alias("title_md5"), "source", F.unix_micros("published_at").alias("t_us"), "true_cluster_id")
+    path = fresh_path(spark, "raw")
+    raw.select("id", "title", "text", "source", "published_at", "true_cluster_id").write.json(path)
+    return ingest.validate(read_articles(spark, path)).select("id", F.md5("title").alias("title_md5"), "source", F.unix_micros("published_at").alias("t_us"), "true_cluster_id")
 
 
 @query(f"WITH {ART}, e AS (SELECT * FROM art WHERE doc_id % 2 = 0 ORDER BY doc_id LIMIT 50), o AS (SELECT * FROM art WHERE doc_id % 2 = 1 ORDER BY doc_id LIMIT 50) SELECT doc_id, source FROM e UNION ALL SELECT doc_id, source FROM o")
