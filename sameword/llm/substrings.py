@@ -37,8 +37,8 @@ from sameword.shared import discard, stage
 LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM + 1
 SHARD_ANCHORS, LEAST_SHARDS = 500_000, 16
-#: Surroundings whose suffixes a task sorts: about 60 times as many bytes of memory.
-SHARD_BYTES = 1_250_000
+#: Surroundings whose suffixes a task sorts: about 90 times as many bytes of memory.
+SHARD_BYTES = 800_000
 BATCH_ANCHORS, BATCH_PIECES = 250_000, 100_000
 #: Anchors sampled to cut shards.
 SAMPLES, MOST_SAMPLES = 100, 1 << 20
@@ -305,13 +305,19 @@ def cut_pieces(met: DataFrame, split: np.ndarray) -> DataFrame:
     return met.mapInArrow(run, "shard int, pieces binary, lengths binary, counts binary, ids binary, starts binary")
 
 
+def eight_bytes(flat: np.ndarray, kind: str) -> np.ndarray:
+    """At each place, that byte and the seven after it (zeros past the end) as a number, without a copy for each."""
+    padded = np.concatenate([flat, np.zeros(8, np.uint8)])
+    return np.ndarray(len(flat), np.dtype(kind), padded, strides=(1,))
+
+
 def sorted_by(group: np.ndarray, key: np.ndarray, place: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in the order of group, key, place; and where (group, key) changes. Each is less than 2 ** bits."""
     if 3 * bits <= 64:
         b = np.uint64(bits)
         packed = np.sort((((group.astype(np.uint64) << b) | key.astype(np.uint64)) << b) | place.astype(np.uint64))
         both = packed >> b
-        return (packed & np.uint64((1 << bits) - 1)).astype(np.int64), np.r_[True, both[1:] != both[:-1]]
+        return (packed & np.uint64((1 << bits) - 1)).astype(np.int32), np.r_[True, both[1:] != both[:-1]]
     order = np.lexsort((place, key, group))
     g, k = group[order], key[order]
     return place[order], np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])]
@@ -325,20 +331,26 @@ def suffix_array(flat: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.nda
     follows its prefix, which doubles the prefix; groups of one, and those of suffixes that have ended, are done."""
     n, depth = len(flat), 5
     bits = (n + 1).bit_length()
-    padded, key = np.concatenate([flat, np.zeros(depth, np.uint8)]), np.zeros(n, np.uint64)
-    for j in range(depth):
-        key = (key << np.uint64(8)) | np.where(room > j, padded[j : n + j], 0).astype(np.uint64)
-    key = (key << np.uint64(3)) | np.minimum(room, depth).astype(np.uint64)
+    key = eight_bytes(flat, ">u8").astype(np.uint64) >> np.uint64(24)
+    short = np.flatnonzero(room < depth)
+    gone = (8 * (depth - room[short])).astype(np.uint64)
+    key[short] = key[short] >> gone << gone
+    key <<= np.uint64(3)
+    key |= np.minimum(room, depth).astype(np.uint64)
     if bits <= 21:
-        packed = np.sort((key << np.uint64(21)) | np.arange(n, dtype=np.uint64))
-        sa, key = (packed & np.uint64((1 << 21) - 1)).astype(np.int64), packed >> np.uint64(21)
+        key <<= np.uint64(21)
+        key |= np.arange(n, dtype=np.uint64)
+        key.sort()
+        sa = (key & np.uint64((1 << 21) - 1)).astype(np.int32)
+        key >>= np.uint64(21)
     else:
         sa = np.argsort(key, kind="stable")
         key = key[sa]
     new = np.r_[True, key[1:] != key[:-1]] if n else np.zeros(0, bool)
-    rank = np.zeros(n, np.int64)
-    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
-    act = np.arange(n)
+    del key
+    rank = np.zeros(n, np.int32)
+    rank[sa] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0)) + 1
+    act = np.arange(n, dtype=np.int32)
     while len(act):
         starts = np.flatnonzero(new)
         sizes = np.diff(np.r_[starts, len(act)])
@@ -360,21 +372,17 @@ def common_prefixes(flat: np.ndarray, sa: np.ndarray, room: np.ndarray, sizes: n
 
     Kasai: the suffix at the next place shares at most one byte less with the one before it, so that comparing goes on
     from there. All pieces go along their places in step; eight bytes are compared at once."""
-    n = len(flat)
-    words = np.zeros(n + 8, np.uint64)
-    padded = np.concatenate([flat, np.zeros(16, np.uint8)]).astype(np.uint64)
-    for j in range(8):
-        words |= padded[j : n + 8 + j] << np.uint64(8 * j)
-    before = np.full(n, -1)
+    n, words = len(flat), eight_bytes(np.concatenate([flat, np.zeros(8, np.uint8)]), "<u8")
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    shared = np.zeros(n, np.int64)
+    shared = np.zeros(n, np.int32)
     order = np.argsort(-sizes, kind="stable")
     start, left = (np.cumsum(sizes) - sizes)[order], sizes[order]
     have = np.zeros(len(sizes), np.int64)
     for step in range(int(sizes.max(initial=0))):
         k = int(np.searchsorted(-left, -step, "left"))  # pieces that are longer than step
         i = start[:k] + step
-        j = before[i]
+        j = before[i].astype(np.int64)
         l = np.where(j >= 0, np.maximum(have[:k] - 1, 0), 0)
         j = np.maximum(j, 0)
         most = np.where(before[i] >= 0, np.minimum(room[i], room[j]), 0)
@@ -399,18 +407,17 @@ def shard_windows(pieces: list[bytes], which: np.ndarray, ids: np.ndarray, start
     first = np.full(len(sizes), NONE)
     np.minimum.at(first, which, ids)
     flat = np.frombuffer(b"".join(known), np.uint8)
-    room = np.repeat(ends, sizes) - np.arange(len(flat))
+    room = (np.repeat(ends, sizes) - np.arange(len(flat))).astype(np.int32)
     sa, _ = suffix_array(flat, room)
-    run = np.cumsum(common_prefixes(flat, sa, room, sizes) < LENGTH) - 1
+    fresh = common_prefixes(flat, sa, room, sizes) < LENGTH
     owner = np.full(len(flat), NONE)
     if len(flat):
-        begin = runs_of(run)
-        owner[sa] = np.minimum.reduceat(np.repeat(first, sizes)[sa], begin)[run]
+        owner[sa] = np.minimum.reduceat(np.repeat(first, sizes)[sa], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+    del sa, fresh
     counts = np.maximum(0, sizes - LENGTH + 1)[which]
-    at = ragged((ends - sizes)[which], counts)
-    entry, offset = np.repeat(np.arange(len(which)), counts), ragged(np.zeros(len(which), np.int64), counts)
-    best = owner[at]
-    gone, place = best < ids[entry], starts[entry] + offset
+    entry, offset = np.repeat(np.arange(len(which), dtype=np.int32), counts), ragged(np.zeros(len(which), np.int64), counts).astype(np.int32)
+    gone = owner[(ends - sizes)[which][entry] + offset] < ids[entry]
+    place = starts[entry] + offset
     edge = np.r_[True, entry[1:] != entry[:-1]] if len(entry) else np.zeros(0, bool)
     begins = np.flatnonzero(gone & (edge | ~np.r_[False, gone[:-1]]))
     stops = np.flatnonzero(gone & np.r_[edge[1:] | ~gone[1:], True]) if len(gone) else begins
