@@ -7,9 +7,9 @@ of every prefix in a trie and walks it for each probe with the overlap of shared
 sizes, remaining lengths, or shingles missed so far on either side can't reach the bound. What it finds is checked on
 whole sets.
 
-Equal sets are one class from the start. All links come from the trie, in two passes. The first takes what each probe
-meets at once, a few candidates, so that large groups of near copies become one component; in the second, which is
-exact, the trie looks for all links between components, and leaves out subtrees of the probe's own. Components, not
+Equal sets are one class from the start. All links come from the trie. In the first passes a probe takes a few candidates
+that it meets at once, others in every pass, so that large groups of near copies become one component; in the last, which
+is exact, the trie looks for all links between components, and leaves out subtrees of the probe's own. Components, not
 pairs, are the result, and no link between two is lost.
 
 Defined cases: a null or empty text, or white space only, has an empty set and no links; with fewer than five words the
@@ -42,8 +42,10 @@ NUM, DEN = 3, 4
 SLOTS = 1 << 21
 CHUNKS, FAN = 16, 64
 SHARD_TOKENS = 2_000_000
-#: First pass: candidates of a probe in a shard, and nodes that it visits for them. The second has no such bounds.
-FEW, VISITS = 2, 64
+#: First passes: candidates of a probe in a shard, and nodes that it visits for them; as many passes as find more than a
+#: share of the links of the first, at most PASSES. The last pass has no such bounds.
+FEW, VISITS = 6, 512
+PASSES, WORTH = 4, 100
 #: Parts in which rows of equal sets meet their class.
 SALTS = 1024
 KEPT_WORDS = 400_000
@@ -222,14 +224,18 @@ class Trie:
                 self.comp[node] = None
         self.ends[node].append(doc)
 
-    def probe(self, tokens: list[int], positions: list[int], size: int, comp: int, end: int, visits: int | None = None) -> Iterator[tuple[int, int, int, int]]:
+    def probe(self, tokens: list[int], positions: list[int], size: int, comp: int, end: int, visits: int | None = None, turn: int = 0) -> Iterator[tuple[int, int, int, int]]:
         """(doc, place of the first shared shingle on its path, most of the probe that can be shared, shingles of doc that
         the probe lacks) for sets of other components that are no larger than size and could still link. end: the last shingle of the probe's whole prefix; up to
-        there, a stored shingle that the probe's part lacks is in none of its set. visits: give up after so many nodes."""
+        there, a stored shingle that the probe's part lacks is in none of its set. visits: give up after so many nodes,
+        which turn brings in another order."""
         at = {t: k for k, t in enumerate(tokens)}
         least = -(-NUM * size // DEN)
-        for t, p in zip(tokens, positions, strict=True):
-            for top in self.places.get(t, ()):
+        shift = turn * 7 % len(tokens) if tokens else 0
+        for k in range(len(tokens)):
+            t, p = tokens[k - shift], positions[k - shift]
+            tops = self.places.get(t, ())
+            for top in tops if turn % 2 == 0 else reversed(tops):
                 above = self.up[top]
                 while above > 0 and self.token[above] not in at:
                     above = self.up[above]
@@ -255,16 +261,15 @@ class Trie:
                     # what is shared outside of this shard lies after the first shared shingle, which is at p or before
                     if min(most, 1 + size - p - 1, 1 + self.rest[top]) < needed(size, max(least, self.low[node])) or high - lacked < needed(size, high):
                         continue
-                    for doc in self.ends[node]:
+                    ends = self.ends[node]
+                    for doc in ends if visits is None or not ends else (ends[turn * 13 % len(ends)],):
                         yield doc, self.depth[top], most, lacked
-                        if visits is not None:
-                            break
                     stack.extend((child, shared, lacked) for child in self.next[node].values())
 
 
-def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, lasts: np.ndarray, few: bool = False) -> set[tuple[int, int]]:
+def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, lasts: np.ndarray, few: int | None = None) -> set[tuple[int, int]]:
     """Candidate pairs of one shard: entries are tokens of documents at places in their global order; lasts: the last token
-    of each document's prefix. few: some candidates of each document only."""
+    of each document's prefix. few: some candidates of each document only, by the number of the pass."""
     order = np.argsort(token, kind="stable")
     ts, cs = token[order], comps[doc[order]]
     starts = np.flatnonzero(np.r_[True, ts[1:] != ts[:-1]]) if len(ts) else np.zeros(0, np.int64)
@@ -283,7 +288,7 @@ def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.nda
     for d, tokens, places in groups:
         size, comp, me, taken = int(sizes[d]), int(comps[d]), int(ids[d]), 0
         index = {t: k for k, t in enumerate(tokens)}
-        for other, depth, most, lacked in trie.probe(tokens, places, size, comp, int(lasts[d]), VISITS if few else None):
+        for other, depth, most, lacked in trie.probe(tokens, places, size, comp, int(lasts[d]), None if few is None else VISITS, few or 0):
             o_places, o_tokens = own[other]
             osize = int(sizes[other])
             if DEN * osize < NUM * size or int(comps[other]) == comp:
@@ -292,7 +297,7 @@ def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.nda
             if min(mine, osize - o_places[depth - 1], most, osize - lacked) >= needed(size, osize):
                 found.add((me, int(ids[other])))
                 taken += 1
-                if few and taken == FEW:
+                if few is not None and taken == FEW:
                     break
         k = sum(p < own_prefix(size) for p in places)
         if k:
@@ -301,15 +306,29 @@ def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.nda
     return found
 
 
-def prefix_join(docs: DataFrame, bits: np.ndarray, shards: int, few: bool = False) -> DataFrame:
-    """Candidate pairs (a, b) between components, from id, text, comp; some of each document, or all."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(bits)
+def prefixes(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """id, size of the set, and its prefix in global order, of every text that has one."""
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
 
-    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, table = Shingler(), sent.value
+        for part in parts:
+            ids, sizes, tokens = [], [], []
+            for i, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
+                s = shingles(text)
+                if len(s):
+                    s = np.sort(s | (table[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)))
+                    for column, value in ((ids, i), (sizes, len(s)), (tokens, s[: prefix(len(s))].tobytes())):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(tokens, pa.binary())], ["id", "size", "tokens"])
 
+    return texts.mapInArrow(run, "id long, size int, tokens binary")
+
+
+def prefix_join(rows: DataFrame, shards: int, few: int | None = None) -> DataFrame:
+    """Candidate pairs (a, b) between components, from id, comp, size, tokens; all, or in pass `few` some of each document."""
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(ids, comps, sizes, sets):
             lengths = np.array([len(s) for s in sets], np.int64)
             token, pos = np.concatenate(sets), ragged(np.zeros(len(sets), np.int64), lengths)
@@ -327,12 +346,8 @@ def prefix_join(docs: DataFrame, bits: np.ndarray, shards: int, few: bool = Fals
 
         ids, comps, sizes, sets, held = [], [], [], [], 0
         for part in parts:
-            for i, c, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), as_bytes(part.column(1)), strict=True):
-                s = shingles(text)
-                if not len(s):
-                    continue
-                s = np.sort(s | (table[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)))
-                for column, value in ((ids, i), (comps, c), (sizes, len(s)), (sets, s[: prefix(len(s))])):
+            for i, c, n, tokens in zip(*(x.to_pylist() for x in part.columns), strict=True):
+                for column, value in ((ids, i), (comps, c), (sizes, n), (sets, np.frombuffer(tokens, np.uint64))):
                     column.append(value)
                 held += len(sets[-1])
                 if held > 1_000_000:
@@ -354,7 +369,7 @@ def prefix_join(docs: DataFrame, bits: np.ndarray, shards: int, few: bool = Fals
         pairs = sorted(shard_pairs(token, np.concatenate(doc), pos, ids, comps, sizes, lasts, few))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    cut_up = docs.select("id", "text", "comp").mapInArrow(cut, "shard int, token binary, doc binary, pos binary, ids binary, comps binary, sizes binary, lasts binary")
+    cut_up = rows.select("id", "comp", "size", "tokens").mapInArrow(cut, "shard int, token binary, doc binary, pos binary, ids binary, comps binary, sizes binary, lasts binary")
     return cut_up.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -369,25 +384,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = stage(rows.where("kind = 0 and n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.min_by("tally", "id").alias("tally")), "join-classes")
     # where texts share an identifier, a bound by one tally would not hold for the other
     tallies = classes.groupBy(F.col("class").alias("id")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.first("tally").alias("tally")).select("id", "n", F.when(F.col("k") == 1, F.col("tally")).alias("tally"))
-    bits = rarity(rows)
     total = classes.agg(F.sum(F.col("n") / DEN + 1)).first()[0] or 0
     shards = max(1, round(total / SHARD_TOKENS))
+    ids = classes.select(F.col("class").alias("id")).distinct()
+    stored = stage(prefixes(known, rarity(rows)).join(ids.hint("merge"), "id"), "join-prefixes")
     of_class = salted.groupBy("digest", "salt").agg(F.min("id").alias("low"), F.max("id").alias("high")).join(classes.select("digest", "class"), "digest")
     of_class = stage(of_class, "join-salted")
     links = stage(shared_identifiers(salted, of_class), "join-links")
-    parts = None
-    for few in (True, False):
-        comp = classes.select(F.col("class").alias("id")).distinct()
-        if parts is not None:
-            comp = comp.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
-        else:
-            comp = comp.withColumn("comp", F.col("id"))
-        found = prefix_join(known.join(comp.hint("merge"), "id"), bits, shards, few)
-        more = stage(linked(known, possible(found, tallies)), "join-links")
-        if not few and more.isEmpty():
-            break
-        links = links.union(more)
-        parts = stage(connected_components(links), "join-parts")
+    parts, first = connected_components(links), None
+    for few in [*range(PASSES), None]:
+        if few and found_now * WORTH <= first:
+            continue
+        comp = stored.join(parts.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        more = stage(linked(known, possible(prefix_join(comp, shards, few), tallies)), "join-links")
+        found_now = more.count()
+        first = found_now if first is None else first
+        if found_now:
+            links = links.union(more)
+            parts = stage(connected_components(links), "join-parts")
     named = of_class.select("digest", "salt", "class").join(parts.withColumnRenamed("id", "class"), "class", "left").select("digest", "salt", F.coalesce("component", "class").alias("component"))
     linked_rows = salted.join(named, ["digest", "salt"]).select("id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
     alone = sets.where("n = 0 or id is null").select("id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
