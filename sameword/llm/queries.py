@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sameword.llm import bpe, chat, exact_dedup, hnsw, interpolation, licenses, mixing, ngram_join, quality, substrings
+from sameword.llm import bpe, chat, exact_dedup, hnsw, interpolation, licenses, mixing, ngram_join, quality, resample, substrings
 
 QUERIES = {
     "op1_hnsw": hnsw.op1_hnsw,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_resample": resample.op11_resample,
 }
-SQL = {"op2_chat": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+SQL = {"op2_chat": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_resample": resample.ORACLE}
