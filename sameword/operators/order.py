@@ -23,3 +23,18 @@ def numbered(rows: DataFrame, *order: Column | str, name: str = "place") -> Data
     sizes = held.groupBy(part).agg(F.count(F.lit(1)).alias(before)).select(part, F.coalesce(F.sum(before).over(ahead), F.lit(0)).alias(before))
     place = F.col(before) + F.col(at).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     return held.join(F.broadcast(sizes), part).withColumn(name, place).drop(at, part, before)
+
+
+def numbered_within(rows: DataFrame, group: str, *order: Column | str, name: str = "place", size: str = "size") -> DataFrame:
+    """rows with `name`, their place from 0 among the rows of one `group` (null is one), and `size`, how many those are. One
+    exchange by ranges of (group, order): a group of any size is spread, and rows meet what is ahead of their own range."""
+    at, part, low, many, before, key, own = (fresh_name(x, *rows.columns, name, size) for x in ("_at", "_part", "_low", "_many", "_before", "_group", "_own"))
+    sorted_by = [F.asc_nulls_first(group), *order]
+    ranged = rows.repartitionByRange(*sorted_by).sortWithinPartitions(*sorted_by)
+    held = stage(ranged.withColumn(at, F.monotonically_increasing_id()), "ordered").withColumn(part, F.shiftright(at, ROW_BITS))
+    runs = held.groupBy(F.col(part).alias(own), F.col(group).alias(key)).agg(F.min(at).alias(low), F.count(F.lit(1)).alias(many))
+    every = W.partitionBy(key)
+    ahead = every.orderBy(own).rowsBetween(W.unboundedPreceding, -1)
+    runs = runs.select(own, key, low, F.coalesce(F.sum(many).over(ahead), F.lit(0)).alias(before), F.sum(many).over(every).alias(size))
+    met = held.join(runs, (F.col(part) == F.col(own)) & F.col(group).eqNullSafe(F.col(key)))
+    return met.withColumn(name, F.col(before) + F.col(at) - F.col(low)).drop(at, part, low, before, key, own)
