@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sameword.llm import bpe, chat, exact_dedup, hnsw, interpolation, licenses, mixing, ngram_join, quality, resample, substrings
+from sameword.llm import bpe, chat, exact_dedup, hnsw, interpolation, licenses, merkle, mixing, ngram_join, quality, resample, substrings, warc
 
 QUERIES = {
     "op1_hnsw": hnsw.op1_hnsw,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_resample": resample.op11_resample,
+    "op12_warc": warc.op12_warc,
+    "op13_merkle": merkle.op13_merkle,
 }
-SQL = {"op2_chat": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_resample": resample.ORACLE}
+SQL = {"op2_chat": chat.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE, "op11_resample": resample.ORACLE, "op12_warc": warc.ORACLE, "op13_merkle": merkle.ORACLE}

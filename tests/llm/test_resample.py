@@ -38,9 +38,7 @@ TARGET = ["the common cat", None, "", "word1 word2 élan"]
 
 
 @pytest.mark.parametrize("n", [1, 3])
-def test_against_brute_force(spark, monkeypatch, n):
-    monkeypatch.setattr(R, "PIECE", 60)
-    monkeypatch.setattr(R, "AT_ONCE", 300)
+def test_against_brute_force(spark, n):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").selectExpr("*", "1 as id", "2 as file", "'x' as row", "3 as n_words", "4 as batch")
     target = spark.createDataFrame([(t,) for t in TARGET], "text string")
     got = R.resample(docs, target, n=n, buckets=50, percent=40, least_words=3).collect()
@@ -50,6 +48,7 @@ def test_against_brute_force(spark, monkeypatch, n):
 @pytest.mark.parametrize("n", [1, 2, 4])
 def test_pieces_hold_every_gram_once(monkeypatch, n):
     monkeypatch.setattr(R, "PIECE", 7)
+    monkeypatch.setattr(R, "AT_ONCE", 20)
     texts = ["a bb ccc dddd eeeee fffffff ggggggggggggg h i j k  l", "", "abcdefghijklmnopq", "é" * 20 + " x y z A B C", " " * 30 + "end"]
     con = R.database()
     at, bucket, count = R.counted(con, R.statement(n, 1000), texts, n)
