@@ -25,8 +25,24 @@ from pyspark.sql import functions as F
 
 from sameword.llm.arrow import ragged, small_batches
 
-#: The pattern that splits text before merges, in the syntax of the regex module.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Code points (first, last) that are letters or numbers in a newer Unicode than that of the library, for
+#: which they are like punctuation.
+NEWER = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F),
+    (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1),
+    (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A),
+    (0x11DB0, 0x11DDB), (0x11DE0, 0x11DE9), (0x11DF1, 0x11DF1), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686),
+    (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3), (0x16FF4, 0x16FF6), (0x187F8, 0x187FF), (0x18CD6, 0x18CDA),
+    (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168),
+    (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
+    (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+NEW = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in NEWER)
+#: The pattern that splits text before merges, in the syntax of the regex module; ASCII needs no exceptions.
+ENDINGS, REST = "'s|'t|'re|'ve|'m|'ll|'d", r"\s+(?!\S)|\s+"
+ASCII_PATTERN = rf"{ENDINGS}| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|{REST}"
+PATTERN = rf"(?V1){ENDINGS}| ?[\p{{L}}--[{NEW}]]+| ?[\p{{N}}--[{NEW}]]+| ?[[^\s\p{{L}}\p{{N}}]||[{NEW}]]+|{REST}"
 #: Words whose ids a worker keeps at most; at the bound it starts again.
 KEPT_WORDS = 900_000
 SPACE_THEN_SPACE = re.compile(r" \s").search
@@ -82,7 +98,7 @@ class Bpe:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.kept = Kept(lambda word: np.array(self.encode_word(word.encode()), "<u4").tobytes())
         self.spaced = Kept(self._encode_spaced)
-        self.split = regex.compile(PATTERN).findall
+        self.ascii_split, self.any_split = regex.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda x: [x]
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.at = np.concatenate([[0], np.cumsum(self.length)])
@@ -90,6 +106,9 @@ class Bpe:
         self.digits = np.frombuffer(b"".join(digits), np.uint8)
         self.digits_at = np.concatenate([[0], np.cumsum([len(x) for x in digits])])
 
+    def split(self, text: str) -> list[str]:
+        return (self.ascii_split if text.isascii() else self.any_split)(text)
+
     def fits(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves these two tokens side by side: no merge across their border comes first."""
         key = (left, right)

@@ -5,8 +5,9 @@ references and expanded token counts it records. Control strings inside texts ar
 result are the template's own and the turns can be read back. The loss mask covers what assistants said.
 
 Defined cases: a null text is empty; a null role is the empty role; turns sort by number (null first), then role and text;
-repeated rows are turns of their own; a null conversation is a conversation; an empty table gives an empty result; other
-columns are ignored.
+repeated rows are turns of their own; each row whose conversation is null is a conversation of its own; a part of a kind
+that isn't known has a document's placeholder, its own kind in the attachments and one token; a size that is null, not
+finite, zero or less counts as absent; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -59,28 +60,35 @@ class Flattened:
     attachments: list[Attachment] = field(default_factory=list)
 
     def visit(self, part: dict) -> None:
-        getattr(self, f"visit_{part.get('kind') or 'text'}", self.visit_unknown)(part)
+        kind = part.get("kind") or "text"
+        (getattr(self, f"visit_{kind}") if kind in ("text", *PLACES) else self.visit_other)(part)
 
     def visit_text(self, part: dict) -> None:
         self.pieces.append((True, part.get("text") or ""))
 
     def visit_image(self, part: dict) -> None:
-        self.attach(part, math.ceil((part.get("width") or 1) / self.patch) * math.ceil((part.get("height") or 1) / self.patch))
+        self.attach(part, "image", math.ceil(size(part, "width", 1) / self.patch) * math.ceil(size(part, "height", 1) / self.patch))
 
     def visit_audio(self, part: dict) -> None:
-        self.attach(part, max(1, math.ceil((part.get("seconds") or 0) * self.audio_rate)))
+        self.attach(part, "audio", max(1, math.ceil(size(part, "seconds", 0) * self.audio_rate)))
 
     def visit_document(self, part: dict) -> None:
-        self.attach(part, max(1, part.get("pages") or 1) * self.page_tokens)
+        self.attach(part, "document", math.ceil(size(part, "pages", 1)) * self.page_tokens)
 
-    def visit_unknown(self, part: dict) -> None:
-        raise ValueError(f"no such kind of part: {part.get('kind')}")
+    def visit_other(self, part: dict) -> None:
+        self.attach(part, "document", 1)
 
-    def attach(self, part: dict, tokens: int) -> None:
-        self.pieces.append((False, PLACES[part["kind"]]))
+    def attach(self, part: dict, place: str, tokens: int) -> None:
+        self.pieces.append((False, PLACES[place]))
         self.attachments.append(Attachment(part["kind"], part.get("ref") or "", tokens))
 
 
+def size(part: dict, name: str, absent: float) -> float:
+    """A size of a part; one that is null, not a finite number, zero or less counts as absent."""
+    found = part.get(name)
+    return found if found is not None and math.isfinite(found) and found > 0 else absent
+
+
 @dataclass
 class Formatted:
     text: str
@@ -146,7 +154,9 @@ def format_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col:
     small_batches(turns.sparkSession, 4)
     parts = F.col(parts_col).cast(f"array<{PART}>") if parts_col else text_parts(F.col(text_col))
     row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), parts.alias("parts"))
-    grouped = turns.select(F.col(conv_col).alias("conv"), row.alias("row")).groupBy("conv").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    rows = turns.select(F.col(conv_col).alias("conv"), row.alias("row"))
+    grouped = rows.where("conv is not null").groupBy("conv").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    grouped = grouped.unionByName(rows.where("conv is null").select("conv", F.array("row").alias("rows")))
     kind = turns.schema[conv_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

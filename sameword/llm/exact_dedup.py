@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sameword.llm.locate import Located, with_locator
-from sameword.llm.sieve import maybe_in
+from sameword.operators.sieve import maybe_in
 from sameword.shared import fresh_path, remove, stage, staged_at
 
 #: Parts in which copies of one text meet what is held of it.

@@ -7,7 +7,7 @@ the last epoch ends where the budget does. Sources interleave by the share of th
 
 Defined cases: a null source is a source of its own; a null or empty text counts as one token, so that it has a place;
 repeated rows are rows of their own; one source gets weight 1; an empty table gives an empty result; the table's other
-columns stay as they are, whatever their names.
+columns stay as they are, whatever their names. An entropy that no exponent gives is refused (ValueError).
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from sameword.shared import fresh_name, stage
 
 BLOCK_TOKENS = 1_000_000
 REPEATS = 2.0
+#: Exponents for an entropy go up to this, and entropies differ by so much at least.
+MOST_EXPONENT, SLACK = 1024.0, 1e-9
 
 
 def tokens_of(text: Column) -> Column:
@@ -34,36 +36,54 @@ def totals_of(slim: DataFrame) -> DataFrame:
     return slim.groupBy("source").agg(F.sum("tokens").alias("tokens"))
 
 
-def bisect_exponent(totals: DataFrame, repeats: float | None = None, entropy: float | None = None, rounds: int = 5, cuts: int = 32) -> float:
-    """The exponent in [0, 1], 1 leaving shares as they are. Each round cuts the interval into equal parts in one
-    aggregation over the sources, so that the driver never holds one row for each source."""
-    low, high = 0.0, 1.0
-    all_tokens = totals.agg(F.sum("tokens")).first()[0] or 0
-    if not all_tokens:
+def bisect_exponent(totals: DataFrame, repeats: float | None = None, entropy: float | None = None, rounds: int = 6, cuts: int = 32) -> float:
+    """The exponent at which the weights have a given entropy, or the largest one in [0, 1] at which no source comes more
+    often than `repeats` times as often as another; 1 leaves shares as they are, and above it large sources gain. Each round
+    cuts the interval into equal parts in one aggregation over the sources, so that the driver never holds one row for each
+    source.
+
+    An entropy lies between the logarithm of the number of largest sources (all weight on these) and that of the number of
+    sources (equal weights); ValueError for any other. Equal sources have one entropy, met by every exponent: 1. What can't
+    be met in (0, MOST_EXPONENT) but by its bounds is met by them to within SLACK."""
+    sums = totals.agg(F.sum("tokens"), F.max("tokens"), F.count(F.lit(1))).first()
+    if not sums[0]:
         return 1.0
-    p = F.col("tokens") / F.lit(float(all_tokens))
-    for _ in range(rounds):
-        grid = [low + (high - low) * k / cuts for k in range(cuts + 1)]
-        if entropy is not None:
-            row = totals.agg(*[F.sum(F.pow(p, F.lit(x))).alias(f"z{k}") for k, x in enumerate(grid)], *[F.sum(F.pow(p, F.lit(x)) * F.log(p)).alias(f"l{k}") for k, x in enumerate(grid)]).first()
-            fits = [math.log(row[f"z{k}"]) - x * row[f"l{k}"] / row[f"z{k}"] >= entropy for k, x in enumerate(grid)]  # falls as the exponent grows
-            best = max((k for k, ok in enumerate(fits) if ok), default=0)
-            low, high = grid[best], grid[min(best + 1, cuts)]
-        else:
+    p = F.col("tokens") / F.lit(float(sums[1]))  # of the largest, so that no power overflows
+    if entropy is None:
+        low, high = 0.0, 1.0
+        for _ in range(rounds):
+            grid = [low + (high - low) * k / cuts for k in range(cuts + 1)]
             row = totals.agg(*[F.max(F.pow(p, F.lit(x - 1))).alias(f"a{k}") for k, x in enumerate(grid)], *[F.min(F.pow(p, F.lit(x - 1))).alias(f"b{k}") for k, x in enumerate(grid)]).first()
             fits = [row[f"a{k}"] / row[f"b{k}"] <= repeats for k in range(cuts + 1)]  # repeats fall to 1 as it grows to 1
             best = min(k for k, ok in enumerate(fits) if ok) if any(fits) else cuts
             low, high = grid[max(best - 1, 0)], grid[best]
-    return low if entropy is not None else high
+        return high
+
+    def entropies(grid: list[float]) -> list[float]:
+        row = totals.agg(*[F.sum(F.pow(p, F.lit(x))).alias(f"z{k}") for k, x in enumerate(grid)], *[F.sum(F.pow(p, F.lit(x)) * F.log(p)).alias(f"l{k}") for k, x in enumerate(grid)]).first()
+        return [math.log(row[f"z{k}"]) - x * row[f"l{k}"] / row[f"z{k}"] for k, x in enumerate(grid)]  # falls as the exponent grows
+
+    least, most = math.log(totals.where(F.col("tokens") == sums[1]).count()), math.log(sums[2])
+    if not least - SLACK <= entropy <= most + SLACK:
+        raise ValueError(f"no exponent gives an entropy of {entropy}: these sources have from {least} to {most}")
+    if most - least < SLACK:
+        return 1.0
+    grid = [0.0, *[2.0**k for k in range(-10, int(math.log2(MOST_EXPONENT)) + 1)]]  # first which power of two, then within
+    for _ in range(rounds + 1):
+        best = max((k for k, x in enumerate(entropies(grid)) if x >= entropy), default=0)
+        low, high = grid[best], grid[min(best + 1, len(grid) - 1)]
+        grid = [low + (high - low) * k / cuts for k in range(cuts + 1)]
+    return low
 
 
 def plan_of(totals: DataFrame, exponent: float, budget: float | None = None, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """source, tokens, share, weight, budget, epochs, blocks. Without a budget, the total is the least at which every
-    document comes once at least."""
-    z = totals.agg(F.sum("tokens"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(exponent))), F.max(F.col("tokens") / F.pow(F.col("tokens").cast("double"), F.lit(exponent)))).first()
-    every, norm, most = (float(x or 1) for x in z)
-    whole = budget if budget is not None else most * norm
-    out = totals.withColumns({"share": F.col("tokens") / every, "weight": F.pow(F.col("tokens").cast("double"), F.lit(exponent)) / norm})
+    document comes once at least; with an exponent above 1, which takes weight from small sources, it is what there is."""
+    every, top = (float(x or 1) for x in totals.agg(F.sum("tokens"), F.max("tokens")).first())
+    power = F.pow(F.col("tokens") / top, F.lit(exponent))  # of the largest, so that no power overflows
+    norm, most = (float(x or 1) for x in totals.agg(F.sum(power), F.max(F.when(power > 0, F.col("tokens") / power))).first())
+    whole = budget if budget is not None else most * norm if exponent <= 1 else every
+    out = totals.withColumns({"share": F.col("tokens") / every, "weight": power / norm})
     out = out.withColumn("budget", F.greatest(F.round(F.col("weight") * whole), F.lit(1.0)).cast("long"))
     return out.withColumns({"epochs": F.col("budget") / F.col("tokens"), "blocks": F.ceil(F.col("tokens") / block_tokens).cast("long")})
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sameword.llm.arrow import as_bytes, ragged, small_batches
-from sameword.llm.sieve import maybe_in
+from sameword.operators.sieve import maybe_in
 from sameword.operators.graph import connected_components
 from sameword.shared import stage
 

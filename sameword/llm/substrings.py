@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sameword.llm.arrow import as_bytes, ragged, small_batches
-from sameword.llm.sieve import maybe_in
+from sameword.operators.sieve import maybe_in
 from sameword.shared import discard, stage
 
 LENGTH, GRAM = 50, 16
@@ -40,8 +40,8 @@ SHARD_ANCHORS, LEAST_SHARDS = 500_000, 16
 #: Surroundings whose suffixes a task sorts: about 90 times as many bytes of memory.
 SHARD_BYTES = 800_000
 BATCH_ANCHORS, BATCH_PIECES = 250_000, 100_000
-#: Anchors sampled to cut shards.
-SAMPLES, MOST_SAMPLES = 100, 1 << 20
+#: Anchors sampled to cut shards: for each, in all, and at least for each quantile; documents that are sampled from at least.
+SAMPLES, MOST_SAMPLES, LEAST_SAMPLES, LEAST_DOCUMENTS = 100, 1 << 20, 8, 2000
 #: Windows of border anchors that a task merges.
 RANGE_WINDOWS = 1_000_000
 #: Parts in which rows of one text meet their first.
@@ -229,29 +229,48 @@ def span_row(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Table:
     return as_row(i[at][begin], np.diff(np.r_[begin, len(at)]), a[at], last)
 
 
-def surroundings(text: bytes, places: bytes) -> Iterator[tuple[int, int, bytes]]:
+def surroundings(text: bytes, places: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
     """Anchor's hash, start and bytes of each live anchor's surroundings that hold a window."""
-    for p in np.unique(np.frombuffer(places, np.int32)).tolist():
+    for p in np.unique(places).tolist():
         low = max(0, p - REACH + 1)
         if min(p + LENGTH, len(text)) - low >= LENGTH:
             yield xxhash.xxh64_intdigest(text[p : p + GRAM]), low, text[low : p + LENGTH]
 
 
+def cut_points(sample: np.ndarray, shards: int) -> np.ndarray:
+    """shards - 1 hashes that cut the anchors into shards of equal size: quantiles of the sample, and where it has less than
+    LEAST_SAMPLES for each shard, even steps between these (between equal ones the same hash again, so that an anchor that
+    fills several shards comes several times). Without a sample the whole range is cut evenly, as hashes are."""
+    m = max(1, min(shards, len(sample) // LEAST_SAMPLES))
+    steps = -(-shards // m)
+    edges = [0, *np.sort(sample)[np.arange(1, m) * len(sample) // m].tolist(), (1 << 64) - 1]
+    cuts = [a + (b - a) * k // steps for a, b in zip(edges[:-1], edges[1:], strict=True) for k in range(steps)][1:]
+    return np.array(cuts, np.uint64)
+
+
 def splitters(texts: DataFrame, live: DataFrame, entries: int) -> np.ndarray:
-    """Anchors' hashes at which shards are cut, from a sample of documents: SAMPLES a shard, at most MOST_SAMPLES. One that
-    fills several shards comes several times."""
+    """Anchors' hashes at which shards are cut, from a sample of live anchors: SAMPLES a shard, at most MOST_SAMPLES in the
+    mean. Of many documents some are read, of few all; in these, places are taken by a hash."""
     shards = max(1, -(-entries * (LENGTH + REACH) // SHARD_BYTES))
+    if shards == 1:
+        return np.zeros(0, np.uint64)
     rate = max(1, entries // min(MOST_SAMPLES, SAMPLES * shards))
-    some = lambda df: df.where(F.pmod(F.xxhash64("id"), F.lit(rate)) == 0)
+    of_documents = max(1, min(rate, live.count() // LEAST_DOCUMENTS))
+    of_places = np.uint64(-(-rate // of_documents))
+    some = lambda df: df.where(F.pmod(F.xxhash64("id"), F.lit(of_documents)) == 0)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            h = [x[0] for text, places in zip(as_bytes(part.column(0)), part.column(1).to_pylist(), strict=True) for x in surroundings(text, places)]
+            h = []
+            for i, text, places in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
+                at = np.frombuffer(places, np.int32)
+                with np.errstate(over="ignore"):
+                    mixed = (at.astype(np.uint64) + np.uint64(i & (1 << 64) - 1) * P) * P
+                h += [x[0] for x in surroundings(text, at[(mixed >> np.uint64(20)) % of_places == 0])]
             yield pa.RecordBatch.from_arrays([pa.array([np.array(h, np.uint64).tobytes()], pa.binary())], ["h"])
 
-    got = some(texts).join(some(live), "id").select("text", "places").mapInArrow(run, "h binary").collect()
-    h = np.sort(np.frombuffer(b"".join(r.h for r in got), np.uint64))
-    return h[np.arange(1, shards) * len(h) // shards] if len(h) else h
+    got = maybe_in(some(texts), some(live), "id").join(some(live), "id").select("id", "text", "places").mapInArrow(run, "h binary").collect()
+    return cut_points(np.frombuffer(b"".join(r.h for r in got), np.uint64), shards)
 
 
 def dealt(split: np.ndarray, h: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -289,7 +308,7 @@ def cut_pieces(met: DataFrame, split: np.ndarray) -> DataFrame:
 
         for part in parts:
             for i, text, places in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
-                for h, low, piece in surroundings(text, places):
+                for h, low, piece in surroundings(text, np.frombuffer(places, np.int32)):
                     if piece in out:
                         out[piece].append((i, low))
                     else:

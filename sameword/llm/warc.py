@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sameword.llm.arrow import small_batches
 from sameword.llm.exact_dedup import SALTS
 from sameword.llm.locate import with_locator
-from sameword.llm.sieve import flagged
+from sameword.operators.sieve import flagged
 from sameword.shared import fresh_path, stage
 
 #: Bytes of a chunk, and of the rows that a task hands on at once.

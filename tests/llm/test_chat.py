@@ -25,8 +25,20 @@ def test_parts_are_flattened_in_order():
     assert [(a.kind, a.ref, a.tokens) for a in done.attachments] == [("image", "a.png", 4), ("audio", "b.wav", 38), ("document", "c.pdf", 1536), ("image", "", 1)]
     assert done.text == "<s> see \\<|image|> <|image|><|audio|><|document|><|image|> </s>\n"
     assert [done.text[a:b] for a, b in done.spans] == ["see \\<|image|> "]
-    with pytest.raises(ValueError):
-        format_turns([("user", [{"kind": "smell"}])])
+
+
+def test_odd_parts():
+    nan, inf = float("nan"), float("inf")
+    parts = [{"kind": "video", "ref": "v"}, {"kind": "audio", "seconds": nan}, {"kind": "audio", "seconds": inf}, {"kind": "audio", "seconds": -3.0}, {"kind": "image", "width": -5, "height": 0}, {"kind": "document", "pages": -2}, {"kind": "__class__"}, {"kind": "", "text": "x"}]
+    done = format_turns([("user", parts)])
+    assert [(a.kind, a.ref, a.tokens) for a in done.attachments] == [("video", "v", 1), ("audio", "", 1), ("audio", "", 1), ("audio", "", 1), ("image", "", 1), ("document", "", 512), ("__class__", "", 1)]
+    assert done.text == "[INST] <|document|><|audio|><|audio|><|audio|><|image|><|document|><|document|>x [/INST]\n"
+
+
+def test_null_conversations_are_their_own(spark):
+    turns = spark.createDataFrame([(None, 1, "user", "a"), (None, 1, "user", "a"), (None, None, None, None), (3, 1, "user", "b")], "conv_id long, turn long, role string, text string")
+    got = digests(format_conversations(turns)).collect()
+    assert sorted(((r.conv or 0, r.n_turns) for r in got)) == [(0, 1), (0, 1), (0, 1), (3, 1)]
 
 
 def test_tables(spark):

@@ -30,6 +30,33 @@ def test_no_source_repeats_more_than_allowed_and_every_row_comes(docs):
     assert sum(r.weight for r in {r.source: r for r in got}.values()) == pytest.approx(1)
 
 
+def entropy_of(tokens, x):
+    w = [t**x for t in tokens]
+    return -sum(v / sum(w) * math.log(v / sum(w)) for v in w if v)
+
+
+def test_any_entropy_is_met_or_refused(spark):
+    tokens = [1000, 500, 30, 1, 1]
+    totals = spark.createDataFrame([(str(i), t) for i, t in enumerate(tokens)], "source string, tokens long")
+    for wanted in (0.05, 0.3, 0.65, entropy_of(tokens, 1.0), 1.2, 1.5):  # 0.7 is what they have by themselves
+        assert abs(entropy_of(tokens, bisect_exponent(totals, entropy=wanted)) - wanted) < 1e-3
+    for wanted in (-0.1, 1.7):
+        with pytest.raises(ValueError, match="no exponent"):
+            bisect_exponent(totals, entropy=wanted)
+    same = totals.withColumn("tokens", F.lit(7).cast("long"))
+    assert bisect_exponent(same, entropy=math.log(5)) == 1.0
+    with pytest.raises(ValueError, match="no exponent"):
+        bisect_exponent(same, entropy=1.0)
+
+
+def test_mix_above_one_takes_from_small_sources(spark):
+    docs = spark.createDataFrame([(i, "big" if i < 30 else "small", "one two three four") for i in range(40)], "doc_id long, source string, text string")
+    got = mix_order(docs, entropy=0.3, block_tokens=40).groupBy("source").agg(F.sum("tokens").alias("n"), F.first("weight").alias("w")).collect()
+    n, w = {r.source: r.n for r in got}, {r.source: r.w for r in got}
+    assert abs(-sum(x * math.log(x) for x in w.values()) - 0.3) < 1e-3
+    assert all(abs(n[s] - 160 * w[s]) <= 4 for s in n) and n["small"] < 40 < 120 < n["big"]
+
+
 def test_exponent_meets_the_entropy(spark):
     totals = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10)], "source string, tokens long")
     x = bisect_exponent(totals, entropy=0.9)

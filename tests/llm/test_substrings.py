@@ -96,3 +96,36 @@ def test_empty_and_null_identifiers(spark):
     docs = spark.createDataFrame([(None, "q" * 80), (1, "q" * 80), (1, "q" * 80)], "doc_id long, text string")
     assert remove_repeats(docs.limit(0)).count() == 0
     assert [x.n_removed for x in remove_repeats(docs).collect()] == [0, 0, 0]
+
+
+def test_cut_points():
+    none = np.zeros(0, np.uint64)
+    assert len(substrings.cut_points(none, 1)) == 0
+    even = substrings.cut_points(none, 4)
+    assert [int(x) >> 62 for x in even] == [0, 1, 2] and (np.diff(even.astype(float)) > 0).all()
+    draw = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
+    for sample, shards in ((draw, 40), (draw[:30], 40), (np.sort(draw)[::-1], 500)):
+        cuts = substrings.cut_points(sample, shards)
+        assert shards - 1 <= len(cuts) < 2 * shards and (cuts[1:] >= cuts[:-1]).all()
+        sizes = np.bincount(np.searchsorted(cuts, draw), minlength=shards)
+        if len(sample) > 1000:
+            assert sizes.max() < 5 * len(draw) / shards + 10
+    heavy = np.r_[draw[:1000], np.full(1000, draw[0])]  # half of the sample is one anchor
+    assert (substrings.cut_points(heavy, 20) == draw[0]).sum() >= 8
+
+
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_few_long_documents_are_many_shards(spark, monkeypatch, most):
+    """Eight texts that share long passages: shards of equal size, with a small sample too."""
+    monkeypatch.setattr(substrings, "MOST_SAMPLES", most)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 40_000)
+    r = random.Random(4)
+    passages = ["".join(r.choice("abcdefgh ") for _ in range(3000)) for _ in range(12)]
+    rows = [(i, "".join(r.choice(passages) + str(r.random()) for _ in range(6))) for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts, real = [], substrings.splitters
+    monkeypatch.setattr(substrings, "splitters", lambda *a: cuts.append((a, real(*a))) or cuts[-1][1])
+    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs).collect()}
+    assert got == brute(rows)
+    wanted = -(-cuts[0][0][2] * 85 // 40_000)
+    assert wanted > 4 and len(np.unique(cuts[0][1])) >= wanted - 1
