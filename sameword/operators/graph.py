@@ -1,10 +1,11 @@
-"""Connected components over edge tables (GR1, GR3, GR5)."""
+"""Connected components and communities over edge tables (GR1-GR5)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sameword.operators.salted import SALTS, meet
 from sameword.shared import discard, stage
 
 
@@ -47,23 +48,57 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots.select("id", F.col("id").alias("component")))
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """GR2: id, community (its smallest id). Components first, then each component by itself with the weight of the whole
-    graph, which leaves the objective as it is. Nodes go in the order of their ids, so that runs agree."""
-    import pandas as pd
+def spanning_forest(edges: DataFrame, a: str = "a", b: str = "b", weight: str = "w", max_rounds: int = 60) -> DataFrame:
+    """u, v, w: a maximum spanning forest by Boruvka rounds. At any threshold, the components of the forest's edges are those of
+    all edges. Ties go to the larger (u, v). Each round every component takes its heaviest edge to another one, components
+    that these join become one, and of the edges between two components the heaviest stays. Null ends and loops are
+    ignored."""
+    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), F.col(weight).alias("w")).where("u is not null and v is not null and u <> v and w is not null")
+    e = stage(e.groupBy("u", "v").agg(F.max("w").alias("w")).withColumns({"x": F.col("u"), "y": F.col("v")}), "forest-edges")
+    taken = []
+    for _ in range(max_rounds):
+        if e.isEmpty():
+            break
+        edge = F.struct("w", "u", "v", "x", "y")
+        best = e.select(F.col("x").alias("c"), edge.alias("e")).union(e.select(F.col("y").alias("c"), edge.alias("e"))).groupBy("c").agg(F.max("e").alias("e"))
+        chosen = stage(best.select("e.*").distinct(), "forest-chosen")
+        taken.append(chosen.select("u", "v", "w"))
+        joined = stage(connected_components(chosen, "x", "y"), "forest-joined")
+        ends = e
+        for c in ("x", "y"):
+            ends = stage(meet(ends, joined.select(F.col("id").alias(c), F.col("component").alias(f"{c}_new")), [c], ["u", "v"]).drop(c).withColumnRenamed(f"{c}_new", c), "forest-ends")
+        pair = [F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")]
+        last, e = e, stage(ends.where("x <> y").groupBy(*pair).agg(F.max(F.struct("w", "u", "v")).alias("e")).select("e.*", "x", "y"), "forest-edges")
+        discard(last), discard(joined)
+    else:
+        raise RuntimeError("the spanning forest did not settle")
+    out = e.select("u", "v", "w")
+    for one in taken:
+        out = out.union(one)
+    return out
+
+
+#: Links of a component that one task works on.
+MOST = 200_000
+#: Parts of which one moves in a round, rounds on one level, and what the modularity must rise by while each part has a turn.
+PARTS, ROUNDS, LEAST_GAIN = 4, 24, 1e-4
+#: Links up to which joins by node need no salt: they fit in a task, whatever their keys.
+SPREAD = 1_000_000
 
-    e = stage(edges.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v"), F.col("score").cast("double").alias("w")).where("u <> v").groupBy("u", "v").agg(F.max("w").alias("w")), "louvain")
-    double = 2.0 * (e.agg(F.sum("w")).first()[0] or 0.0)
-    parts = connected_components(e, "u", "v")
-    kind = vertices.schema["id"].dataType.simpleString()
+
+def local_louvain(double: float, resolution: float, kind: str):
+    """Of a component's links (u, v, w; u = v for a node's own weight) the communities, node by node in their order."""
+    import pandas as pd
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         names = sorted(set(pdf.u) | set(pdf.v))
         at = {x: i for i, x in enumerate(names)}
-        links = [dict() for _ in names]
+        links, loops, home = [dict() for _ in names], [0.0] * len(names), list(range(len(names)))
         for u, v, w in zip(pdf.u, pdf.v, pdf.w, strict=True):
-            links[at[u]][at[v]] = links[at[v]][at[u]] = w
-        loops, home = [0.0] * len(names), list(range(len(names)))
+            if u == v:
+                loops[at[u]] = w
+            else:
+                links[at[u]][at[v]] = links[at[v]][at[u]] = w
         while True:
             degree = [sum(x.values()) + 2 * y for x, y in zip(links, loops, strict=True)]
             com, total, moved = list(range(len(links))), degree[:], False
@@ -100,5 +135,114 @@ def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0) -> D
             low.setdefault(h, x)
         return pd.DataFrame({"id": names, "community": [low[h] for h in home]})
 
-    found = e.join(parts, F.col("u") == F.col("id")).select("component", "u", "v", "w").groupBy("component").applyInPandas(local, f"id {kind}, community {kind}")
+    return local, f"id {kind}, community {kind}"
+
+
+def move_some(both: DataFrame, state: DataFrame, turn: int, resolution: float, double: float, salts: int) -> tuple[DataFrame, float, int]:
+    """One round: nodes of one of PARTS parts, by a hash, go to the neighbouring community that gains most; the others stay,
+    so that what a move was worked out with holds for most of it. Returns the new state, staged, the modularity of the
+    given one, but for the nodes' own weights, and how many moved.
+
+    both: links (a, b, w) in both directions; state: node, degree, com. The smallest label wins ties, and of two nodes that
+    are communities of their own only the one with the larger label moves."""
+    state = state.select("node", "degree", "com")
+    sums = state.groupBy("com").agg(F.sum("degree").alias("total"), F.count(F.lit(1)).alias("many"))
+    known = stage(meet(state, sums, ["com"], ["node"], salts=salts), "louvain-known")
+    far = known.select(F.col("node").alias("b"), F.col("com").alias("to"), F.col("total").alias("to_total"), F.col("many").alias("to_many"))
+    near = known.select(F.col("node").alias("a"), "degree", "com", "total", "many")
+    options = meet(both, far, ["b"], ["a"], salts=salts).groupBy("a", "to").agg(F.sum("w").alias("link"), F.first("to_total").alias("to_total"), F.first("to_many").alias("to_many"))
+    if salts > 1:
+        options = stage(options, "louvain-options")
+    met = meet(options, near, ["a"], ["to"], salts=salts)
+    own = F.col("to") == F.col("com")
+    gain = F.round(F.col("link") - resolution * F.col("degree") * F.col("to_total") / double, 12)
+    open_ = ~own & ((F.col("many") > 1) | (F.col("to_many") > 1) | (F.col("to") < F.col("com")))
+    best = met.groupBy("a").agg(F.min(F.when(open_, F.struct((-gain).alias("loss"), "to"))).alias("best"), F.coalesce(F.max(F.when(own, F.col("link"))), F.lit(0.0)).alias("inner"))
+    joined = known.join(best, F.col("node") == F.col("a"), "left")
+    stays = F.round(F.coalesce("inner", F.lit(0.0)) - resolution * F.col("degree") * (F.col("total") - F.col("degree")) / double, 12)
+    mine = F.pmod(F.xxhash64("node", F.lit(turn // PARTS)), F.lit(PARTS)) == turn % PARTS
+    goes = F.coalesce(mine & (-F.col("best.loss") > stays), F.lit(False))
+    new = stage(joined.select("node", "degree", F.when(goes, F.col("best.to")).otherwise(F.col("com")).alias("com"), goes.alias("moved"), "inner", (F.col("degree") * F.col("total")).alias("square")), "louvain-state")
+    inner, square, moved = new.agg(F.coalesce(F.sum("inner"), F.lit(0.0)), F.coalesce(F.sum("square"), F.lit(0.0)), F.count_if("moved")).first()
+    discard(known)
+    if salts > 1:
+        discard(options)
+    return new, inner / double - resolution * square / double**2, moved
+
+
+def move_all(links: DataFrame, loops: DataFrame, resolution: float, double: float) -> DataFrame | None:
+    """node, com after rounds on one level, the best state that was met; null where nothing moved."""
+    both = stage(links.select(F.col("u").alias("a"), F.col("v").alias("b"), "w").union(links.select("v", "u", "w")), "louvain-both")
+    salts = SALTS if both.count() > SPREAD else 1
+    weights = both.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k")).join(loops.withColumnRenamed("u", "node").withColumnRenamed("w", "own"), "node", "left")
+    state = stage(weights.select("node", (F.col("k") + 2 * F.coalesce("own", F.lit(0.0))).alias("degree"), F.col("node").alias("com")), "louvain-state")
+    best, best_q, seen, still = None, None, [], 0
+    for k in range(ROUNDS):
+        new, q, moved = move_some(both, state, k, resolution, double, salts)
+        seen.append(q)
+        if best_q is None or q > best_q:
+            if best is not None:
+                discard(best)
+            best, best_q = state, q
+        else:
+            discard(state)
+        state, still = new, 0 if moved else still + 1
+        if still == PARTS or (k > 2 * PARTS and max(seen[-PARTS:]) < max(seen[:-PARTS]) + LEAST_GAIN):
+            break
+    discard(state), discard(both)
+    return best if best_q > seen[0] else None
+
+
+def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0, most: int = MOST) -> DataFrame:
+    """GR2: id, community (its smallest id).
+
+    A component of up to `most` links is worked on by one task, node by node in the order of their ids, with the weight of
+    the whole graph, which leaves the objective as it is. Larger ones go through rounds over tables (move_all()) and are
+    coarsened, communities becoming nodes with weights of their own, until what is left of a component is that small or
+    nothing moves. Nothing depends on the order of rows, so runs agree. Links of one pair count once, the heaviest; null
+    ends and loops are ignored; a vertex without links is its own community."""
+    e = edges.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v"), F.col("score").cast("double").alias("w"))
+    links = stage(e.where("u <> v and w is not null").groupBy("u", "v").agg(F.max("w").alias("w")), "louvain")
+    spark, kind = vertices.sparkSession, vertices.schema["id"].dataType.simpleString()
+    double = 2.0 * (links.agg(F.sum("w")).first()[0] or 0.0)
+    loops = spark.createDataFrame([], f"u {kind}, w double")
+    local, schema = local_louvain(double, resolution, kind)
+    home, done = None, []  # home: which node an id is by now
+
+    def settle(found: DataFrame) -> None:
+        """found: id, community of nodes that are finished."""
+        done.append(found if home is None else home.join(found.withColumnRenamed("id", "node"), "node").select("id", "community"))
+
+    while True:
+        parts = stage(connected_components(links, "u", "v"), "louvain-parts")
+        placed = stage(meet(links, parts.select(F.col("id").alias("u"), "component"), ["u"], ["v"]), "louvain-placed")
+        sizes = placed.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+        own = loops.join(parts, F.col("u") == F.col("id")).select("u", F.col("u").alias("v"), "w", "component")
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= most:
+            settle(placed.select("u", "v", "w", "component").union(own).groupBy("component").applyInPandas(lambda _, pdf: local(pdf), schema))
+            break
+        large = sizes.where(F.col("n") > most).select("component", F.lit(True).alias("large"))
+        split = stage(meet(placed, large, ["component"], ["u", "v"], "left"), "louvain-split")
+        split_own = stage(meet(own, large, ["component"], ["u"], "left"), "louvain-own") if home is not None else own.withColumn("large", F.lit(False))
+        few = split.where("large is null").drop("large").select("u", "v", "w", "component").union(split_own.where("large is null").select("u", "v", "w", "component"))
+        settle(few.groupBy("component").applyInPandas(lambda _, pdf: local(pdf), schema))
+        big, big_loops = split.where("large").select("u", "v", "w"), split_own.where("large").select("u", "w")
+        moved = move_all(big, big_loops, resolution, double)
+        if moved is None:
+            settle(big.select(F.col("u").alias("id")).union(big.select("v")).distinct().select("id", F.col("id").alias("community")))
+            break
+        names = moved.groupBy("com").agg(F.min("node").alias("name"))
+        named = stage(meet(moved.select("node", "com"), names, ["com"], ["node"]).select("node", "name"), "louvain-named")
+        home = stage(named.select(F.col("node").alias("id"), F.col("name").alias("node")) if home is None else home.join(named, "node").select("id", F.col("name").alias("node")), "louvain-home")
+        a, b = named.select(F.col("node").alias("u"), F.col("name").alias("p")), named.select(F.col("node").alias("v"), F.col("name").alias("q"))
+        ends = stage(meet(stage(meet(big, a, ["u"], ["v"]), "louvain-ends"), b, ["v"], ["u"]).select("p", "q", "w"), "louvain-ends")
+        within = ends.where("p = q").select(F.col("p").alias("u"), "w").union(big_loops.join(a, "u").select(F.col("p").alias("u"), "w"))
+        loops = stage(within.groupBy("u").agg(F.sum("w").alias("w")), "louvain-loops")
+        links = stage(ends.where("p <> q").groupBy(F.greatest("p", "q").alias("u"), F.least("p", "q").alias("v")).agg(F.sum("w").alias("w")), "louvain")
+        # a community without links to others is finished
+        left = links.select(F.col("u").alias("id")).union(links.select("v")).distinct()
+        settle(named.select(F.col("name").alias("id")).distinct().join(left, "id", "left_anti").select("id", F.col("id").alias("community")))
+    found = done[0]
+    for one in done[1:]:
+        found = found.union(one)
     return vertices.select("id").join(found, "id", "left").select("id", F.coalesce("community", "id").alias("community"))

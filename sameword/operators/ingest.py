@@ -6,10 +6,13 @@ from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sameword.functions import text as T
+from sameword.operators.order import numbered
+from sameword.operators.salted import meet
+from sameword.operators.sieve import flagged, maybe_in
+from sameword.shared import stage
 
 # What a failed scrape looks like (FI1), and the shorter list (FI2).
 BROKEN = (
@@ -66,13 +69,40 @@ def long_enough(rows: DataFrame, text: str = "text", least: int = 100) -> DataFr
     return rows.where(F.length(T.strip(F.col(text))) >= least)
 
 
+#: Lines of up to so many characters, stripped, are in no dictionary.
+SHORT = 15
+
+
+def long_lines(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, pos (from 0), line: the stripped lines that a dictionary can hold."""
+    lines = rows.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("pos", "line")).withColumn("line", T.strip(F.col("line")))
+    return lines.where(F.length("line") > SHORT)
+
+
+def frequent_lines(rows: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """AG19: line, df: lines that at least `least` documents have. They are counted by digests, each document's once,
+    with partial counts before anything moves; texts are looked up for digests that are frequent enough only."""
+    lines = long_lines(rows, id_col, text_col).select(id_col, "line", digest(F.col("line")).alias("_k"))
+    counts = lines.select(id_col, "_k").distinct().groupBy("_k").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least)
+    counts = stage(counts, "frequent-lines")
+    texts = maybe_in(lines.select("_k", "line"), counts, "_k").groupBy("_k").agg(F.min("line").alias("line"))
+    return texts.join(counts, "_k").select("line", "df")
+
+
 def drop_known_lines(rows: DataFrame, id_col: str, text_col: str, known: DataFrame) -> DataFrame:
-    """PR2 for a dictionary (line) of any size: lines of over 15 characters, stripped, meet it in an anti join, and what is
-    left is put together again in order. A text whose lines all go is empty. Identifiers are unique."""
-    lines = rows.select(id_col, F.posexplode(F.split(text_col, "\n")).alias("_pos", "_raw")).withColumn("line", T.strip(F.col("_raw")))
-    kept = lines.join(known.where(F.length("line") > 15).select("line").distinct(), "line", "left_anti")
-    made = kept.groupBy(id_col).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_raw"))), lambda s: s["_raw"]), "\n").alias("_t"))
-    return rows.join(made, id_col, "left").withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.coalesce("_t", F.lit("")))).drop("_t")
+    """PR2 for a dictionary (line) of any size. A text whose lines all go is empty. Identifiers are unique.
+
+    Short lines never leave their text, and of the others only those that a bitmap of the dictionary lets pass are moved, as
+    digests; the rows of a line meet the dictionary in parts. Then texts that lose a line are joined with the places of
+    those; other texts stay where they are."""
+    keys = stage(known.where(F.length("line") > SHORT).select(digest(F.col("line")).alias("_k")).distinct(), "known-lines")
+    lines = long_lines(rows, id_col, text_col).select(F.col(id_col).alias("_id"), "pos", digest(F.col("line")).alias("_k"))
+    maybe = stage(maybe_in(lines, keys, "_k"), "maybe-known")
+    lost = stage(meet(maybe, keys, ["_k"], ["_id", "pos"]).groupBy("_id").agg(F.collect_set("pos").alias("_lost")), "lost-lines")
+    split = flagged(rows, lost.withColumnRenamed("_id", id_col), "_hit", id_col)
+    kept = F.array_join(F.filter(F.split(text_col, "\n"), lambda x, i: ~F.array_contains("_lost", i)), "\n")
+    hit = split.where("_hit").join(lost, F.col(id_col) == F.col("_id"), "left").withColumn(text_col, F.when(F.col("_lost").isNull(), F.col(text_col)).otherwise(kept))
+    return split.where("not _hit").drop("_hit").unionByName(hit.select(*rows.columns))
 
 
 def up_to(rows: DataFrame, have: int, target: int, order: str) -> DataFrame:
@@ -91,23 +121,31 @@ def keep_first(rows: DataFrame, key: Column, order: str) -> DataFrame:
     return rows.join(first, F.col(order) == F.col("_o"), "left_semi")
 
 
+def digest(key: Column) -> Column:
+    """What stands for a key of any length; null for null."""
+    return F.unhex(F.sha2(key, 256))
+
+
 def merge_labels(rows: DataFrame, key: Column, order: str, least: int = 50) -> DataFrame:
     """AG6: every row gets the label of its key's first holder, or that one's identifier where it has none or 0. Keys of up
-    to `least` characters (and null ones) don't merge: their rows keep their own label, or get their own identifier."""
+    to `least` characters (and null ones) don't merge: their rows keep their own label, or get their own identifier. `order`
+    is unique. Only it, labels and digests of keys move for that; copies of one key meet its first holder in parts."""
     own = F.coalesce(F.when(F.col("true_cluster_id") != 0, F.col("true_cluster_id")), F.col(order))
-    k = rows.withColumn("_k", F.when(F.length(key) > least, key))
-    first = k.where("_k is not null").groupBy("_k").agg(F.min_by(own, order).alias("_l"))
-    return k.join(first, "_k", "left").withColumn("true_cluster_id", F.coalesce(F.col("_l"), own)).drop("_k", "_l")
+    k = stage(rows.select(F.col(order).alias("_o"), digest(F.when(F.length(key) > least, key)).alias("_k"), own.alias("_own")).where("_k is not null"), "merge-keys")
+    first = k.groupBy("_k").agg(F.min_by("_own", "_o").alias("_l"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    labels = meet(k, first, ["_k"], ["_o"]).select("_o", "_l")
+    return rows.join(labels, F.col(order) == F.col("_o"), "left").withColumn("true_cluster_id", F.coalesce(F.col("_l"), own)).drop("_o", "_l")
 
 
 def merge_later(rows: DataFrame, key: Column, order: str, absent: Column | None = None) -> DataFrame:
     """AG7: later holders get the first one's label as it is, null too; the first row stays untouched. absent: where the
-    first holder's record has no label at all, not even null, its identifier is the label. Null keys are one key."""
-    k = rows.withColumns({"_k": key, "_a": F.lit(False) if absent is None else absent})
-    label = F.when(F.col("_a"), F.col(order)).otherwise(F.col("true_cluster_id"))
-    first = k.groupBy("_k").agg(F.min_by(F.struct(label.alias("l")), order).alias("_l"), F.min(order).alias("_o")).withColumnRenamed("_k", "_key")
-    met = k.join(first, F.col("_k").eqNullSafe(F.col("_key")))
-    return met.withColumn("true_cluster_id", F.when(F.col(order) == F.col("_o"), F.col("true_cluster_id")).otherwise(F.col("_l.l"))).drop("_k", "_key", "_l", "_o", "_a")
+    first holder's record has no label at all, not even null, its identifier is the label. Null keys are one key. `order` is
+    unique; what moves is as in merge_labels()."""
+    label = F.when(F.lit(False) if absent is None else absent, F.col(order)).otherwise(F.col("true_cluster_id"))
+    k = stage(rows.select(F.col(order).alias("_o"), digest(key).alias("_k"), label.alias("_own")), "merge-keys")
+    first = k.groupBy("_k").agg(F.min_by(F.struct(F.col("_own").alias("l")), "_o").alias("_l"), F.min("_o").alias("_first"))
+    later = meet(k, first, ["_k"], ["_o"]).where("_o <> _first").select("_o", "_l")
+    return rows.join(later, F.col(order) == F.col("_o"), "left").withColumn("true_cluster_id", F.when(F.col("_l").isNull(), F.col("true_cluster_id")).otherwise(F.col("_l.l"))).drop("_o", "_l")
 
 
 def reported(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
@@ -128,9 +166,5 @@ def undone(rows: DataFrame, batch: str, label: str) -> DataFrame:
 
 
 def dense_ids(rows: DataFrame, order: str, after: int = 0) -> DataFrame:
-    """PR29: numbers after `after`, in order. Range partitions are numbered one by one and shifted by the ones before, so
-    that no single task sees all rows."""
-    ranged = rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
-    ranged = ranged.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(order)))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_before", F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    return ranged.join(sizes, "_p").withColumn("new_id", F.lit(after) + F.col("_before") + F.col("_n")).drop("_p", "_n", "_before")
+    """PR29: numbers after `after`, in order."""
+    return numbered(rows, order, name="new_id").withColumn("new_id", F.col("new_id") + after + 1)

@@ -25,6 +25,21 @@ def numbered(rows: DataFrame, *order: Column | str, name: str = "place") -> Data
     return held.join(F.broadcast(sizes), part).withColumn(name, place).drop(at, part, before)
 
 
+def running(rows: DataFrame, weights: dict[str, Column], *order: Column | str) -> DataFrame:
+    """rows with a column for each of `weights` (name, whole numbers): their sum over the rows ahead in `order`. As numbered(),
+    with sums in place of counts; a range is one window partition."""
+    at, part, own = (fresh_name(x, *rows.columns, *weights) for x in ("_at", "_part", "_own"))
+    sums = {name: fresh_name(f"_sum_{name}", *rows.columns, *weights) for name in weights}
+    ranged = rows.withColumns({sums[name]: w for name, w in weights.items()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    held = stage(ranged.withColumn(at, F.monotonically_increasing_id()), "ordered").withColumn(part, F.shiftright(at, ROW_BITS))
+    ahead, inside = (w.rowsBetween(W.unboundedPreceding, -1) for w in (W.orderBy(own), W.partitionBy(part).orderBy(at)))
+    sizes = held.groupBy(F.col(part).alias(own)).agg(*[F.sum(s).alias(name) for name, s in sums.items()])
+    sizes = sizes.select(own, *[F.coalesce(F.sum(name).over(ahead), F.lit(0)).alias(name) for name in weights])
+    inner = held.withColumns({s: F.coalesce(F.sum(s).over(inside), F.lit(0)) for s in sums.values()})
+    met = inner.join(F.broadcast(sizes), F.col(part) == F.col(own))
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], *[(F.col(name) + F.col(s)).alias(name) for name, s in sums.items()])
+
+
 def numbered_within(rows: DataFrame, group: str, *order: Column | str, name: str = "place", size: str = "size") -> DataFrame:
     """rows with `name`, their place from 0 among the rows of one `group` (null is one), and `size`, how many those are. One
     exchange by ranges of (group, order): a group of any size is spread, and rows meet what is ahead of their own range."""

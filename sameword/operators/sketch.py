@@ -11,6 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sameword.operators.salted import meet
+from sameword.shared import stage
+
 PRIME = 4294967311
 #: Words whose n values are held at once.
 AT_ONCE = 8192
@@ -71,17 +74,18 @@ def estimate(a: Column, b: Column, n: int = 128) -> Column:
 
 
 def signature_groups(rows: DataFrame, id_col: str, time_col: str) -> DataFrame:
-    """AG2, AG3: rep_id and member_id, the earliest of equal signatures standing for all (itself included)."""
-    keyed = rows.withColumn("k", F.md5(F.array_join("sig", ",")))
+    """AG2, AG3: rep_id and member_id, the earliest of equal signatures standing for all (itself included). Only identifiers,
+    times and digests move, and a signature's members meet the earliest one in parts."""
+    keyed = stage(rows.select(id_col, time_col, F.md5(F.array_join("sig", ",")).alias("k")), "signature-keys")
     rep = keyed.groupBy("k").agg(F.min(F.struct(time_col, id_col)).alias("r")).select("k", F.col(f"r.{id_col}").alias("rep_id"))
-    return keyed.join(rep, "k").select("rep_id", F.col(id_col).alias("member_id"))
+    return meet(keyed, rep, ["k"], [id_col]).select("rep_id", F.col(id_col).alias("member_id"))
 
 
 def representatives(rows: DataFrame, id_col: str, key: Column) -> DataFrame:
-    """id and rep, the smallest identifier with an equal key. Copies of one key are counted in parts before they meet."""
-    keyed = rows.select(id_col, key.alias("_k"))
+    """id and rep, the smallest identifier with an equal key. Copies of one key are counted in parts and meet in parts."""
+    keyed = stage(rows.select(id_col, key.alias("_k")), "representative-keys")
     reps = keyed.groupBy("_k").agg(F.min(id_col).alias("rep"))
-    return keyed.join(reps, "_k").select(id_col, "rep")
+    return meet(keyed, reps, ["_k"], [id_col]).select(id_col, "rep")
 
 
 def band_candidates(sig: DataFrame, id_col: str, bands: int = 32, rows: int = 4) -> DataFrame:

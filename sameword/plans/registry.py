@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from sameword.config import BAD_PHRASES, DedupConfig
 from sameword.functions import text as T
 from sameword.operators import clusters, graph, ingest, judge, sketch, windowed
-from sameword.plans.pipeline import DedupPipeline, trigram_logit
+from sameword.plans.pipeline import DedupPipeline, rerank, sweep_forest
 from sameword.shared import fresh_path, stage
 from sameword.sources.readers import main_text, read_articles
 
@@ -111,9 +111,7 @@ LINES = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw_lin
 
 
 def boilerplate(a: DataFrame, least: int = 5) -> DataFrame:
-    """AG19: lines of over 15 characters in many documents."""
-    lines = a.select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", T.strip(F.col("l")).alias("line")).where(F.length("line") > 15)
-    return lines.groupBy("line").agg(F.count_distinct("doc_id").alias("df")).where(F.col("df") >= least)
+    return ingest.frequent_lines(a, "doc_id", "text", least)
 
 
 @query(f"WITH {ART}, {LINES} SELECT line, df FROM boiler")
@@ -334,6 +332,27 @@ def window_neighbour_count(spark, sf):
     return windowed.neighbours(table(spark, sf, "events").select("event_id", "ts", "user_id"), "event_id", "ts", 2, "user_id")
 
 
+#: Every other event in one hour, the others where they are.
+CROWDED = "crowded AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-10' + (event_id % 3600) * INTERVAL 1 SECOND ELSE ts END AS ts FROM events WHERE ts IS NOT NULL)"
+
+
+def crowded(spark, sf) -> DataFrame:
+    at = F.timestamp_micros(F.lit(1_704_844_800_000_000) + F.col("event_id") % 3600 * 1_000_000)
+    return table(spark, sf, "events").where("ts is not null").select("event_id", F.when(F.col("event_id") % 2 == 0, at).otherwise(F.col("ts").cast("timestamp")).alias("ts"))
+
+
+@query(f"WITH {CROWDED} SELECT event_id, count(*) OVER (ORDER BY epoch_us(ts) RANGE BETWEEN CURRENT ROW AND 259199999999 FOLLOWING) - row_number() OVER (PARTITION BY ts ORDER BY event_id) AS n_after FROM crowded")
+def global_neighbour_count(spark, sf):
+    """WI3 without a key, one hour holding half of all rows."""
+    return windowed.followers(crowded(spark, sf), "event_id", "ts", 3 * windowed.DAY).select(F.col("id").alias("event_id"), "n_after")
+
+
+@query("SELECT a.event_id AS id_a, b.event_id AS id_b FROM events a JOIN events b ON (b.ts > a.ts OR (b.ts = a.ts AND b.event_id > a.event_id)) AND b.ts < a.ts + INTERVAL 10 MINUTE")
+def global_window_pairs(spark, sf):
+    """JO1 without a key: ten minutes over all events."""
+    return windowed.window_pairs(table(spark, sf, "events").select("event_id", "ts"), "event_id", "ts", 600_000_000)
+
+
 def timed_vectors(spark, sf) -> DataFrame:
     at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + (F.col("vec_id") * 7919 % 43200) * 60_000_000)
     return table(spark, sf, "embeddings").where("embedding is not null").select("vec_id", at.alias("t"), F.col("embedding").alias("v"))
@@ -398,9 +417,8 @@ RERANK = f", link AS (SELECT id_a, id_b FROM veto WHERE jac >= 0.7), bothn AS (S
 
 @query(f"{JAC}{SHN}{RERANK} SELECT id_a, id_b, round(score, 6) AS score FROM scored WHERE score >= 0.8")
 def rerank_sigmoid_filter(spark, sf):
-    p, t = vetoed(spark, sf).select("id_a", "id_b"), articles(spark, sf).select("id", F.substring("text", 1, 2000).alias("t"))
-    p = p.join(t.select(F.col("id").alias("id_a"), F.col("t").alias("ta")), "id_a").join(t.select(F.col("id").alias("id_b"), F.col("t").alias("tb")), "id_b")
-    return p.select("id_a", "id_b", T.sigmoid(trigram_logit(F.col("ta"), F.col("tb"))).alias("score")).where("score >= 0.8").select("id_a", "id_b", F.round("score", 6).alias("score"))
+    found = rerank(vetoed(spark, sf), articles(spark, sf).withColumnRenamed("text", "clean_text"), DedupConfig())
+    return found.select("id_a", "id_b", F.round("score", 6).alias("score"))
 
 
 # -- graphs and clusters, on links of equal exact keys and shared bands
@@ -465,10 +483,14 @@ def fp_pairs(spark, sf):
     return p.subtract(clusters.pairs_within(labelled(articles(spark, sf)).where("label is not null"), "label"))
 
 
-@query(f"{LINKS}{LABELLED}, {PM} SELECT a AS id_a, b AS id_b FROM tru EXCEPT SELECT a, b FROM prd")
+#: Labels that clusters miss: one for each three neighbouring identifiers.
+TRIPLES = ", lab AS (SELECT id, CAST(doc_id // 3 AS VARCHAR) AS label FROM art WHERE doc_id % 5 <> 0)"
+
+
+@query(f"{LINKS}{TRIPLES}, {PM} SELECT a AS id_a, b AS id_b FROM tru EXCEPT SELECT a, b FROM prd")
 def fn_pairs(spark, sf):
-    p = clusters.pairs_within(components(spark, sf), "cluster_id")
-    return clusters.pairs_within(labelled(articles(spark, sf)).where("label is not null"), "label").subtract(p)
+    rows = articles(spark, sf).where("doc_id % 5 <> 0").select("id", F.expr("cast(doc_id div 3 as string)").alias("label"))
+    return clusters.pairs_within(rows, "label").subtract(clusters.pairs_within(components(spark, sf), "cluster_id"))
 
 
 @query(f"{LINKS}{LABELLED}, c AS (SELECT label, cluster_id, count(*) AS n FROM lab JOIN comp ON lab.id = comp.id WHERE label IS NOT NULL GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS n FROM c), a AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT sum(n) AS n FROM c GROUP BY label)), b AS (SELECT sum(n * (n - 1) / 2) AS b FROM (SELECT sum(n) AS n FROM c GROUP BY cluster_id)) SELECT round(coalesce((s - a * b / (n * (n - 1) / 2)) / nullif((a + b) / 2 - a * b / (n * (n - 1) / 2), 0), 1), 6) AS ari FROM s, a, b")
@@ -482,6 +504,32 @@ def confusion_metrics(spark, sf):
     return m.select("processed", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query(f"{LINKS}, sized AS (SELECT cluster_id, row_number() OVER (ORDER BY count(*) DESC, cluster_id) - 1 AS cluster FROM comp GROUP BY cluster_id) SELECT id, cluster_id, cluster FROM comp JOIN sized USING (cluster_id)")
+def cluster_numbers(spark, sf):
+    """GR4."""
+    return clusters.cluster_numbers(components(spark, sf))
+
+
+FOREST = f"WITH RECURSIVE {JAC[5:]}, grid AS (SELECT c::DOUBLE AS c, j::DOUBLE AS j FROM (VALUES (0.9), (0.95), (0.97)) AS g(c), (VALUES (0.0), (0.5), (0.7), (0.9)) AS k(j)), passed AS (SELECT c, j, id_a, id_b FROM grid JOIN veto ON cos >= c AND jac >= j), ways AS (SELECT c, j, id_a AS a, id_b AS b FROM passed UNION SELECT c, j, id_b, id_a FROM passed), reach AS (SELECT c, j, a AS id, a AS r FROM ways UNION SELECT reach.c, reach.j, reach.id, b FROM reach JOIN ways ON ways.c = reach.c AND ways.j = reach.j AND r = a), comp AS (SELECT c, j, id, min(r) AS cluster_id FROM reach GROUP BY ALL)"
+FOREST += f""", keyed AS (SELECT *, {KEY} AS k FROM art), lab AS (SELECT id, CASE WHEN count(*) OVER (PARTITION BY k) > 1 THEN CAST(min(doc_id) OVER (PARTITION BY k) AS VARCHAR) END AS label FROM keyed),
+lb AS (SELECT * FROM lab WHERE label IS NOT NULL), tru AS (SELECT coalesce(sum(n * (n - 1) // 2), 0) AS t, sum(n) AS m FROM (SELECT count(*) AS n FROM lb GROUP BY label)),
+prd AS (SELECT c, j, count(*) AS n_clusters, sum(n * (n - 1) // 2) AS p FROM (SELECT c, j, count(*) AS n FROM comp GROUP BY c, j, cluster_id) GROUP BY ALL),
+hit AS (SELECT c, j, sum(n * (n - 1) // 2) AS tp FROM (SELECT c, j, count(*) AS n FROM comp JOIN lb USING (id) GROUP BY c, j, cluster_id, label) GROUP BY ALL),
+blk AS (SELECT c, j, sum(n * (n - 1) // 2) AS b FROM (SELECT c, j, count(*) AS n FROM comp JOIN lb USING (id) GROUP BY c, j, cluster_id) GROUP BY ALL),
+pts AS (SELECT grid.c, grid.j, (SELECT count(*) FROM passed x WHERE x.c = grid.c AND x.j = grid.j) AS n_pairs, coalesce(n_clusters, 0) AS n_clusters, coalesce(tp, 0) AS tp, coalesce(p, 0) AS p, coalesce(b, 0) AS b, t, m FROM grid LEFT JOIN prd ON prd.c = grid.c AND prd.j = grid.j LEFT JOIN hit ON hit.c = grid.c AND hit.j = grid.j LEFT JOIN blk ON blk.c = grid.c AND blk.j = grid.j, tru)
+SELECT c AS min_cos, j AS min_jac, n_pairs, n_clusters, tp::BIGINT AS tp, (p - tp)::BIGINT AS fp, (t - tp)::BIGINT AS fn, round(CASE WHEN p = 0 THEN 0 ELSE tp / p END, 6) AS precision, round(CASE WHEN t = 0 THEN 0 ELSE tp / t END, 6) AS recall,
+  round(coalesce((tp - t * b / (m * (m - 1) / 2)) / nullif((t + b) / 2 - t * b / (m * (m - 1) / 2), 0), 1), 6) AS ari FROM pts"""
+
+
+@query(FOREST)
+def threshold_forest(spark, sf):
+    """VE3 for components: one spanning forest of all pairs, by the second threshold for each value of the first, and its cuts
+    at every point of the grid."""
+    a = articles(spark, sf)
+    points = sweep_forest(stage(vetoed(spark, sf, 0.0), "sweep-pairs"), labelled(a), GRID)
+    return points.select("min_cos", "min_jac", "n_pairs", "n_clusters", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "ari")])
+
+
 # -- synthetic copies, samples, replies, inspection
 
 RAND = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
@@ -499,13 +547,21 @@ def synth_ids_dates(spark, sf):
 
 
 NATURAL = "NOT (ends_with({0}, '_dup') OR coalesce(TRY_CAST({0} AS BIGINT) >= 1000000, false))"
-EXPERT = f"""{LINKS}, nat AS (SELECT art.*, cluster_id FROM art JOIN comp ON art.id = comp.id WHERE {NATURAL.format('art.id')}),
-prs AS (SELECT x.id AS a, y.id AS b FROM nat x JOIN nat y ON x.cluster_id = y.cluster_id AND x.id < y.id),
-pos AS (SELECT a, b, 1 AS algorithmic_label, row_number() OVER (ORDER BY md5('42|' || a || '|' || b)) - 1 AS pair_id FROM prs QUALIFY pair_id < 500),
-r AS (SELECT id, cluster_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, {RAND.format("'n|' || id")} % (SELECT count(*) FROM nat) AS other FROM nat),
-q AS (SELECT r.id AS a, o.id AS b FROM r JOIN r o ON o.place = r.other WHERE o.cluster_id IS DISTINCT FROM r.cluster_id),
-neg AS (SELECT a, b, 0 AS algorithmic_label, row_number() OVER (ORDER BY md5('42|' || a || '|' || b)) - 1 AS n FROM q QUALIFY n < 500),
-expert AS (SELECT a, b, algorithmic_label, pair_id FROM pos UNION ALL SELECT a, b, algorithmic_label, n + (SELECT count(*) FROM pos) FROM neg),
+DRAWN = "CAST('0x' || substr(md5('42|{0}|' || k), 1, 15) AS BIGINT)"
+EXPERT = f"""{LINKS}, nat AS (SELECT art.*, cluster_id, row_number() OVER (ORDER BY cluster_id, doc_id) - 1 AS at FROM art JOIN comp ON art.id = comp.id WHERE {NATURAL.format('art.id')}),
+cls AS (SELECT cluster_id, min(at) AS start, count(*) AS n, (SELECT count(*) FROM nat) AS many FROM nat GROUP BY cluster_id),
+cum AS (SELECT *, n * (n - 1) // 2 AS inside, n * (many - start - n) AS across FROM cls),
+run AS (SELECT *, sum(inside) OVER (ORDER BY start) - inside AS ahead_in, sum(across) OVER (ORDER BY start) - across AS ahead_out, sum(inside) OVER () AS all_in, sum(across) OVER () AS all_out FROM cum),
+tot AS (SELECT max(all_in)::BIGINT AS p, max(all_out)::BIGINT AS n FROM run),
+ks AS (SELECT unnest(range(0, 20000)) AS k),
+ranks AS (SELECT 1 AS label, r, min(k) AS k FROM (SELECT CASE WHEN tot.p <= 500 THEN k ELSE {DRAWN.format('p')} % tot.p END AS r, k FROM ks, tot WHERE tot.p > 500 OR k < tot.p) GROUP BY r QUALIFY row_number() OVER (ORDER BY min(k)) <= 500
+  UNION ALL SELECT 0, r, min(k) FROM (SELECT CASE WHEN tot.n <= 500 THEN k ELSE {DRAWN.format('n')} % tot.n END AS r, k FROM ks, tot WHERE tot.n > 500 OR k < tot.n) GROUP BY r QUALIFY row_number() OVER (ORDER BY min(k)) <= 500),
+numbered AS (SELECT *, row_number() OVER (ORDER BY label DESC, k) - 1 AS pair_id FROM ranks),
+ins AS (SELECT pair_id, start, n, (r - ahead_in)::BIGINT AS off FROM numbered JOIN run ON label = 1 AND r >= ahead_in AND r < ahead_in + inside),
+firsts AS (SELECT ins.*, i FROM ins, LATERAL (SELECT max(x) AS i FROM (SELECT unnest(range(0, ins.n)) AS x) WHERE x * (2 * ins.n - x - 1) // 2 <= ins.off)),
+placed AS (SELECT pair_id, 1 AS algorithmic_label, start + i AS x, start + off - i * (2 * n - i - 1) // 2 + i + 1 AS y FROM firsts
+  UNION ALL SELECT pair_id, 0, start + (r - ahead_out)::BIGINT // (many - start - n), start + n + (r - ahead_out)::BIGINT % (many - start - n) FROM numbered JOIN run ON label = 0 AND r >= ahead_out AND r < ahead_out + across),
+expert AS (SELECT pair_id, algorithmic_label, CASE WHEN algorithmic_label = 1 THEN least(p.id, q.id) ELSE p.id END AS a, CASE WHEN algorithmic_label = 1 THEN greatest(p.id, q.id) ELSE q.id END AS b FROM placed JOIN nat p ON p.at = x JOIN nat q ON q.at = y),
 told AS (SELECT e.*, 'TITLE: ' || p.title || chr(10) || chr(10) || 'CONTENT:' || chr(10) || p.text AS text_a, 'TITLE: ' || q.title || chr(10) || chr(10) || 'CONTENT:' || chr(10) || q.text AS text_b,
   row_number() OVER (ORDER BY md5('s|' || pair_id), pair_id) - 1 AS place FROM expert e JOIN art p ON p.id = a JOIN art q ON q.id = b)"""
 

@@ -6,7 +6,7 @@ from sameword import cli
 from sameword.config import DedupConfig
 from sameword.functions import text as T
 from sameword.operators import clusters, graph, ingest, sketch, windowed
-from sameword.plans.pipeline import DedupPipeline, load, prepare, scores, trigram_logit
+from sameword.plans.pipeline import TRIGRAMS, DedupPipeline, Scorer, load, prepare, scores
 from sameword.shared import clear, own_dir
 from sameword.sources import crawl, readers
 
@@ -110,13 +110,15 @@ def wordy(spark):
 def test_scores_and_vectors_are_kept(spark, tmp_path):
     """What a second run finds in the caches isn't worked out again; a cache that was cut short is filled up."""
     pairs = spark.createDataFrame([("1", "2", "a b c", "a b d"), ("3", "4", "a b c", "x y z"), ("5", "6", "a b c", "a b d")], "id_a string, id_b string, ta string, tb string")
+    pairs = pairs.select("id_a", "id_b", *[TRIGRAMS.features(F.col(f"t{x}")).alias(f"f{x}") for x in "ab"], *[F.sha2(f"t{x}", 256).alias(f"key_{x}") for x in "ab"])
+    nine = Scorer(lambda t: t, lambda a, b: F.lit(9.0))
     path, n = str(tmp_path / "scores"), lambda: spark.read.parquet(path).count()
-    want = {(r.id_a, r.logit) for r in scores(pairs, trigram_logit, None, "m").collect()}
-    scores(pairs.limit(1), trigram_logit, path, "m").collect()
+    want = {(r.id_a, r.logit) for r in scores(pairs, TRIGRAMS, None, "m").collect()}
+    scores(pairs.limit(1), TRIGRAMS, path, "m").collect()
     assert n() == 1
-    assert {(r.id_a, r.logit) for r in scores(pairs, trigram_logit, path, "m").collect()} == want and n() == 2
-    assert {r.logit for r in scores(pairs, lambda a, b: F.lit(9.0), path, "m").collect()} == {x for _, x in want}
-    assert {r.logit for r in scores(pairs, lambda a, b: F.lit(9.0), path, "other").collect()} == {9.0}
+    assert {(r.id_a, r.logit) for r in scores(pairs, TRIGRAMS, path, "m").collect()} == want and n() == 2
+    assert {r.logit for r in scores(pairs, nine, path, "m").collect()} == {x for _, x in want}
+    assert {r.logit for r in scores(pairs, nine, path, "other").collect()} == {9.0}
     cfg = DedupConfig(num_perm=16, threshold=0.9, vector_cache=str(tmp_path / "v"), score_cache=str(tmp_path / "s"), minhash_threshold=0.0)
     run = lambda p: sorted(tuple(r.news_ids) for r in p.run(wordy(spark))["clusters"].collect())
     assert run(DedupPipeline(cfg)) == [("1", "2", "4"), ("3",)]
