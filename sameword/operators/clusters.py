@@ -127,6 +127,26 @@ def cluster_numbers(assigned: DataFrame) -> DataFrame:
     return meet(stage(assigned, "assigned"), numbered(sized, F.desc("n"), "cluster_id", name="cluster").drop("n"), ["cluster_id"], ["id"])
 
 
+def titled(ids: DataFrame, articles: DataFrame) -> DataFrame:
+    """PR32: ids with title: 'No Title' where the article has none, 'Unknown Article' where there is no such article."""
+    known = articles.select("id", F.coalesce("title", F.lit("No Title")).alias("title"))
+    return ids.join(known, "id", "left").withColumn("title", F.coalesce("title", F.lit("Unknown Article")))
+
+
+def error_view(false_positives: DataFrame, false_negatives: DataFrame, articles: DataFrame, most: int = 5) -> DataFrame:
+    """PR22: kind (FP, FN), place (from 1), id_a, id_b, view_a, view_b: the first pairs of each kind by identifiers. A false
+    positive shows its titles and 800 characters of its texts, a false negative 300 of title and text together."""
+    first = lambda pairs, kind: pairs.select("id_a", "id_b").orderBy("id_a", "id_b").limit(most).withColumn("kind", F.lit(kind))
+    few = first(false_positives, "FP").unionByName(first(false_negatives, "FN"))
+    few = few.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy("id_a", "id_b")))
+    title, text = F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))
+    views = articles.select("id", F.concat(title, F.lit(". "), F.substring(text, 1, 800), F.lit("...")).alias("long"), F.concat(F.substring(T.title_and_text(title, text), 1, 300), F.lit("...")).alias("short"))
+    for x in ("a", "b"):
+        own = views.select(F.col("id").alias(f"id_{x}"), F.col("long"), F.col("short"))
+        few = few.join(own, f"id_{x}", "left").withColumn(f"view_{x}", F.when(F.col("kind") == "FP", F.col("long")).otherwise(F.col("short"))).drop("long", "short")
+    return few.select("kind", "place", "id_a", "id_b", "view_a", "view_b")
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 

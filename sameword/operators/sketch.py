@@ -99,21 +99,50 @@ def band_candidates(sig: DataFrame, id_col: str, bands: int = 32, rows: int = 4)
     return a.join(b, ["band", "k"]).where("id_a < id_b").select("id_a", "id_b").distinct().union(copies)
 
 
+#: Counters of words by hash, from which their order is made; on the driver and in the plan.
+COUNTERS = 1 << 16
+#: Room for rounding where a share of a size is rounded up.
+ROUNDING = 1e-9
+
+
+def rarest_first(sets: DataFrame, id_col: str) -> DataFrame:
+    """id, n, hs: the words of sets (id, _s) as hashes, the rarest first by counters of fixed number, ties by hash. Nothing is
+    joined: a task sends one row for each counter at most, and each set is put in order where it is."""
+    slot = lambda h: F.pmod(h, F.lit(COUNTERS)).cast("int")
+    counted = sets.select(F.explode("_s").alias("w")).groupBy(slot(F.xxhash64("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[[r.slot for r in counted]] = [r.n for r in counted]
+    table = F.split(F.lit(",".join(map(str, counts.tolist()))), ",").cast("array<bigint>")
+    placed = F.transform("_s", lambda w: F.transform(F.array(F.xxhash64(w)), lambda h: F.struct(table[slot(h)].alias("c"), h.alias("h")))[0])
+    return sets.select(id_col, F.size("_s").alias("n"), F.array_sort(placed).alias("hs"))
+
+
 def jaccard_pairs(sets: DataFrame, id_col: str, tokens_col: str, least: float) -> DataFrame:
-    """id_a, id_b, jaccard of at least `least`: pairs of representatives of equal sets (rare-first prefixes find them,
-    whole sets decide), and each representative with the others of its set. Empty sets link with nothing."""
-    distinct = sets.select(id_col, F.array_distinct(tokens_col).alias("_s")).where(F.size("_s") > 0)
-    same = representatives(distinct, id_col, F.sha2(F.array_join(F.array_sort("_s"), "\x00"), 256))
+    """id_a, id_b, jaccard of at least `least`: pairs of representatives of equal sets, and each representative with the
+    others of its set. Empty sets link with nothing.
+
+    The larger set of a pair shows a prefix of its rarest words that one of the smaller set's shorter prefix must be in. What
+    two prefixes share is counted, and with it what the rest can add: only pairs that may still reach `least` meet with
+    their whole sets, whose words decide."""
+    distinct = stage(sets.select(id_col, F.array_distinct(tokens_col).alias("_s")).where(F.size("_s") > 0), "jaccard-sets")
+    same = stage(representatives(distinct, id_col, F.sha2(F.array_join(F.array_sort("_s"), "\x00"), 256)), "jaccard-same")
     own = distinct.join(same.select(F.col("rep").alias(id_col)).distinct(), id_col, "left_semi")
-    words = own.select(id_col, F.explode("_s").alias("w"))
-    df = words.groupBy("w").agg(F.count("*").alias("df"))
-    ordered = words.join(df, "w").groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda s: s["w"]).alias("ws"))
-    n = F.size("ws")
-    pre = ordered.select(id_col, n.alias("n"), F.explode(F.slice("ws", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("w"))
-    a = pre.select(F.col(id_col).alias("id_a"), F.col("n").alias("na"), "w")
-    b = pre.select(F.col(id_col).alias("id_b"), F.col("n").alias("nb"), "w")
-    near = a.join(b, "w").where((F.col("id_a") < F.col("id_b")) & (F.col("na") >= least * F.col("nb")) & (F.col("nb") >= least * F.col("na"))).select("id_a", "id_b").distinct()
-    met = near.join(own.select(F.col(id_col).alias("id_a"), F.col("_s").alias("wa")), "id_a").join(own.select(F.col(id_col).alias("id_b"), F.col("_s").alias("wb")), "id_b")
+    ordered = stage(rarest_first(own, id_col), "jaccard-ordered")
+    up = lambda share, n: F.ceil(n * share - ROUNDING).cast("int")
+
+    def prefixes(x: str, share: float) -> DataFrame:
+        cut = ordered.select(F.col(id_col).alias(f"id_{x}"), F.col("n").alias(f"n_{x}"), up(share, F.col("n")).alias("rest"), "hs")
+        shown = cut.select(f"id_{x}", f"n_{x}", (F.col("rest") - 1).alias(f"rest_{x}"), F.slice("hs", F.lit(1), F.col(f"n_{x}") - F.col("rest") + 1).alias("p"))
+        return shown.select(f"id_{x}", f"n_{x}", f"rest_{x}", F.element_at("p", -1).alias(f"last_{x}"), F.explode(F.transform("p", lambda s: s["h"])).alias("h"))
+
+    large, small = prefixes("x", least), prefixes("y", 2 * least / (1 + least))
+    order = (F.col("n_x") > F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y")))
+    met = large.join(small, "h").where(order & (F.col("n_y") >= least * F.col("n_x") - ROUNDING))
+    tally = met.groupBy("id_x", "id_y").agg(F.count(F.lit(1)).alias("c"), *[F.first(k).alias(k) for k in ("n_x", "n_y", "rest_x", "rest_y", "last_x", "last_y")])
+    more = F.when(F.col("last_x") < F.col("last_y"), F.col("rest_x")).otherwise(F.col("rest_y"))
+    near = tally.where(F.col("c") + more >= least / (1 + least) * (F.col("n_x") + F.col("n_y")) - ROUNDING).select(F.least("id_x", "id_y").alias("id_a"), F.greatest("id_x", "id_y").alias("id_b"))
+    met = stage(near, "jaccard-near").join(own.select(F.col(id_col).alias("id_a"), F.col("_s").alias("wa")), "id_a").join(own.select(F.col(id_col).alias("id_b"), F.col("_s").alias("wb")), "id_b")
     both = F.size(F.array_intersect("wa", "wb"))
-    pairs = met.withColumn("jaccard", both / (F.size("wa") + F.size("wb") - both)).where(F.col("jaccard") >= least).select("id_a", "id_b", "jaccard")
+    shared = met.select("id_a", "id_b", both.alias("c"), (F.size("wa") + F.size("wb")).alias("n"))
+    pairs = shared.withColumn("jaccard", F.col("c") / (F.col("n") - F.col("c"))).where(F.col("jaccard") >= least).select("id_a", "id_b", "jaccard")
     return pairs.union(same.where(F.col(id_col) != F.col("rep")).select(F.col("rep").alias("id_a"), F.col(id_col).alias("id_b"), F.lit(1.0).alias("jaccard")))

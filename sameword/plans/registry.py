@@ -10,8 +10,11 @@ from sameword.config import BAD_PHRASES, DedupConfig
 from sameword.functions import text as T
 from sameword.operators import clusters, graph, ingest, judge, sketch, windowed
 from sameword.plans.pipeline import DedupPipeline, rerank, sweep_forest
-from sameword.shared import fresh_path, stage
-from sameword.sources.readers import main_text, read_articles
+from sameword.shared import fresh_path, stage, staged_at
+from sameword.sources.html import main_text
+from sameword.sources.readers import read_articles
+from sameword.sources.seen import SeenKeys
+from sameword.streaming.ingest import NearDuplicates, deduplicate_stream
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -268,6 +271,15 @@ def incremental_anti(spark, sf):
     return ingest.unseen(p, p.where("page_id % 3 = 0"), "url")
 
 
+@query("SELECT p.page_id, p.url FROM pages p WHERE p.page_id % 4 = 0 AND p.url NOT IN (SELECT url FROM pages WHERE page_id % 4 <> 0 AND url IS NOT NULL)")
+def seen_index(spark, sf):
+    """FI6, IO17: three batches of addresses in an index, and the rows of a fourth that none of them had."""
+    p, seen = table(spark, sf, "pages").select("page_id", "url"), SeenKeys(spark, fresh_path(spark, "seen"))
+    for k in (1, 2, 3):
+        seen.add(p.where(F.col("page_id") % 4 == k).select("url"))
+    return seen.unseen(p.where("page_id % 4 = 0"), "url")
+
+
 # -- sketches
 
 H = "CAST('0x' || substr(md5(w), 1, 8) AS BIGINT)"
@@ -493,6 +505,23 @@ def fn_pairs(spark, sf):
     return clusters.pairs_within(rows, "label").subtract(clusters.pairs_within(components(spark, sf), "cluster_id"))
 
 
+@query(f"""{LINKS}{TRIPLES}, {PM}, fp AS (SELECT 'FP' AS kind, a AS id_a, b AS id_b FROM (SELECT a, b FROM prd EXCEPT SELECT a, b FROM tru) ORDER BY a, b LIMIT 5), fn AS (SELECT 'FN' AS kind, a AS id_a, b AS id_b FROM (SELECT a, b FROM tru EXCEPT SELECT a, b FROM prd) ORDER BY a, b LIMIT 5), few AS (SELECT * FROM fp UNION ALL SELECT * FROM fn)
+SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY id_a, id_b)::INT AS place, id_a, id_b, md5(CASE kind WHEN 'FP' THEN x.title || '. ' || left(x.text, 800) || '...' ELSE left(x.title || chr(10) || x.text, 300) || '...' END) AS view_a_md5, md5(CASE kind WHEN 'FP' THEN y.title || '. ' || left(y.text, 800) || '...' ELSE left(y.title || chr(10) || y.text, 300) || '...' END) AS view_b_md5 FROM few JOIN art x ON x.id = id_a JOIN art y ON y.id = id_b""")
+def error_view(spark, sf):
+    """PR22: the first five false positives and negatives."""
+    rows = articles(spark, sf).where("doc_id % 5 <> 0").select("id", F.expr("cast(doc_id div 3 as string)").alias("label"))
+    true, pred = stage(clusters.pairs_within(rows, "label"), "true-pairs"), stage(clusters.pairs_within(components(spark, sf), "cluster_id"), "predicted-pairs")
+    view = clusters.error_view(pred.subtract(true), true.subtract(pred), articles(spark, sf))
+    return view.select("kind", "place", "id_a", "id_b", F.md5("view_a").alias("view_a_md5"), F.md5("view_b").alias("view_b_md5"))
+
+
+@query(f"{CLUSTERS}, known AS (SELECT id, CASE WHEN doc_id % 4 <> 0 THEN title END AS title FROM art WHERE doc_id % 3 <> 0) SELECT comp.cluster_id, comp.id, CASE WHEN known.id IS NULL THEN 'Unknown Article' ELSE coalesce(title, 'No Title') END AS title FROM comp LEFT JOIN known ON known.id = comp.id")
+def titles_with_defaults(spark, sf):
+    """PR32: some titles are null here, and some articles missing."""
+    known = articles(spark, sf).where("doc_id % 3 <> 0").select("id", F.when(F.col("doc_id") % 4 != 0, F.col("title")).alias("title"))
+    return clusters.titled(components(spark, sf), known).select("cluster_id", "id", "title")
+
+
 @query(f"{LINKS}{LABELLED}, c AS (SELECT label, cluster_id, count(*) AS n FROM lab JOIN comp ON lab.id = comp.id WHERE label IS NOT NULL GROUP BY ALL), s AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS n FROM c), a AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT sum(n) AS n FROM c GROUP BY label)), b AS (SELECT sum(n * (n - 1) / 2) AS b FROM (SELECT sum(n) AS n FROM c GROUP BY cluster_id)) SELECT round(coalesce((s - a * b / (n * (n - 1) / 2)) / nullif((a + b) / 2 - a * b / (n * (n - 1) / 2), 0), 1), 6) AS ari FROM s, a, b")
 def ari(spark, sf):
     return clusters.adjusted_rand(components(spark, sf), labelled(articles(spark, sf))).select(F.round("ari", 6).alias("ari"))
@@ -510,6 +539,16 @@ def cluster_numbers(spark, sf):
     return clusters.cluster_numbers(components(spark, sf))
 
 
+@query(f"{LINKS} SELECT id, cluster_id FROM comp")
+def incremental_clusters(spark, sf):
+    """AG8, IO18: articles from a stream of files, a micro-batch each, clustered as they come."""
+    held = stage(articles(spark, sf).select("id", "text").repartition(3), "arriving")
+    arriving = spark.readStream.schema(held.schema).option("maxFilesPerTrigger", 1).parquet(staged_at(held))
+    tables = NearDuplicates(spark, fresh_path(spark, "near"))
+    deduplicate_stream(arriving, tables, fresh_path(spark, "near-stream")).awaitTermination()
+    return tables.clusters()
+
+
 FOREST = f"WITH RECURSIVE {JAC[5:]}, grid AS (SELECT c::DOUBLE AS c, j::DOUBLE AS j FROM (VALUES (0.9), (0.95), (0.97)) AS g(c), (VALUES (0.0), (0.5), (0.7), (0.9)) AS k(j)), passed AS (SELECT c, j, id_a, id_b FROM grid JOIN veto ON cos >= c AND jac >= j), ways AS (SELECT c, j, id_a AS a, id_b AS b FROM passed UNION SELECT c, j, id_b, id_a FROM passed), reach AS (SELECT c, j, a AS id, a AS r FROM ways UNION SELECT reach.c, reach.j, reach.id, b FROM reach JOIN ways ON ways.c = reach.c AND ways.j = reach.j AND r = a), comp AS (SELECT c, j, id, min(r) AS cluster_id FROM reach GROUP BY ALL)"
 FOREST += f""", keyed AS (SELECT *, {KEY} AS k FROM art), lab AS (SELECT id, CASE WHEN count(*) OVER (PARTITION BY k) > 1 THEN CAST(min(doc_id) OVER (PARTITION BY k) AS VARCHAR) END AS label FROM keyed),
 lb AS (SELECT * FROM lab WHERE label IS NOT NULL), tru AS (SELECT coalesce(sum(n * (n - 1) // 2), 0) AS t, sum(n) AS m FROM (SELECT count(*) AS n FROM lb GROUP BY label)),

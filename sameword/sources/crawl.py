@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from sameword.functions import text as T
 from sameword.operators import ingest
 from sameword.shared import stage
-from sameword.sources.readers import main_text, missing
+from sameword.sources.html import main_text
+from sameword.sources.readers import missing
+from sameword.sources.seen import SeenKeys
 
 Fetch = Callable[[str], tuple[int, str]]
 CANDIDATE = "url string, title string, published_at string, source string"
@@ -135,22 +137,26 @@ def crawl(candidates: DataFrame, fetch: Fetch, path: str, target: int, batch: in
     articles, errors (no text, or one too short), duplicates.
 
     An address is fetched once, the one with the least (title, date) of its rows; a text that is there already, by its
-    hash, is not taken; of equal texts in a batch the least address stays."""
+    hash, is not taken; of equal texts in a batch the least address stays. The table is read when the crawl begins; after
+    that, batches ask an index of hashes beside it (path with -seen)."""
     spark = candidates.sparkSession
     rows = candidates.select("url", "title", "published_at", "source").where("url is not null and url <> ''")
     fresh = ingest.unseen(rows, collected(spark, path), "url").groupBy("url").agg(F.min(F.struct("title", "published_at", "source")).alias("r")).select("url", "r.*")
     fresh = stage(fresh, "crawl-candidates")
     parts = max(1, -(-fresh.count() // batch))
+    seen = SeenKeys(spark, f"{path.rstrip('/')}-seen")
+    seen.catch_up(collected(spark, path).select("text_hash"))
     out = {"articles": collected(spark, path).count(), "errors": 0, "duplicates": 0}
     for k in range(parts):
         if out["articles"] >= target:
             break
         got = stage(fetched(fresh.where(F.pmod(F.xxhash64("url"), F.lit(parts)) == k), fetch).withColumn("text", main_text(F.col("html"))).drop("html"), "crawl-pages")
         good = ingest.long_enough(got, least=least).withColumn("text_hash", T.text_hash(F.col("text")))
-        new = ingest.keep_first(ingest.unseen(good, collected(spark, path), "text_hash"), F.col("text_hash"), "url")
-        seen, fine = got.count(), good.count()
+        new = ingest.keep_first(seen.unseen(good, "text_hash"), F.col("text_hash"), "url")
+        tried, fine = got.count(), good.count()
         new = stage(ingest.dense_ids(ingest.up_to(new, out["articles"], target, "url"), "url", out["articles"]), "crawl-new")
         added = new.count()
         new.select(F.col("new_id").cast("long").alias("id"), "url", "title", "text", "source", "published_at", "text_hash", F.lit(None).cast("long").alias("true_cluster_id")).write.mode("append").parquet(path)
-        out = {"articles": out["articles"] + added, "errors": out["errors"] + seen - fine, "duplicates": out["duplicates"] + fine - added}
+        seen.add(new.select("text_hash"))
+        out = {"articles": out["articles"] + added, "errors": out["errors"] + tried - fine, "duplicates": out["duplicates"] + fine - added}
     return out

@@ -9,6 +9,8 @@ from sameword.operators import clusters, graph, ingest, sketch, windowed
 from sameword.plans.pipeline import TRIGRAMS, DedupPipeline, Scorer, load, prepare, scores
 from sameword.shared import clear, own_dir
 from sameword.sources import crawl, readers
+from sameword.sources.html import main_text
+from sameword.sources.seen import SeenKeys
 
 ROW = {"id": 1, "title": "t", "text": "x", "source": "s", "published_at": "2024-01-01T00:00:00", "true_cluster_id": None, "url": "u"}
 
@@ -57,10 +59,36 @@ def test_sinks(spark, tmp_path):
 PAGE = "<html><head><title>x</title></head><body><nav>menu</nav><article><h1>{0}</h1><p>{1} &amp; more</p><!-- c --><script>s()</script></article></body></html>"
 
 
+LONG = "A sentence with some words, and a comma, so that it counts as one. "
+#: Pages and their texts, a paragraph a line.
+PAGES = [
+    (PAGE.format("Head", "Body"), "Head\nBody & more"),
+    ("<p>no article <b>here</b></p><table><tr><td>cell</td></tr></table>", "no article here"),
+    ("", ""),
+    (None, None),
+    ("<article>a<style>x{}</style>\n\n b</article>", "a b"),
+    (f"<article><p>{LONG}</p><article><p>{LONG * 4}</p></article><p>tail text</p></article>", f"{LONG.strip()}\n{(LONG * 4).strip()}\ntail text"),
+    ("<p>&mdash; caf&eacute; &#8212; &#x20AC; &nbsp;&lt;b&gt; &amp;amp; &copy 5", "\u2014 caf\u00e9 \u2014 \u20ac <b> &amp; \u00a9 5"),
+    (f"<body><div><p>{LONG}<p>{LONG}<div class=x>{LONG}</body>", "\n".join([LONG.strip()] * 3)),
+    (f"<div><ul><li><a href=/1>{LONG}</a></li><li><a href=/2>{LONG}</a></li></ul></div><div><p>{LONG}</p></div>", LONG.strip()),
+    (f"<nav><p>{LONG * 9}</p></nav><header>h</header><main><h1>T</h1><p>{LONG}</p></main><footer>{LONG}</footer>", f"T\n{LONG.strip()}"),
+    (f"<section><p>{LONG}</p></section><section><p>{LONG}</p></section><section><p>{LONG}</p></section>", "\n".join([LONG.strip()] * 3)),
+    (f"<div>{LONG}<br>{LONG}<br/>end</div>", f"{LONG.strip()}\n{LONG.strip()}\nend"),
+    ("<script>var t='<p>x</p>'</script><!-- <p>c</p> --><p>seen</p>", "seen"),
+    (f"</div></p><div><p>{LONG}</span></b></p></div></article>", LONG.strip()),
+    (f"<article><h1>T</h1><form><p>{LONG}</p></form><blockquote><p>{LONG}</p></blockquote><ol><li>one<li>two</ol></article>", f"T\n{LONG.strip()}\none\ntwo"),
+    (f"<div><div><div><p>{LONG}</p><p>{LONG}</p></div></div><div><a href=/>{LONG}</a></div></div>", "\n".join([LONG.strip()] * 2)),
+    ("<p>one\n two\t three</p>four<p>five", "one two three\nfour\nfive"),
+    (f"<article><p>{LONG}<a href=/x>link</a> after</p><ul><li><a href=/>more of this kind</a></li></ul></article>", f"{LONG}link after"),
+    ("<div>" * 3000 + LONG, LONG.strip()),
+    ("<p>a < b and c > d</p><", "a < b and c > d\n<"),
+]
+
+
 def test_main_text(spark):
-    html = [PAGE.format("Head", "Body"), "<p>no article <b>here</b></p><table><tr><td>cell</td></tr></table>", "", None, "<article>a<style>x{}</style>\n\n b</article>"]
-    got = [r.t for r in spark.createDataFrame([(i, h) for i, h in enumerate(html)], "i int, html string").select("i", readers.main_text(F.col("html")).alias("t")).orderBy("i").collect()]
-    assert got == ["Head Body & more", "no article here", "", None, "a b"]
+    rows = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(PAGES)], "i int, html string")
+    got = {r.i: r.t for r in rows.select("i", main_text(F.col("html")).alias("t")).collect()}
+    assert [got[i] for i in range(len(PAGES))] == [t for _, t in PAGES]
 
 
 def test_feeds_and_home_pages(spark):
@@ -94,6 +122,25 @@ def test_crawl_goes_on_to_its_target(spark, tmp_path):
     assert again == {"articles": 17, "errors": 3, "duplicates": 1}
 
 
+def test_an_index_of_seen_keys(spark, tmp_path):
+    seen = SeenKeys(spark, str(tmp_path / "seen"))
+    keys = lambda *ks: spark.createDataFrame([(k,) for k in ks], "k string")
+    assert [r.k for r in seen.unseen(keys("a", None), "k").collect()] == ["a", None]
+    for b in range(3):
+        seen.add(keys(*[f"{b}-{i}" for i in range(3000)], None, f"{b}-0"))
+    rows = keys(*[f"{b}-{i}" for b in range(4) for i in range(0, 6000, 1000)], None, "new", "new").withColumn("key", F.lit(1))
+    got = seen.unseen(rows, "k")
+    want = sorted([f"{b}-{i}" for b in range(4) for i in range(0, 6000, 1000) if b == 3 or i >= 3000] + ["", "new", "new"])
+    assert got.columns == ["k", "key"] and sorted(r.k or "" for r in got.collect()) == want
+    assert seen.possible(spark.createDataFrame([(f"x{i}",) for i in range(3000)], "key string")).count() < 60  # so little is read of what is stored
+    seen.add(keys("9"), 2)  # a batch again takes its own place
+    assert seen.known(keys("2-1", "9", "1-1")).count() == 2 and len(seen.batches()) == 3
+    seen.catch_up(keys("2-1", "9"))
+    assert seen.known(keys("2-1", "9")).count() == 2 and len(seen.batches()) == 4
+    seen.catch_up(keys("2-1", "9"))
+    assert len(seen.batches()) == 4
+
+
 def test_target_and_permutation(spark):
     rows = spark.range(20)
     assert [r.id for r in ingest.up_to(rows, 15, 18, "id").collect()] == [0, 1, 2] and ingest.up_to(rows, 9, 3, "id").count() == 0

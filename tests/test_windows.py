@@ -130,3 +130,25 @@ def test_vectors_of_words(spark):
     rows = spark.createDataFrame([(1, "b a b"), (2, ""), (3, None), (4, "c " * 700)], "id long, text string")
     got = {r.id: r.v for r in windowed.hashed_vectors(rows, "id", T.tokens(F.col("text")), 8).collect()}
     assert set(got) == {1, 4} and all(abs(sum(x * x for x in v) - 1) < 1e-12 for v in got.values()) and sorted(map(abs, got[4]))[-2:] == [0.0, 1.0]
+
+
+@pytest.mark.parametrize("least", [0.5, 0.7, 0.9, 1.0])
+def test_jaccard_pairs_as_brute_force(spark, least):
+    draw = random.Random(int(least * 10))
+    vocabulary = [f"w{i}" for i in range(60)]
+    sets = [[draw.choice(vocabulary) for _ in range(draw.randrange(1, 25))] for _ in range(40)]
+    for s in sets[:30]:
+        for _ in range(2):
+            sets.append([w for w in s if draw.random() > 0.1] + [draw.choice(vocabulary)] * draw.randrange(2))
+    rows = [(f"{i:03d}", s) for i, s in enumerate(sets)] + [("900", []), ("901", []), ("902", None)]
+    got = {(r.id_a, r.id_b): r.jaccard for r in sketch.jaccard_pairs(spark.createDataFrame(rows, "id string, t array<string>"), "id", "t", least).collect()}
+    first, want = {}, {}
+    for i, s in rows:
+        if s:
+            rep = first.setdefault(frozenset(s), i)
+            want |= {(rep, i): 1.0} if rep != i else {}
+    for a, x in first.items():
+        for b, y in first.items():
+            if x < y and (j := len(a & b) / len(a | b)) >= least:
+                want[x, y] = j
+    assert got == want
