@@ -4,9 +4,9 @@ A shard's graph is flat arrays: for each level the nodes on it and, for each nod
 none). Whole batches of nodes are inserted and whole blocks of queries searched at once, level by level from the top.
 Neighbours are chosen so that they point in different directions. Scores are exact cosines in double precision.
 
-Every query searches every shard, so shards are few: as many as the session has cores while they hold LEAST nodes or
-more, and beyond that as many as MOST nodes to a shard make. A shard meets queries in blocks of QUERIES, and its graph is
-sent to a task once for each block. Equal vectors are one node with its smallest identifiers, so that copies can't cut a
+Every query searches every shard, so shards are few: up to SHARDS while they hold LEAST nodes or more, and beyond that as
+many as MOST nodes or SHARD_BYTES of vectors to a shard make. That depends on the vectors alone, so results are the same on
+any cluster. A shard meets queries in blocks of QUERIES, and its graph is sent to a task once for each block. Equal vectors are one node with its smallest identifiers, so that copies can't cut a
 graph into islands.
 
 Defined cases: vectors that are null, empty, zero, or that hold a null or non-finite component take no part, neither as
@@ -22,13 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sameword.shared import stage
 
-LEAST, MOST = 4096, 1 << 18
+LEAST, SHARDS, MOST, SHARD_BYTES = 4096, 8, 1 << 18, 1 << 28
 M = 16
 EF_BUILD, EF = 64, 96
 #: Queries that go through a graph together at most, and marks (one for each of them and each node) that this may take.
@@ -195,8 +196,8 @@ def index(vectors: DataFrame, k: int, shard_size: int | None = None) -> DataFram
     part = vectors.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("few"))
     nodes = part.groupBy("v").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("few")))), 1, k + 1).alias("members"))
     nodes = stage(nodes.select(F.size("v").alias("dim"), F.col("members")[0].alias("id"), "members", "v"), "ann-nodes")
-    n, cores = F.count("*"), vectors.sparkSession.sparkContext.defaultParallelism
-    count = F.ceil(n / shard_size) if shard_size else F.greatest(F.least(F.ceil(n / LEAST), F.lit(cores)), F.ceil(n / MOST))
+    n = F.count("*")
+    count = F.ceil(n / shard_size) if shard_size else F.greatest(F.least(F.ceil(n / LEAST), F.lit(SHARDS)), F.ceil(n / MOST), F.ceil(n * F.first("dim") * 8 / SHARD_BYTES))
     shards = nodes.groupBy("dim").agg(count.alias("shards"))
     tasks = int(shards.agg(F.sum("shards")).first()[0] or 1)
     placed = nodes.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
@@ -204,12 +205,13 @@ def index(vectors: DataFrame, k: int, shard_size: int | None = None) -> DataFram
     placed = placed.select("dim", "shard", "id", "members", "v").repartition(4 * tasks, "dim", "shard")
 
     def build(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table.column("id").to_pylist(), table.column("members").to_pylist(), table.column("v").to_pylist(), strict=True), key=lambda r: r[0])
-        v = np.array([r[2] for r in rows], np.float64)
-        members = np.full((len(rows), k + 1), -1, np.int64)
-        has = np.array([len(r[1]) for r in rows], np.int32)
-        for i, r in enumerate(rows):
-            members[i, : len(r[1])] = r[1]
+        order = np.argsort(table.column("id").to_numpy(), kind="stable")
+        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(order), -1)[order]
+        lists = table.column("members").combine_chunks()
+        has = pc.list_value_length(lists).to_numpy().astype(np.int32)
+        members = np.full((len(order), k + 1), -1, np.int64)
+        members[np.arange(k + 1) < has[:, None]] = lists.flatten().to_numpy()
+        members, has = members[order], has[order]
         g = Graph(unit(v)).flat()
         return pa.table({"dim": table.column("dim")[:1], "shard": table.column("shard")[:1], "members": [members.tobytes()], "has": [has.tobytes()], "vectors": [v.tobytes()], **{n: [b] for n, b in g.items()}})
 
