@@ -587,8 +587,8 @@ def synth_ids_dates(spark, sf):
 
 NATURAL = "NOT (ends_with({0}, '_dup') OR coalesce(TRY_CAST({0} AS BIGINT) >= 1000000, false))"
 DRAWN = "CAST('0x' || substr(md5('42|{0}|' || k), 1, 15) AS BIGINT)"
-EXPERT = f"""{LINKS}, nat AS (SELECT art.*, cluster_id, row_number() OVER (ORDER BY cluster_id, doc_id) - 1 AS at FROM art JOIN comp ON art.id = comp.id WHERE {NATURAL.format('art.id')}),
-cls AS (SELECT cluster_id, min(at) AS start, count(*) AS n, (SELECT count(*) FROM nat) AS many FROM nat GROUP BY cluster_id),
+EXPERT = f"""{LINKS}, nat AS (SELECT art.*, cluster_id, row_number() OVER (ORDER BY cluster_id, doc_id) - 1 AS spot FROM art JOIN comp ON art.id = comp.id WHERE {NATURAL.format('art.id')}),
+cls AS (SELECT cluster_id, min(spot) AS start, count(*) AS n, (SELECT count(*) FROM nat) AS many FROM nat GROUP BY cluster_id),
 cum AS (SELECT *, n * (n - 1) // 2 AS inside, n * (many - start - n) AS across FROM cls),
 run AS (SELECT *, sum(inside) OVER (ORDER BY start) - inside AS ahead_in, sum(across) OVER (ORDER BY start) - across AS ahead_out, sum(inside) OVER () AS all_in, sum(across) OVER () AS all_out FROM cum),
 tot AS (SELECT max(all_in)::BIGINT AS p, max(all_out)::BIGINT AS n FROM run),
@@ -600,7 +600,7 @@ ins AS (SELECT pair_id, start, n, (r - ahead_in)::BIGINT AS off FROM numbered JO
 firsts AS (SELECT ins.*, i FROM ins, LATERAL (SELECT max(x) AS i FROM (SELECT unnest(range(0, ins.n)) AS x) WHERE x * (2 * ins.n - x - 1) // 2 <= ins.off)),
 placed AS (SELECT pair_id, 1 AS algorithmic_label, start + i AS x, start + off - i * (2 * n - i - 1) // 2 + i + 1 AS y FROM firsts
   UNION ALL SELECT pair_id, 0, start + (r - ahead_out)::BIGINT // (many - start - n), start + n + (r - ahead_out)::BIGINT % (many - start - n) FROM numbered JOIN run ON label = 0 AND r >= ahead_out AND r < ahead_out + across),
-expert AS (SELECT pair_id, algorithmic_label, CASE WHEN algorithmic_label = 1 THEN least(p.id, q.id) ELSE p.id END AS a, CASE WHEN algorithmic_label = 1 THEN greatest(p.id, q.id) ELSE q.id END AS b FROM placed JOIN nat p ON p.at = x JOIN nat q ON q.at = y),
+expert AS (SELECT pair_id, algorithmic_label, CASE WHEN algorithmic_label = 1 THEN least(p.id, q.id) ELSE p.id END AS a, CASE WHEN algorithmic_label = 1 THEN greatest(p.id, q.id) ELSE q.id END AS b FROM placed JOIN nat p ON p.spot = x JOIN nat q ON q.spot = y),
 told AS (SELECT e.*, 'TITLE: ' || p.title || chr(10) || chr(10) || 'CONTENT:' || chr(10) || p.text AS text_a, 'TITLE: ' || q.title || chr(10) || chr(10) || 'CONTENT:' || chr(10) || q.text AS text_b,
   row_number() OVER (ORDER BY md5('s|' || pair_id), pair_id) - 1 AS place FROM expert e JOIN art p ON p.id = a JOIN art q ON q.id = b)"""
 
