@@ -41,6 +41,7 @@ WORDS = 5
 NUM, DEN = 3, 4
 SLOTS = 1 << 21
 CHUNKS, FAN = 16, 64
+#: Shingles of prefixes to a shard, which is a task; one with more than twice as many is dealt to several.
 SHARD_TOKENS = 2_000_000
 #: First passes: candidates of a probe in a shard, and nodes that it visits for them; as many passes as find more than a
 #: share of the links of the first, at most PASSES. The last pass has no such bounds.
@@ -267,9 +268,10 @@ class Trie:
                     stack.extend((child, shared, lacked) for child in self.next[node].values())
 
 
-def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, lasts: np.ndarray, few: int | None = None) -> set[tuple[int, int]]:
+def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, lasts: np.ndarray, few: int | None = None, apart: np.ndarray | None = None) -> set[tuple[int, int]]:
     """Candidate pairs of one shard: entries are tokens of documents at places in their global order; lasts: the last token
-    of each document's prefix. few: some candidates of each document only, by the number of the pass."""
+    of each document's prefix. few: some candidates of each document only, by the number of the pass. apart: the group of each
+    document, where only pairs of two groups are wanted."""
     order = np.argsort(token, kind="stable")
     ts, cs = token[order], comps[doc[order]]
     starts = np.flatnonzero(np.r_[True, ts[1:] != ts[:-1]]) if len(ts) else np.zeros(0, np.int64)
@@ -291,7 +293,7 @@ def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.nda
         for other, depth, most, lacked in trie.probe(tokens, places, size, comp, int(lasts[d]), None if few is None else VISITS, few or 0):
             o_places, o_tokens = own[other]
             osize = int(sizes[other])
-            if DEN * osize < NUM * size or int(comps[other]) == comp:
+            if DEN * osize < NUM * size or int(comps[other]) == comp or (apart is not None and apart[other] == apart[d]):
                 continue
             mine = size - places[index[o_tokens[depth - 1]]]
             if min(mine, osize - o_places[depth - 1], most, osize - lacked) >= needed(size, osize):
@@ -306,6 +308,11 @@ def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.nda
     return found
 
 
+def group_of(ids: np.ndarray, groups: int) -> np.ndarray:
+    """The group of each document in a heavy shard."""
+    return (mixed(ids.astype(np.uint64) * C[3]) % np.uint64(groups)).astype(np.int64)
+
+
 def prefixes(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     """id, size of the set, and its prefix in global order, of every text that has one."""
     sent = texts.sparkSession.sparkContext.broadcast(bits)
@@ -325,24 +332,49 @@ def prefixes(texts: DataFrame, bits: np.ndarray) -> DataFrame:
     return texts.mapInArrow(run, "id long, size int, tokens binary")
 
 
-def prefix_join(rows: DataFrame, shards: int, few: int | None = None) -> DataFrame:
-    """Candidate pairs (a, b) between components, from id, comp, size, tokens; all, or in pass `few` some of each document."""
+def shard_of(token: np.ndarray, shards: int) -> np.ndarray:
+    return ((token & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
+
+
+def heavy_shards(rows: DataFrame, shards: int) -> dict[int, int]:
+    """Shards with more than twice SHARD_TOKENS of the prefixes' shingles, as a shingle that many have makes them, and the
+    groups that their documents are dealt to, so that two groups have SHARD_TOKENS or so."""
+
+    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            some, many = np.unique(shard_of(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint64), shards), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(many, pa.int64())], ["shard", "n"])
+
+    sums = rows.select("tokens").mapInArrow(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("n"))
+    return {r.shard: -(-2 * r.n // SHARD_TOKENS) for r in sums.where(F.col("n") > 2 * SHARD_TOKENS).collect()}
+
+
+def prefix_join(rows: DataFrame, shards: int, few: int | None = None, heavy: dict[int, int] | None = None) -> DataFrame:
+    """Candidate pairs (a, b) between components, from id, comp, size, tokens; all, or in pass `few` some of each document.
+    heavy: of shards that are too large for a task, into how many groups their documents are dealt. There each two groups,
+    and each group by itself, are a task (a cell); one of two groups gives pairs between them alone."""
+    heavy = heavy or {}
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(ids, comps, sizes, sets):
             lengths = np.array([len(s) for s in sets], np.int64)
             token, pos = np.concatenate(sets), ragged(np.zeros(len(sets), np.int64), lengths)
             doc, last = np.repeat(np.arange(len(sets)), lengths), token[np.cumsum(lengths) - 1]
-            shard = ((token & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
+            shard = shard_of(token, shards)
             ids, comps, sizes, out = np.array(ids), np.array(comps), np.array(sizes, np.int32), []
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
             for k in np.unique(shard).tolist():
                 at = order[bounds[k] : bounds[k + 1]]
-                who, local = np.unique(doc[at], return_inverse=True)
-                out.append((k, *(x.tobytes() for x in (token[at], local.astype(np.int32), pos[at].astype(np.int32), ids[who], comps[who], sizes[who], last[who]))))
-            names = ["shard", "token", "doc", "pos", "ids", "comps", "sizes", "lasts"]
-            return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32())] + [pa.array([o[j] for o in out], pa.binary()) for j in range(1, 8)], names)
+                groups = heavy.get(k, 1)
+                group = group_of(ids, groups)[doc[at]]
+                for cell in [(0, 0)] if groups == 1 else [(i, j) for i in range(groups) for j in range(i, groups)]:
+                    here = at if groups == 1 else at[(group == cell[0]) | (group == cell[1])]
+                    if len(here):
+                        who, local = np.unique(doc[here], return_inverse=True)
+                        out.append((k, cell[0] * groups + cell[1], *(x.tobytes() for x in (token[here], local.astype(np.int32), pos[here].astype(np.int32), ids[who], comps[who], sizes[who], last[who]))))
+            names = ["shard", "cell", "token", "doc", "pos", "ids", "comps", "sizes", "lasts"]
+            return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int32()) for j in range(2)] + [pa.array([o[j] for o in out], pa.binary()) for j in range(2, 9)], names)
 
         ids, comps, sizes, sets, held = [], [], [], [], 0
         for part in parts:
@@ -365,12 +397,14 @@ def prefix_join(rows: DataFrame, shards: int, few: int | None = None) -> DataFra
         for local, who in zip(t["doc"], t["ids"], strict=True):
             doc.append(np.frombuffer(local, np.int32).astype(np.int64) + shift)
             shift += len(who) // 8
+        groups = heavy.get(t["shard"][0], 1)
+        apart = group_of(ids, groups) if t["cell"][0] // groups != t["cell"][0] % groups else None
         del t
-        pairs = sorted(shard_pairs(token, np.concatenate(doc), pos, ids, comps, sizes, lasts, few))
+        pairs = sorted(shard_pairs(token, np.concatenate(doc), pos, ids, comps, sizes, lasts, few, apart))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    cut_up = rows.select("id", "comp", "size", "tokens").mapInArrow(cut, "shard int, token binary, doc binary, pos binary, ids binary, comps binary, sizes binary, lasts binary")
-    return cut_up.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+    cut_up = rows.select("id", "comp", "size", "tokens").mapInArrow(cut, "shard int, cell int, token binary, doc binary, pos binary, ids binary, comps binary, sizes binary, lasts binary")
+    return cut_up.groupBy("shard", "cell").applyInArrow(meet, "a long, b long").distinct()
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -391,12 +425,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     of_class = salted.groupBy("digest", "salt").agg(F.min("id").alias("low"), F.max("id").alias("high")).join(classes.select("digest", "class"), "digest")
     of_class = stage(of_class, "join-salted")
     links = stage(shared_identifiers(salted, of_class), "join-links")
+    heavy = heavy_shards(stored, shards)
     parts, first = connected_components(links), None
     for few in [*range(PASSES), None]:
         if few and found_now * WORTH <= first:
             continue
         comp = stored.join(parts.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        more = stage(linked(known, possible(prefix_join(comp, shards, few), tallies)), "join-links")
+        more = stage(linked(known, possible(prefix_join(comp, shards, few, heavy), tallies)), "join-links")
         found_now = more.count()
         first = found_now if first is None else first
         if found_now:

@@ -58,6 +58,23 @@ def test_components_as_brute_force_finds_them(spark, seed, tokens, few, monkeypa
     assert got == brute(rows)
 
 
+def test_a_shard_that_one_shingle_fills_is_many_tasks(spark, monkeypatch):
+    """Most texts share a passage, whose shingles are in all of their prefixes."""
+    monkeypatch.setattr(ngram_join, "SHARD_TOKENS", 30)
+    common = [f"c{k}" for k in range(14)]
+    rows = [(i, " ".join([*common, f"o{i}"])) for i in range(70)] + [(100 + i, " ".join(f"u{i}x{k}" for k in range(9))) for i in range(20)]
+    heavy, cells = [], []
+    real = ngram_join.heavy_shards
+    monkeypatch.setattr(ngram_join, "heavy_shards", lambda *a: heavy.append(real(*a)) or heavy[-1])
+    join = ngram_join.prefix_join
+    monkeypatch.setattr(ngram_join, "prefix_join", lambda rows, shards, few=None, heavy=None: cells.append((rows, shards, heavy)) or join(rows, shards, few, heavy))
+    got = {r.id: (r.n_shingles, r.component_id) for r in components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and heavy[0] and max(heavy[0].values()) > 2
+    # each pass by itself: cells give what whole shards would
+    with_cells = {tuple(sorted(x)) for x in join(*cells[0][:2], None, heavy[0]).collect()}
+    assert with_cells == {tuple(sorted(x)) for x in join(*cells[0][:2], None, None).collect()} != set()
+
+
 def test_last_pass_alone_finds_every_link(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "PASSES", 1)
     monkeypatch.setattr(ngram_join, "linked", (lambda real, calls: lambda d, p, **k: real(d, p.where("1 = 0") if calls.append(1) or len(calls) == 1 else p, **k))(ngram_join.linked, []))
