@@ -193,18 +193,19 @@ def move_all(links: DataFrame, loops: DataFrame, resolution: float, double: floa
     return best if best_q > seen[0] else None
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0, most: int = MOST) -> DataFrame:
+def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0, most: int = MOST, total: float | None = None) -> DataFrame:
     """GR2: id, community (its smallest id).
 
     A component of up to `most` links is worked on by one task, node by node in the order of their ids, with the weight of
     the whole graph, which leaves the objective as it is. Larger ones go through rounds over tables (move_all()) and are
     coarsened, communities becoming nodes with weights of their own, until what is left of a component is that small or
     nothing moves. Nothing depends on the order of rows, so runs agree. Links of one pair count once, the heaviest; null
-    ends and loops are ignored; a vertex without links is its own community."""
+    ends and loops are ignored; a vertex without links is its own community. total: the weight of the whole graph that a
+    component is a part of, where edges hold several graphs of equal weight; else that of all edges."""
     e = edges.select(F.greatest("id_a", "id_b").alias("u"), F.least("id_a", "id_b").alias("v"), F.col("score").cast("double").alias("w"))
     links = stage(e.where("u <> v and w is not null").groupBy("u", "v").agg(F.max("w").alias("w")), "louvain")
     spark, kind = vertices.sparkSession, vertices.schema["id"].dataType.simpleString()
-    double = 2.0 * (links.agg(F.sum("w")).first()[0] or 0.0)
+    double = 2.0 * (total if total is not None else links.agg(F.sum("w")).first()[0] or 0.0)
     loops = spark.createDataFrame([], f"u {kind}, w double")
     local, schema = local_louvain(double, resolution, kind)
     home, done = None, []  # home: which node an id is by now

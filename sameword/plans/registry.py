@@ -635,13 +635,17 @@ def llm_batch_prompts(spark, sf):
     return judge.prompts(expert(spark, sf)).select("batch", F.size("pairs").cast("long").alias("n"), F.md5("prompt").alias("prompt_md5"))
 
 
-REPLY = "CASE doc_id % 5 WHEN 0 THEN '[1, 0]' WHEN 1 THEN 'ok 1 then 0' WHEN 2 THEN 'none' WHEN 3 THEN 'x [0,1] y' END"
+#: Replies of one to ten labels, made of each text's digest: a list, loose figures, a list that isn't one, a list in words, and
+#: one that is too long.
+BITS = "transform(sequence(1, 11), i -> cast(ascii(substr(md5(text), i, 1)) % 2 as string))"
+REPLY = f"""CASE doc_id % 5 WHEN 0 THEN concat('[', array_join(slice({BITS}, 1, n), ', '), ']') WHEN 1 THEN concat('labels: ', array_join(slice({BITS}, 1, n), ' then '))
+  WHEN 2 THEN concat('[', {BITS}[0], ', maybe]') WHEN 3 THEN concat('Sure [', array_join(slice({BITS}, 1, n), ','), '] done 7') ELSE concat('[', array_join(slice({BITS}, 1, n + 1), ','), ']') END"""
 
 
-@query(f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '1,0' WHEN 1 THEN '1,0' WHEN 3 THEN '0,1' ELSE '0,0' END AS labels FROM documents")
+@query(f"WITH {ART}, b AS (SELECT doc_id, 1 + doc_id % 10 AS n, list_transform(range(1, 11), lambda i: CAST(ascii(substr(md5(text), i, 1)) % 2 AS VARCHAR)) AS bits FROM art) SELECT doc_id, CASE WHEN doc_id % 5 = 2 AND n > 1 THEN array_to_string(list_transform(range(0, n), lambda i: '0'), ',') ELSE array_to_string(bits[1 : n], ',') END AS labels FROM b")
 def llm_reply_parse(spark, sf):
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", F.array_join(T.reply_labels(F.expr(REPLY), F.lit(2)), ",").alias("labels"))
+    a = articles(spark, sf).select("doc_id", "text", (1 + F.col("doc_id") % 10).cast("int").alias("n"))
+    return a.select("doc_id", F.array_join(T.reply_labels(F.expr(REPLY), F.col("n")), ",").alias("labels"))
 
 
 @query(f"{CLUSTERS}, pick AS (SELECT cluster_id FROM cl WHERE n > 1 ORDER BY md5('42|' || cluster_id) LIMIT 5) SELECT comp.cluster_id, art.id, left(text, 200) AS snippet, strftime(published_at, '%Y-%m-%d') AS day FROM pick JOIN comp ON comp.cluster_id = pick.cluster_id JOIN art ON art.id = comp.id")

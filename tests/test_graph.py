@@ -143,3 +143,23 @@ def test_pairs_are_drawn_evenly_and_never_listed(spark):
 def test_numbers_of_clusters(spark):
     a = spark.createDataFrame([("1", "x"), ("2", "y"), ("3", "y"), ("4", "a")], "id string, cluster_id string")
     assert sorted((r.id, r.cluster) for r in clusters.cluster_numbers(a).collect()) == [("1", 2), ("2", 0), ("3", 0), ("4", 1)]
+
+
+def test_a_sweep_at_once_is_that_of_each_point(spark):
+    """Louvain over all points of a grid in one run, and point by point."""
+    from sameword.plans.pipeline import DedupPipeline
+
+    draw = random.Random(6)
+    near = [(str(a), str(b), draw.choice([0.9, 0.95, 1.0]), draw.choice([0.5, 0.7, 0.9, None])) for a, b, _ in planted(5, 6)]
+    near = spark.createDataFrame(near, "id_a string, id_b string, cos double, jac double")
+    groups = spark.createDataFrame([(str(i), str(i)) for i in range(30)] + [("3", "x"), ("29", "y")], "rep_id string, member_id string")
+    lab = spark.createDataFrame([(str(i), str(i // 6) if i % 4 else None) for i in range(30)] + [("x", "0")], "id string, label string")
+    grid = [(0.9, 0.0), (0.95, 0.7), (2.0, 0.0)]
+
+    def run(clusterer):
+        pipe = DedupPipeline(clusterer=clusterer)
+        pipe.paired = lambda articles, cfg: (None, groups, near)
+        return {(r.min_cos, r.min_jac): tuple(round(x, 9) for x in r[2:]) for r in pipe.sweep(None, lab, grid).collect()}
+
+    one, each = run(graph.louvain), run(lambda v, e, r: graph.louvain(v, e, r))
+    assert one == each and set(one) == set(grid) and one[2.0, 0.0][0] == 0
