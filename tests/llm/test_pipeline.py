@@ -1,6 +1,11 @@
+import math
 import re
+from collections import Counter
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
+from tokenizers import Tokenizer
 
 from sameword.llm import quality
 from sameword.shared import stage
@@ -17,7 +22,9 @@ def shingles(text):
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, model = docs.columns, quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
-    want = {r.doc_id: r.text for r in quality.score(docs, model).where(f"score >= {quality.THRESHOLD}").collect()}
+    # one document at a time, without Spark; test_quality has the model itself against plain loops
+    alone = lambda b: float(model.score(quality.passages(np.frombuffer(b, np.uint8), np.array([0, len(b)])))[0])
+    want = {r.doc_id: r.text for r in docs.collect() if alone((r.text or "").encode()) >= quality.THRESHOLD}
     seen = {}
     for i in sorted(want):
         seen.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", want[i] or ""), i)
@@ -38,8 +45,34 @@ def test_stages_against_brute_force(spark):
     for (name, step), ids in zip(corpus_pipeline.STAGES, (set(want), set(exact), near, near), strict=False):
         docs = stage(step(spark, docs, SF), f"test-{name}")
         assert docs.columns == columns and {r.doc_id for r in docs.collect()} == ids, name
-    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert sorted(r.doc_id for r in out.collect()) == sorted(r.doc_id for r in docs.collect())
+        if name == "mixing":
+            check_mix([r for r in first if r.doc_id in near], docs.collect())
+        first = docs.collect()
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    texts = {i: library.encode(want[i] or "", add_special_tokens=False).ids for i in near}
+    assert sorted((r.doc_id, list(r.token_ids)) for r in out) == sorted((r.doc_id, texts[r.doc_id]) for r in docs.collect())
+
+
+def check_mix(before, after):
+    """Every document once at least; a source's epochs are those of the exponent that bisection by plain loops finds."""
+    size = lambda t: max(1, len(re.findall(r"[^\x20\x09-\x0D]+", t or "")))
+    tokens, times = Counter(), Counter(r.doc_id for r in after)
+    for r in before:
+        tokens[r.source] += size(r.text)
+    low, high = 0.0, 1.0
+    repeats = lambda x: max(t ** (x - 1) for t in tokens.values()) / min(t ** (x - 1) for t in tokens.values())
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if repeats(mid) <= 2.0 else (mid, high)
+    whole = max(t / t**high for t in tokens.values()) * sum(t**high for t in tokens.values())
+    for source, t in tokens.items():
+        budget = t**high / sum(x**high for x in tokens.values()) * whole
+        got = sum(times[r.doc_id] * size(r.text) for r in before if r.source == source)
+        most = max(size(r.text) for r in before if r.source == source)
+        assert budget - 0.01 * t - 1 <= got <= budget + most + 0.01 * t + 1, source
+        assert all(1 <= times[r.doc_id] <= math.ceil(budget / t + 0.01) for r in before if r.source == source)
 
 
 def odd(spark):
