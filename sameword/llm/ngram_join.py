@@ -42,7 +42,7 @@ NUM, DEN = 3, 4
 SLOTS = 1 << 21
 CHUNKS, FAN = 16, 64
 #: Shingles of prefixes to a shard, which is a task; one with more than twice as many is dealt to several.
-SHARD_TOKENS = 2_000_000
+SHARD_TOKENS = 1_000_000
 #: First passes: candidates of a probe in a shard, and nodes that it visits for them; as many passes as find more than a
 #: share of the links of the first, at most PASSES. The last pass has no such bounds.
 FEW, VISITS = 6, 512
