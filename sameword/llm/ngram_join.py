@@ -43,9 +43,10 @@ SLOTS = 1 << 21
 CHUNKS, FAN = 16, 64
 #: Shingles of prefixes to a shard, which is a task; one with more than twice as many is dealt to several.
 SHARD_TOKENS = 1_000_000
-#: First passes: candidates of a probe in a shard, and nodes that it visits for them; as many passes as find more than a
+#: First passes: candidates of a probe in a shard, nodes that it visits for them, and shingles of its prefix whose shards it
+#: asks, so that candidates don't grow with the number of shards; as many passes as find more than a
 #: share of the links of the first, at most PASSES. The last pass has no such bounds.
-FEW, VISITS = 6, 512
+FEW, VISITS, PROBES = 6, 512, 8
 PASSES, WORTH = 4, 100
 #: Parts in which rows of equal sets meet their class.
 SALTS = 1024
@@ -268,10 +269,10 @@ class Trie:
                     stack.extend((child, shared, lacked) for child in self.next[node].values())
 
 
-def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, lasts: np.ndarray, few: int | None = None, apart: np.ndarray | None = None) -> set[tuple[int, int]]:
+def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, lasts: np.ndarray, few: int | None = None, apart: np.ndarray | None = None, asks: np.ndarray | None = None) -> set[tuple[int, int]]:
     """Candidate pairs of one shard: entries are tokens of documents at places in their global order; lasts: the last token
     of each document's prefix. few: some candidates of each document only, by the number of the pass. apart: the group of each
-    document, where only pairs of two groups are wanted."""
+    document, where only pairs of two groups are wanted. asks: documents that look for partners; the others are only found."""
     order = np.argsort(token, kind="stable")
     ts, cs = token[order], comps[doc[order]]
     starts = np.flatnonzero(np.r_[True, ts[1:] != ts[:-1]]) if len(ts) else np.zeros(0, np.int64)
@@ -290,7 +291,8 @@ def shard_pairs(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.nda
     for d, tokens, places in groups:
         size, comp, me, taken = int(sizes[d]), int(comps[d]), int(ids[d]), 0
         index = {t: k for k, t in enumerate(tokens)}
-        for other, depth, most, lacked in trie.probe(tokens, places, size, comp, int(lasts[d]), None if few is None else VISITS, few or 0):
+        asked = asks is None or asks[d]
+        for other, depth, most, lacked in trie.probe(tokens, places, size, comp, int(lasts[d]), None if few is None else VISITS, few or 0) if asked else ():
             o_places, o_tokens = own[other]
             osize = int(sizes[other])
             if DEN * osize < NUM * size or int(comps[other]) == comp or (apart is not None and apart[other] == apart[d]):
@@ -361,6 +363,8 @@ def prefix_join(rows: DataFrame, shards: int, few: int | None = None, heavy: dic
             token, pos = np.concatenate(sets), ragged(np.zeros(len(sets), np.int64), lengths)
             doc, last = np.repeat(np.arange(len(sets)), lengths), token[np.cumsum(lengths) - 1]
             shard = shard_of(token, shards)
+            step = 1 if few is None else np.maximum(1, -(-lengths // PROBES))[doc]
+            asking = (pos + 3 * (few or 0)) % step == 0
             ids, comps, sizes, out = np.array(ids), np.array(comps), np.array(sizes, np.int32), []
             order = np.argsort(shard, kind="stable")
             bounds = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -372,9 +376,11 @@ def prefix_join(rows: DataFrame, shards: int, few: int | None = None, heavy: dic
                     here = at if groups == 1 else at[(group == cell[0]) | (group == cell[1])]
                     if len(here):
                         who, local = np.unique(doc[here], return_inverse=True)
-                        out.append((k, cell[0] * groups + cell[1], *(x.tobytes() for x in (token[here], local.astype(np.int32), pos[here].astype(np.int32), ids[who], comps[who], sizes[who], last[who]))))
-            names = ["shard", "cell", "token", "doc", "pos", "ids", "comps", "sizes", "lasts"]
-            return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int32()) for j in range(2)] + [pa.array([o[j] for o in out], pa.binary()) for j in range(2, 9)], names)
+                        asks = np.zeros(len(who), bool)
+                        asks[local[asking[here]]] = True
+                        out.append((k, cell[0] * groups + cell[1], *(x.tobytes() for x in (token[here], local.astype(np.int32), pos[here].astype(np.int32), ids[who], comps[who], sizes[who], last[who], asks))))
+            names = ["shard", "cell", "token", "doc", "pos", "ids", "comps", "sizes", "lasts", "asks"]
+            return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int32()) for j in range(2)] + [pa.array([o[j] for o in out], pa.binary()) for j in range(2, 10)], names)
 
         ids, comps, sizes, sets, held = [], [], [], [], 0
         for part in parts:
@@ -391,7 +397,7 @@ def prefix_join(rows: DataFrame, shards: int, few: int | None = None, heavy: dic
     def meet(table: pa.Table) -> pa.Table:
         t = table.to_pydict()
         token, lasts = (np.frombuffer(b"".join(t[k]), np.uint64) for k in ("token", "lasts"))
-        pos = np.frombuffer(b"".join(t["pos"]), np.int32)
+        pos, asks = np.frombuffer(b"".join(t["pos"]), np.int32), np.frombuffer(b"".join(t["asks"]), bool)
         ids, comps, sizes = (np.frombuffer(b"".join(t[k]), kind) for k, kind in (("ids", np.int64), ("comps", np.int64), ("sizes", np.int32)))
         shift, doc = 0, []
         for local, who in zip(t["doc"], t["ids"], strict=True):
@@ -400,10 +406,10 @@ def prefix_join(rows: DataFrame, shards: int, few: int | None = None, heavy: dic
         groups = heavy.get(t["shard"][0], 1)
         apart = group_of(ids, groups) if t["cell"][0] // groups != t["cell"][0] % groups else None
         del t
-        pairs = sorted(shard_pairs(token, np.concatenate(doc), pos, ids, comps, sizes, lasts, few, apart))
+        pairs = sorted(shard_pairs(token, np.concatenate(doc), pos, ids, comps, sizes, lasts, few, apart, asks))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    cut_up = rows.select("id", "comp", "size", "tokens").mapInArrow(cut, "shard int, cell int, token binary, doc binary, pos binary, ids binary, comps binary, sizes binary, lasts binary")
+    cut_up = rows.select("id", "comp", "size", "tokens").mapInArrow(cut, "shard int, cell int, token binary, doc binary, pos binary, ids binary, comps binary, sizes binary, lasts binary, asks binary")
     return cut_up.groupBy("shard", "cell").applyInArrow(meet, "a long, b long").distinct()
 
 
