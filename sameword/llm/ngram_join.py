@@ -351,6 +351,32 @@ def heavy_shards(rows: DataFrame, shards: int) -> dict[int, int]:
     return {r.shard: -(-2 * r.n // SHARD_TOKENS) for r in sums.where(F.col("n") > 2 * SHARD_TOKENS).collect()}
 
 
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers of eight bytes, all their lowest bytes first, and so on: what is small or repeats compresses well."""
+    return np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def sent(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, comps: np.ndarray, sizes: np.ndarray, lasts: np.ndarray, asks: np.ndarray) -> tuple[bytes, bytes]:
+    """What shard_pairs() takes of one batch, in few bytes: entries by document, steps between identifiers and between places,
+    components less identifiers. Of `lasts` the upper half goes, as no more than a lower bound is asked of it."""
+    counts = np.bincount(doc, minlength=len(ids))
+    flat = b"".join(planes(x) for x in (counts, np.diff(ids, prepend=0), comps - ids, sizes, np.diff(pos.astype(np.int64), prepend=0)))
+    rest = flat + (lasts >> np.uint64(32)).astype(np.uint32).tobytes() + np.packbits(asks).tobytes()
+    return token.tobytes(), len(ids).to_bytes(4, "little") + pa.compress(rest, "zstd", asbytes=True)
+
+
+def got(token: bytes, rest: bytes) -> tuple[np.ndarray, ...]:
+    """What sent() was given."""
+    tokens, n = np.frombuffer(token, np.uint64), int.from_bytes(rest[:4], "little")
+    flat = pa.decompress(rest[4:], 8 * (4 * n + len(tokens)) + 4 * n + -(-n // 8), "zstd", asbytes=True)
+    cuts = np.cumsum([0, *(8 * k for k in (n, n, n, n, len(tokens)))]).tolist()
+    counts, ids, comps, sizes, pos = (np.frombuffer(flat[a:z], np.uint8).reshape(8, -1).T.copy().view(np.int64)[:, 0] for a, z in zip(cuts, cuts[1:], strict=False))
+    ids = np.cumsum(ids)
+    lasts = np.frombuffer(flat[cuts[-1] : cuts[-1] + 4 * n], np.uint32).astype(np.uint64) << np.uint64(32)
+    asks = np.unpackbits(np.frombuffer(flat[cuts[-1] + 4 * n :], np.uint8), count=n).astype(bool)
+    return tokens, np.repeat(np.arange(n), counts), np.cumsum(pos), ids, comps + ids, sizes, lasts, asks
+
+
 def prefix_join(rows: DataFrame, shards: int, few: int | None = None, heavy: dict[int, int] | None = None) -> DataFrame:
     """Candidate pairs (a, b) between components, from id, comp, size, tokens; all, or in pass `few` some of each document.
     heavy: of shards that are too large for a task, into how many groups their documents are dealt. There each two groups,
@@ -378,9 +404,9 @@ def prefix_join(rows: DataFrame, shards: int, few: int | None = None, heavy: dic
                         who, local = np.unique(doc[here], return_inverse=True)
                         asks = np.zeros(len(who), bool)
                         asks[local[asking[here]]] = True
-                        out.append((k, cell[0] * groups + cell[1], *(x.tobytes() for x in (token[here], local.astype(np.int32), pos[here].astype(np.int32), ids[who], comps[who], sizes[who], last[who], asks))))
-            names = ["shard", "cell", "token", "doc", "pos", "ids", "comps", "sizes", "lasts", "asks"]
-            return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int32()) for j in range(2)] + [pa.array([o[j] for o in out], pa.binary()) for j in range(2, 10)], names)
+                        out.append((k, cell[0] * groups + cell[1], *sent(token[here], local, pos[here], ids[who], comps[who], sizes[who], last[who], asks)))
+            names = ["shard", "cell", "token", "rest"]
+            return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int32()) for j in range(2)] + [pa.array([o[j] for o in out], pa.binary()) for j in range(2, 4)], names)
 
         ids, comps, sizes, sets, held = [], [], [], [], 0
         for part in parts:
@@ -395,21 +421,19 @@ def prefix_join(rows: DataFrame, shards: int, few: int | None = None, heavy: dic
             yield flush(ids, comps, sizes, sets)
 
     def meet(table: pa.Table) -> pa.Table:
-        t = table.to_pydict()
-        token, lasts = (np.frombuffer(b"".join(t[k]), np.uint64) for k in ("token", "lasts"))
-        pos, asks = np.frombuffer(b"".join(t["pos"]), np.int32), np.frombuffer(b"".join(t["asks"]), bool)
-        ids, comps, sizes = (np.frombuffer(b"".join(t[k]), kind) for k, kind in (("ids", np.int64), ("comps", np.int64), ("sizes", np.int32)))
-        shift, doc = 0, []
-        for local, who in zip(t["doc"], t["ids"], strict=True):
-            doc.append(np.frombuffer(local, np.int32).astype(np.int64) + shift)
-            shift += len(who) // 8
-        groups = heavy.get(t["shard"][0], 1)
-        apart = group_of(ids, groups) if t["cell"][0] // groups != t["cell"][0] % groups else None
-        del t
-        pairs = sorted(shard_pairs(token, np.concatenate(doc), pos, ids, comps, sizes, lasts, few, apart, asks))
+        shard, cell = table.column("shard")[0].as_py(), table.column("cell")[0].as_py()
+        parts = [got(x, y) for x, y in zip(table.column("token").to_pylist(), table.column("rest").to_pylist(), strict=True)]
+        del table
+        firsts = np.cumsum([0, *(len(p[3]) for p in parts)])
+        doc = np.concatenate([p[1] + shift for p, shift in zip(parts, firsts, strict=False)])
+        token, _, pos, ids, comps, sizes, lasts, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        groups = heavy.get(shard, 1)
+        apart = group_of(ids, groups) if cell // groups != cell % groups else None
+        pairs = sorted(shard_pairs(token, doc, pos, ids, comps, sizes, lasts, few, apart, asks))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    cut_up = rows.select("id", "comp", "size", "tokens").mapInArrow(cut, "shard int, cell int, token binary, doc binary, pos binary, ids binary, comps binary, sizes binary, lasts binary, asks binary")
+    cut_up = rows.select("id", "comp", "size", "tokens").mapInArrow(cut, "shard int, cell int, token binary, rest binary")
     return cut_up.groupBy("shard", "cell").applyInArrow(meet, "a long, b long").distinct()
 
 
