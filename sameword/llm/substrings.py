@@ -40,6 +40,9 @@ SHARD_ANCHORS, LEAST_SHARDS = 500_000, 16
 #: Surroundings whose suffixes a task sorts: about 90 times as many bytes of memory.
 SHARD_BYTES = 800_000
 BATCH_ANCHORS, BATCH_PIECES = 250_000, 100_000
+#: Neighbouring shards that a batch sends as one row, and that a task takes one after another: at most, and so few that this
+#: many rows are left to a batch. Rows then don't grow with the square of the input until there are TOGETHER times as many.
+TOGETHER, LEAST_BUNDLES = 16, 256
 #: Anchors sampled to cut shards: for each, in all, and at least for each quantile; documents that are sampled from at least.
 SAMPLES, MOST_SAMPLES, LEAST_SAMPLES, LEAST_DOCUMENTS = 100, 1 << 20, 8, 2000
 #: Windows of border anchors that a task merges.
@@ -281,9 +284,10 @@ def dealt(split: np.ndarray, h: np.ndarray, salt: np.ndarray) -> tuple[np.ndarra
 
 
 def cut_pieces(met: DataFrame, split: np.ndarray) -> DataFrame:
-    """From id, text, places: rows of shard, pieces (end to end), lengths, counts, ids, starts: surroundings of live anchors,
-    of equal ones in a batch those of the smallest identifier. Rows of shard -1 and below hold spans (ids, starts, lengths):
-    the other ones, which go whole."""
+    """From id, text, places: rows of bundle, within (the shard of each piece, of those in the bundle), pieces (end to end),
+    lengths, counts, ids, starts: surroundings of live anchors, of equal ones in a batch those of the smallest identifier.
+    Rows of bundle -1 and below hold spans (ids, starts, lengths): the other ones, which go whole."""
+    together = max(1, min(TOGETHER, (len(split) + 1) // LEAST_BUNDLES))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: dict[bytes, list] = {}
@@ -296,15 +300,16 @@ def cut_pieces(met: DataFrame, split: np.ndarray) -> DataFrame:
                 found.append([x for x in places if x[0] == least])
                 gone += [(i, low, len(piece)) for i, low in places if i != least]
             shard, several = dealt(split, np.array([v[0] for v in out.values()], np.uint64), np.array([xxhash.xxh64_intdigest(x) for x in pieces], np.uint64))
+            bundle, within = shard // together, (shard % together).astype(np.uint8)
             rows, order = [], np.argsort(shard, kind="stable")
-            for pick in np.split(order, runs_of(shard[order])[1:]):
+            for pick in np.split(order, runs_of(bundle[order])[1:]):
                 flat = [x for k in pick.tolist() for x in found[k]]
                 lengths = (np.array([len(pieces[k]) for k in pick.tolist()]) + 128 * several[pick]).astype(np.uint8)
-                rows.append((int(shard[pick[0]]), b"".join(pieces[k] for k in pick.tolist()), lengths.tobytes(), np.array([len(found[k]) for k in pick.tolist()], np.int32).tobytes(), np.array([x[0] for x in flat], np.int64).tobytes(), np.array([x[1] for x in flat], np.int32).tobytes()))
+                rows.append((int(bundle[pick[0]]), within[pick].tobytes(), b"".join(pieces[k] for k in pick.tolist()), lengths.tobytes(), np.array([len(found[k]) for k in pick.tolist()], np.int32).tobytes(), np.array([x[0] for x in flat], np.int64).tobytes(), np.array([x[1] for x in flat], np.int32).tobytes()))
             if gone:
                 i, low, size = zip(*gone, strict=True)
-                rows.append((-1 - salt % (1 << 20), b"", np.array(size, np.uint8).tobytes(), b"", np.array(i, np.int64).tobytes(), np.array(low, np.int32).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 6)], ["shard", "pieces", "lengths", "counts", "ids", "starts"])
+                rows.append((-1 - salt % (1 << 20), b"", b"", np.array(size, np.uint8).tobytes(), b"", np.array(i, np.int64).tobytes(), np.array(low, np.int32).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[j] for r in rows], pa.binary()) for j in range(1, 7)], ["bundle", "within", "pieces", "lengths", "counts", "ids", "starts"])
 
         for part in parts:
             for i, text, places in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), part.column(2).to_pylist(), strict=True):
@@ -321,7 +326,7 @@ def cut_pieces(met: DataFrame, split: np.ndarray) -> DataFrame:
         if held:
             yield flush(i)
 
-    return met.mapInArrow(run, "shard int, pieces binary, lengths binary, counts binary, ids binary, starts binary")
+    return met.mapInArrow(run, "bundle int, within binary, pieces binary, lengths binary, counts binary, ids binary, starts binary")
 
 
 def eight_bytes(flat: np.ndarray, kind: str) -> np.ndarray:
@@ -447,31 +452,43 @@ def shard_spans(cut: DataFrame) -> DataFrame:
     """A row of spans for each shard, and beside it, where it shares an anchor with others, the windows around that anchor:
     digests in order, and the identifiers and places of those that hold them."""
 
-    def meet(table: pa.Table) -> pa.Table:
-        t = table.to_pydict()
-        ids, starts = np.frombuffer(b"".join(t["ids"]), np.int64), np.frombuffer(b"".join(t["starts"]), np.int32).astype(np.int64)
-        lengths, windows = np.frombuffer(b"".join(t["lengths"]), np.uint8), [None] * 3
-        if t["shard"][0] < 0:  # whole as they came
-            out = span_row(ids, starts, starts + lengths)
-        else:
-            several, sizes = lengths >= 128, (lengths & 127).astype(np.int64)
-            flat, ends = b"".join(t["pieces"]), np.cumsum(sizes)
-            pieces = [flat[a:z] for a, z in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
-            which = np.repeat(np.arange(len(pieces)), np.frombuffer(b"".join(t["counts"]), np.int32))
-            spans, entry, offset, ours = shard_windows(pieces, which, ids, starts)
-            out = span_row(*spans)
-            border = np.flatnonzero(ours & several[which][entry])
-            if len(border):
-                e, o = entry[border], offset[border]
-                found = b"".join(hashlib.blake2b(pieces[x][y : y + LENGTH], digest_size=16).digest() for x, y in zip(which[e].tolist(), o.tolist(), strict=True))
-                words = np.frombuffer(found, ">u8").reshape(-1, 2).astype(np.uint64)
-                order = np.lexsort((words[:, 1], words[:, 0]))
-                windows = [words[order].tobytes(), ids[e][order].tobytes(), (starts[e] + o)[order].astype(np.int32).tobytes()]
-        for name, x in zip(("digests", "who", "place"), windows, strict=True):
+    def row(spans: tuple, windows: list | None = None) -> pa.Table:
+        out = span_row(*spans)
+        for name, x in zip(("digests", "who", "place"), windows or [None] * 3, strict=True):
             out = out.append_column(name, pa.array([x], pa.binary()))
         return out
 
-    return cut.groupBy("shard").applyInArrow(meet, "ids binary, counts binary, first binary, second binary, digests binary, who binary, place binary")
+    def shard(pieces: list[bytes], several: np.ndarray, counts: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> pa.Table:
+        which = np.repeat(np.arange(len(pieces)), counts)
+        spans, entry, offset, ours = shard_windows(pieces, which, ids, starts)
+        border = np.flatnonzero(ours & several[which][entry])
+        if not len(border):
+            return row(spans)
+        e, o = entry[border], offset[border]
+        found = b"".join(hashlib.blake2b(pieces[x][y : y + LENGTH], digest_size=16).digest() for x, y in zip(which[e].tolist(), o.tolist(), strict=True))
+        words = np.frombuffer(found, ">u8").reshape(-1, 2).astype(np.uint64)
+        order = np.lexsort((words[:, 1], words[:, 0]))
+        return row(spans, [words[order].tobytes(), ids[e][order].tobytes(), (starts[e] + o)[order].astype(np.int32).tobytes()])
+
+    def meet(table: pa.Table) -> pa.Table:
+        whole = table.column("bundle")[0].as_py() < 0
+        end_to_end = lambda name: b"".join(table.column(name).to_pylist())
+        ids, starts = np.frombuffer(end_to_end("ids"), np.int64), np.frombuffer(end_to_end("starts"), np.int32).astype(np.int64)
+        lengths = np.frombuffer(end_to_end("lengths"), np.uint8)
+        if whole:  # as they came
+            return row((ids, starts, starts + lengths))
+        flat, within, counts = end_to_end("pieces"), np.frombuffer(end_to_end("within"), np.uint8), np.frombuffer(end_to_end("counts"), np.int32)
+        del table
+        several, sizes = lengths >= 128, (lengths & 127).astype(np.int64)
+        begins, firsts, out = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts, []
+        order = np.argsort(within, kind="stable")
+        for pick in np.split(order, runs_of(within[order])[1:]):
+            at = ragged(firsts[pick], counts[pick])
+            pieces = [flat[a : a + n] for a, n in zip(begins[pick].tolist(), sizes[pick].tolist(), strict=True)]
+            out.append(shard(pieces, several[pick], counts[pick], ids[at], starts[at]))
+        return pa.concat_tables(out)
+
+    return cut.groupBy("bundle").applyInArrow(meet, "ids binary, counts binary, first binary, second binary, digests binary, who binary, place binary")
 
 
 def searched(keys: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

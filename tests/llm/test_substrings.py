@@ -129,3 +129,22 @@ def test_few_long_documents_are_many_shards(spark, monkeypatch, most):
     assert got == brute(rows)
     wanted = -(-cuts[0][0][2] * 85 // 40_000)
     assert wanted > 4 and len(np.unique(cuts[0][1])) >= wanted - 1
+
+
+@pytest.mark.parametrize("together", [1, 4])
+def test_a_batch_sends_neighbouring_shards_as_one_row(spark, monkeypatch, together):
+    """Rows of many shards are as few as their bundles; each shard is still sorted by itself, and removes the same."""
+    for name, value in (("SHARD_BYTES", 1000), ("TOGETHER", together), ("LEAST_BUNDLES", 2)):
+        monkeypatch.setattr(substrings, name, value)
+    r = random.Random(8)
+    passages = ["".join(r.choice("abcdefgh ") for _ in range(400)) for _ in range(12)] + ["ab" * 60]
+    rows = [(i, "".join(r.choice(passages) + str(r.random()) for _ in range(5))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    seen, real = [], substrings.cut_pieces
+    monkeypatch.setattr(substrings, "cut_pieces", lambda met, split: seen.append((len(split) + 1, real(met, split))) or seen[-1][1])
+    got = {x.id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in remove_repeats(docs).collect()}
+    assert got == brute(rows)
+    shards, cut = seen[0]
+    sent = cut.where("bundle >= 0").select("bundle").collect()
+    tasks = cut.rdd.getNumPartitions()
+    assert shards > 20 and len({x.bundle for x in sent}) <= -(-shards // together) and len(sent) <= tasks * -(-shards // together)
