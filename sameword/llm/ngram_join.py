@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sameword.llm.arrow import as_bytes, ragged, small_batches
+from sameword.llm.arrow import ragged, small_batches
 from sameword.operators.sieve import maybe_in
 from sameword.operators.graph import connected_components
 from sameword.shared import stage
@@ -86,6 +87,39 @@ class Shingler:
                     s = s + h[j : n - 4 + j] * C[j]
             return np.unique(mixed(s) >> np.uint64(6))
 
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The same of each text of a column; a batch's words are told apart and hashed together, a word once."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string(), safe=False)))
+        words = lists.flatten()
+        there = pc.greater(pc.binary_length(words), 0)  # white space at an end leaves an empty word
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(words):
+            before = np.r_[0, np.cumsum(there.to_numpy(zero_copy_only=False), dtype=np.int64)]
+            ends = np.cumsum(sizes)
+            sizes = before[ends] - before[ends - sizes]
+            words = words.filter(there)
+        told = words.dictionary_encode()
+        own, (_, offsets, data) = told.dictionary, told.dictionary.buffers()
+        data, at = (data or b"") and data.to_pybytes(), np.frombuffer(offsets or b"", np.int32)[own.offset :][: len(own) + 1].tolist()
+        h = np.fromiter((xxhash.xxh64_intdigest(data[a:z]) for a, z in zip(at, at[1:], strict=False)), np.uint64, len(own))[told.indices.to_numpy()]
+        with np.errstate(over="ignore"):
+            s = h[: max(0, len(h) - 4)] * C[0]
+            for j in range(1, WORDS):
+                s += h[j : len(s) + j] * C[j]
+            s = mixed(s) >> np.uint64(6)
+            out = []
+            for start, n in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+                if n >= WORDS:
+                    one = np.sort(s[start : start + n - 4])
+                    new = np.empty(len(one), bool)
+                    new[0] = True
+                    np.not_equal(one[1:], one[:-1], out=new[1:])
+                    out.append(one[new])
+                else:
+                    few = (h[start : start + n] * C[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n) * C[5]
+                    out.append(mixed(few) >> np.uint64(6) if n else np.zeros(0, np.uint64))
+        return out
+
 
 def prefix(n: int) -> int:
     """So many first shingles of a set must hold one of any set that it links with."""
@@ -110,8 +144,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
         shingles, counts = Shingler(), np.zeros(SLOTS, np.int32)
         for part in parts:
             n, digests, tallies, sets = [], [], [], []
-            for text in as_bytes(part.column(1)):
-                s = shingles(text)
+            for s in shingles.many(part.column(1)):
                 n.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 tally = np.bincount((s >> np.uint64(50)).astype(np.int64), minlength=256)
@@ -183,8 +216,7 @@ def linked(docs: DataFrame, pairs: DataFrame, rows_per_part: int = 64) -> DataFr
         shingles, heads_of, of = Shingler(), [], None  # a shared identifier has several texts
         for batch in batches:
             a, b = [], []
-            for key, part, role, i, text in zip(*(batch.column(k).to_pylist() for k in range(4)), as_bytes(batch.column(4)), strict=True):
-                s = shingles(text)
+            for key, part, role, i, s in zip(*(batch.column(k).to_pylist() for k in range(4)), shingles.many(batch.column(4)), strict=True):
                 if role == 0:
                     heads_of, of = [*(heads_of if of == (key, part) else []), s], (key, part)
                 elif of == (key, part):
@@ -323,8 +355,7 @@ def prefixes(texts: DataFrame, bits: np.ndarray) -> DataFrame:
         shingles, table = Shingler(), sent.value
         for part in parts:
             ids, sizes, tokens = [], [], []
-            for i, text in zip(part.column(0).to_pylist(), as_bytes(part.column(1)), strict=True):
-                s = shingles(text)
+            for i, s in zip(part.column(0).to_pylist(), shingles.many(part.column(1)), strict=True):
                 if len(s):
                     s = np.sort(s | (table[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)))
                     for column, value in ((ids, i), (sizes, len(s)), (tokens, s[: prefix(len(s))].tobytes())):
@@ -451,7 +482,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     total = classes.agg(F.sum(F.col("n") / DEN + 1)).first()[0] or 0
     shards = max(1, round(total / SHARD_TOKENS))
     ids = classes.select(F.col("class").alias("id")).distinct()
-    stored = stage(prefixes(known, rarity(rows)).join(ids.hint("merge"), "id"), "join-prefixes")
+    stored = stage(prefixes(maybe_in(known, ids, "id"), rarity(rows)).join(ids.hint("merge"), "id"), "join-prefixes")
     of_class = salted.groupBy("digest", "salt").agg(F.min("id").alias("low"), F.max("id").alias("high")).join(classes.select("digest", "class"), "digest")
     of_class = stage(of_class, "join-salted")
     links = stage(shared_identifiers(salted, of_class), "join-links")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sameword.llm import ngram_join
@@ -132,3 +133,15 @@ def test_batches_go_to_shards_in_few_bytes():
     for x, y in zip(back, (token, doc, pos, ids, comps, sizes, lasts >> np.uint64(32) << np.uint64(32), asks), strict=True):
         assert x.tolist() == y.tolist()
     assert sum(map(len, some)) < 0.75 * (16 * len(doc) + 29 * n)
+
+
+def test_a_batch_is_shingled_as_its_texts_one_by_one():
+    """A batch's words are hashed together: the same sets, for white space at ends, null, few words, other letters, repeats."""
+    draw = random.Random(5)
+    texts = [None, "", " ", "\t\n\x0b\x0c\r ", "a", " A b ", "a b c d", "a b c d e", "A\x0bB\u00a0C d\x1ce f g h", "\u00c4 \u00e4 \u0130 I i x y\u2003z"]
+    texts += [draw.choice(["", " ", "\n"]).join(draw.choice(["x ", "Y\t", "zz  ", "\u00e9\r\n", " w"]) for _ in range(draw.randrange(40))) for _ in range(200)]
+    for some in (texts, texts[:1], texts[2:4], []):
+        got = ngram_join.Shingler().many(pa.array(some, pa.string()))
+        assert [x.tolist() for x in got] == [ngram_join.Shingler()((t or "").encode()).tolist() for t in some]
+    sliced = pa.array(texts, pa.string()).slice(7, 50)
+    assert [x.tolist() for x in ngram_join.Shingler().many(sliced)] == [ngram_join.Shingler()((t or "").encode()).tolist() for t in texts[7:57]]
