@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from sameword.operators import clusters, graph
@@ -175,3 +176,17 @@ def test_missed_pairs_are_all_pairs_of_a_label(spark):
     want = [(a, b) for a in label for b in label if a < b and label[a] and label[a] == label[b] and apart(a, b)]
     assert sorted((r.id_a, r.id_b) for r in got) == sorted(want)
     assert "{TRIPLES}" not in registry.SQL["fn_pairs"] and "doc_id // 3" not in registry.SQL["fn_pairs"] and "k) > 1" in registry.SQL["fn_pairs"]
+
+
+@pytest.mark.parametrize("held", [7, 500_000])
+def test_tasks_contract_their_links_before_rounds_move_them(spark, monkeypatch, held):
+    """A chain in eight splits: whatever a task may hold, the same components; if it may hold all, no round (round 3)."""
+    monkeypatch.setattr(graph, "HELD", held)
+    made, real = [], graph.stage
+    monkeypatch.setattr(graph, "stage", lambda df, name: made.append(name) or real(df, name))
+    links = [(k, k + 1) for k in range(60)] + [(100 + k, 100) for k in range(1, 40)] + [(200 + k, 299) for k in range(40)] + [(None, 3), (4, None), (5, 5)]
+    random.Random(1).shuffle(links)
+    got = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(links, "a long, b long").repartition(8)).collect()}
+    assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 140), 100), **dict.fromkeys([*range(200, 240), 299], 200)}
+    if held == 500_000:
+        assert made == ["cc", "cc"]
