@@ -135,6 +135,16 @@ def needed(a: int, b: int) -> int:
     return -(-NUM * (a + b) // (NUM + DEN))
 
 
+def squeezed(counts: np.ndarray) -> bytes:
+    """Counts of a chunk of slots in few bytes: most of a small task's are 0."""
+    return pa.compress(counts.astype(np.int64).tobytes(), "zstd", asbytes=True)
+
+
+def spread_out(counts: bytes) -> np.ndarray:
+    """What squeezed() was given."""
+    return np.frombuffer(pa.decompress(counts, 8 * (SLOTS // CHUNKS), "zstd", asbytes=True), np.int64)
+
+
 def set_rows(docs: DataFrame) -> DataFrame:
     """From id, text: rows of kind 0 with id, n, digest and tally; rows of kind 1 with a task's counts of hashed shingles,
     n being the part of the table and id the task."""
@@ -154,7 +164,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
                 counts += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.int32)
             k = part.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int32)), part.column(0).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(digests, pa.binary()), pa.array(tallies, pa.binary()), pa.nulls(k, pa.binary())], names)
-        chunks = [(1, TaskContext.get().partitionId(), k, None, None, x.tobytes()) for k, x in enumerate(np.split(counts, CHUNKS))] if counts.any() else []
+        chunks = [(1, TaskContext.get().partitionId(), k, None, None, squeezed(x)) for k, x in enumerate(np.split(counts, CHUNKS))] if counts.any() else []
         yield pa.RecordBatch.from_arrays([pa.array([c[j] for c in chunks], kind) for j, kind in enumerate(kinds)], names)
 
     return docs.mapInArrow(run, "kind int, id long, n int, digest binary, tally binary, counts binary")
@@ -167,9 +177,8 @@ def rarity(rows: DataFrame) -> np.ndarray:
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(SLOTS // CHUNKS, np.int64)
         for x in table.column("counts").to_pylist():
-            got = np.frombuffer(x, np.uint8)
-            total += got.view(np.int64 if len(got) == 8 * len(total) else np.int32)
-        return pa.table({"n": table.column("n")[:1], "id": table.column("id")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+            total += spread_out(x)
+        return pa.table({"n": table.column("n")[:1], "id": table.column("id")[:1], "counts": pa.array([squeezed(total)], pa.binary())})
 
     part = rows.where("kind = 1").select("n", "id", "counts")
     tasks = 1 + (part.agg(F.max("id")).first()[0] or 0)
@@ -182,7 +191,7 @@ def rarity(rows: DataFrame) -> np.ndarray:
     out = np.zeros(SLOTS, np.uint8)
     step = SLOTS // CHUNKS
     for r in part.select("n", "counts").collect():
-        out[r.n * step : (r.n + 1) * step] = np.minimum(63, np.floor(2 * np.log2(np.maximum(np.frombuffer(r.counts, np.int64), 1))))
+        out[r.n * step : (r.n + 1) * step] = np.minimum(63, np.floor(2 * np.log2(np.maximum(spread_out(r.counts), 1))))
     return out
 
 
@@ -496,8 +505,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         found_now = more.count()
         first = found_now if first is None else first
         if found_now:
-            links = links.union(more)
-            parts = stage(connected_components(links), "join-parts")
+            parts = stage(connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more)), "join-parts")
     named = of_class.select("digest", "salt", "class").join(parts.withColumnRenamed("id", "class"), "class", "left").select("digest", "salt", F.coalesce("component", "class").alias("component"))
     linked_rows = salted.join(named, ["digest", "salt"]).select("id", F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
     alone = sets.where("n = 0 or id is null").select("id", F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
@@ -506,7 +514,10 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def shared_identifiers(salted: DataFrame, of_class: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes that rows of one identifier are in."""
-    mine = salted.select("id", "digest", "salt").join(of_class.select("digest", "salt", "class"), ["digest", "salt"]).select("id", "class").distinct()
+    several = stage(salted.groupBy("id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).where("x <> y").select("id"), "join-several")
+    if several.isEmpty():
+        return salted.sparkSession.createDataFrame([], "a long, b long")
+    mine = maybe_in(salted, several, "id").join(several, "id").select("id", "digest", "salt").join(of_class.select("digest", "salt", "class"), ["digest", "salt"]).select("id", "class").distinct()
     least = mine.groupBy("id").agg(F.min("class").alias("b"), F.count("*").alias("k")).where("k > 1").drop("k")
     return mine.join(least, "id").where("class <> b").select(F.col("class").alias("a"), "b").distinct()
 
