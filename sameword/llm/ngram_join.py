@@ -5,7 +5,7 @@ counts hashed shingles over all documents, so integer order is the global order,
 must share a shingle of their prefixes. Prefixes are cut into shards of the hash space; a shard's task stores its part
 of every prefix in a trie and walks it for each probe with the overlap of shared paths: it leaves out subtrees whose
 sizes, remaining lengths, or shingles missed so far on either side can't reach the bound. What it finds is checked on
-whole sets.
+whole sets, a pair once. Most shingles of prefixes are in one alone; all move once to tell, and passes move the others.
 
 Equal sets are one class from the start. All links come from the trie. In the first passes a probe takes a few candidates
 that it meets at once, others in every pass, so that large groups of near copies become one component; in the last, which
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from sameword.llm.arrow import ragged, small_batches
 from sameword.operators.sieve import maybe_in
 from sameword.operators.graph import connected_components
-from sameword.shared import stage
+from sameword.shared import discard, stage
 
 WORDS = 5
 #: Jaccard of at least NUM / DEN links.
@@ -195,6 +195,14 @@ def rarity(rows: DataFrame) -> np.ndarray:
     return out
 
 
+def tallies(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, n, tally of classes, but of most that are in no pair."""
+    met = maybe_in(classes, pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))), "class")
+    one = met.groupBy(F.col("class").alias("id")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.first("tally").alias("tally"))
+    # where texts share an identifier, a bound by one tally would not hold for the other
+    return one.select("id", "n", F.when(F.col("k") == 1, F.col("tally")).alias("tally"))
+
+
 def possible(pairs: DataFrame, tallies: DataFrame) -> DataFrame:
     """The pairs whose sets could link by their tallies: sets share no more than the smaller count of each of 256 classes
     of shingles. tallies: id, n, tally (a byte a class; null where a count doesn't fit)."""
@@ -212,9 +220,14 @@ def possible(pairs: DataFrame, tallies: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def linked(docs: DataFrame, pairs: DataFrame, rows_per_part: int = 64) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. A b with many partners is met by them in parts of about rows_per_part."""
+def linked(docs: DataFrame, pairs: DataFrame, rows_per_part: int = 64, asked: list[DataFrame] | None = None) -> DataFrame:
+    """The pairs (a, b) whose whole sets link. A b with many partners is met by them in parts of about rows_per_part.
+    asked: tables of pairs that were asked for before, which are left out; these pairs are added to them."""
+    for before in asked or ():
+        pairs = pairs.join(before, ["a", "b"], "left_anti")
     pairs = stage(pairs, "join-pairs")
+    if asked is not None:
+        asked.append(pairs)
     texts = stage(maybe_in(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), "id"), "join-texts")
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / rows_per_part).cast("int").alias("parts"))
     many = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
@@ -238,7 +251,9 @@ def linked(docs: DataFrame, pairs: DataFrame, rows_per_part: int = 64) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     met = members.union(heads).repartition(F.col("b"), F.col("part")).sortWithinPartitions("b", "part", "role")
-    return met.mapInArrow(run, "a long, b long")
+    out = stage(met.mapInArrow(run, "a long, b long"), "join-links")
+    discard(texts)
+    return out
 
 
 class Trie:
@@ -417,25 +432,117 @@ def got(token: bytes, rest: bytes) -> tuple[np.ndarray, ...]:
     return tokens, np.repeat(np.arange(n), counts), np.cumsum(pos), ids, comps + ids, sizes, lasts, asks
 
 
+def held(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Entries (token, doc, pos) and documents (ids, comps, sizes, lasts) of about a million shingles at a time. Where rows are
+    whole prefixes (row, id, size, tokens), places are those in them; ids are then rows, and components identifiers."""
+    rows, n = [], 0
+
+    def flush() -> tuple[np.ndarray, ...]:
+        table = pa.Table.from_batches(rows).combine_chunks()
+        column = lambda name: table.column(name).to_numpy().astype(np.int64)
+        sets = table.column("tokens").to_pylist()
+        lengths = np.array([len(x) // 8 for x in sets], np.int64)
+        token = np.frombuffer(b"".join(sets), np.uint64)
+        ids, doc = column("row" if "row" in table.column_names else "id"), np.repeat(np.arange(len(sets)), lengths)
+        if "row" in table.column_names:
+            return token, doc, ragged(np.zeros(len(sets), np.int64), lengths), ids, column("id"), column("size"), token[np.cumsum(lengths) - 1]
+        pos = np.frombuffer(b"".join(table.column("places").to_pylist()), np.int32).astype(np.int64)
+        return token, doc, pos, ids, column("comp"), column("size"), column("last").astype(np.uint64) << np.uint64(32)
+
+    for part in parts:
+        at = 0
+        for k, size in enumerate(pc.binary_length(part.column(part.schema.get_field_index("tokens"))).to_pylist()):
+            n += size // 8
+            if n > 1_000_000:
+                rows.append(part.slice(at, k + 1 - at))
+                yield flush()
+                rows, n, at = [], 0, k + 1
+        if at < part.num_rows:
+            rows.append(part.slice(at))
+    if rows:
+        yield flush()
+
+
+def by(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each key, and where it stands, in their order."""
+    order = np.argsort(keys, kind="stable")
+    cuts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    for at in np.split(order, cuts[1:]) if len(order) else ():
+        yield int(keys[at[0]]), at
+
+
+def together(tokens: list[bytes], rests: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Batches of a shard, as sent() made them, as one."""
+    parts = [got(x, y) for x, y in zip(tokens, rests, strict=True)]
+    firsts = np.cumsum([0, *(len(p[3]) for p in parts)])
+    doc = np.concatenate([p[1] + shift for p, shift in zip(parts, firsts, strict=False)])
+    token, _, *others = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return token, doc, *others
+
+
+def part_rows(token: np.ndarray, doc: np.ndarray, pos: np.ndarray, ids: np.ndarray, sizes: np.ndarray, lasts: np.ndarray) -> dict[str, pa.Array]:
+    """Entries, those of a document side by side, as a row for each document that has any."""
+    firsts = np.flatnonzero(np.diff(doc, prepend=-1))
+    who, ends = doc[firsts], np.r_[firsts, len(doc)]
+    binary = lambda x, width: pa.Array.from_buffers(pa.binary(), len(who), [None, pa.py_buffer((ends * width).astype(np.int32).tobytes()), pa.py_buffer(x.tobytes())])
+    return {"id": pa.array(ids[who], pa.int64()), "size": pa.array(sizes[who], pa.int32()), "last": pa.array((lasts[who] >> np.uint64(32)).astype(np.int64)), "tokens": binary(token, 8), "places": binary(pos.astype(np.int32), 4)}
+
+
+def alive(rows: DataFrame, shards: int, heavy: dict[int, int] | None = None) -> DataFrame:
+    """Of prefixes (row, id, size, tokens) what another row's prefix has too: id, size, last (upper half of the prefix's last
+    shingle), tokens, places. No other shingle gives a candidate, in any pass. Shards tell, and send what is shared back
+    by buckets of rows. What falls in heavy shards is all kept, where it is, as rows of its own."""
+    heavy, buckets = heavy or {}, 1 + shards // 2
+    kind, packed = "id long, size int, last long, tokens binary, places binary", "token binary, rest binary"
+
+    def sent_by(keys, token, doc, pos, row, ids, sizes, lasts) -> list[tuple[int, bytes, bytes]]:
+        out = []
+        for k, at in by(keys):
+            who, local = np.unique(doc[at], return_inverse=True)
+            out.append((k, *sent(token[at], local, pos[at], row[who], ids[who], sizes[who], lasts[who], np.zeros(len(who), bool))))
+        return [pa.array([o[j] for o in out], x) for j, x in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, doc, pos, *rest in held(parts):
+            shard = shard_of(token, shards)
+            at = np.flatnonzero(~np.isin(shard, list(heavy)))
+            yield pa.RecordBatch.from_arrays(sent_by(shard[at], token[at], doc[at], pos[at], *rest), ["shard", "token", "rest"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        token, doc, pos, row, *rest, _ = together(table.column("token").to_pylist(), table.column("rest").to_pylist())
+        order = np.argsort(token, kind="stable")
+        same = token[order][1:] == token[order][:-1]
+        at = np.sort(order[np.r_[False, same] | np.r_[same, False]]) if len(order) else order
+        return pa.table(sent_by(group_of(row, buckets)[doc[at]], token[at], doc[at], pos[at], row, *rest), ["bucket", "token", "rest"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        token, doc, pos, row, ids, sizes, lasts, _ = together(table.column("token").to_pylist(), table.column("rest").to_pylist())
+        order = np.lexsort((pos, row[doc]))
+        _, one, of = np.unique(row, return_index=True, return_inverse=True)
+        return pa.table(part_rows(token[order], of[doc[order]], pos[order], ids[one], sizes[one], lasts[one]))
+
+    def keep(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for token, doc, pos, _, ids, sizes, lasts in held(parts):
+            at = np.flatnonzero(np.isin(shard_of(token, shards), list(heavy)))
+            yield pa.RecordBatch.from_pydict(part_rows(token[at], doc[at], pos[at], ids, sizes, lasts))
+
+    whole = rows.select("row", "id", "size", "tokens")
+    told = whole.mapInArrow(cut, f"shard int, {packed}").groupBy("shard").applyInArrow(meet, f"bucket int, {packed}")
+    out = told.groupBy("bucket").applyInArrow(merge, kind)
+    return out.union(whole.mapInArrow(keep, kind)) if heavy else out
+
+
 def prefix_join(rows: DataFrame, shards: int, few: int | None = None, heavy: dict[int, int] | None = None) -> DataFrame:
-    """Candidate pairs (a, b) between components, from id, comp, size, tokens; all, or in pass `few` some of each document.
+    """Candidate pairs (a, b) between components, from comp and what alive() gives; all, or in pass `few` some of each document.
     heavy: of shards that are too large for a task, into how many groups their documents are dealt. There each two groups,
     and each group by itself, are a task (a cell); one of two groups gives pairs between them alone."""
     heavy = heavy or {}
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(ids, comps, sizes, sets):
-            lengths = np.array([len(s) for s in sets], np.int64)
-            token, pos = np.concatenate(sets), ragged(np.zeros(len(sets), np.int64), lengths)
-            doc, last = np.repeat(np.arange(len(sets)), lengths), token[np.cumsum(lengths) - 1]
-            shard = shard_of(token, shards)
-            step = 1 if few is None else np.maximum(1, -(-lengths // PROBES))[doc]
-            asking = (pos + 3 * (few or 0)) % step == 0
-            ids, comps, sizes, out = np.array(ids), np.array(comps), np.array(sizes, np.int32), []
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-            for k in np.unique(shard).tolist():
-                at = order[bounds[k] : bounds[k + 1]]
+        for token, doc, pos, ids, comps, sizes, lasts in held(parts):
+            step = 1 if few is None else np.maximum(1, -(-prefix(sizes) // PROBES))[doc]
+            asking, out = (pos + 3 * (few or 0)) % step == 0, []
+            for k, at in by(shard_of(token, shards)):
                 groups = heavy.get(k, 1)
                 group = group_of(ids, groups)[doc[at]]
                 for cell in [(0, 0)] if groups == 1 else [(i, j) for i in range(groups) for j in range(i, groups)]:
@@ -444,36 +551,20 @@ def prefix_join(rows: DataFrame, shards: int, few: int | None = None, heavy: dic
                         who, local = np.unique(doc[here], return_inverse=True)
                         asks = np.zeros(len(who), bool)
                         asks[local[asking[here]]] = True
-                        out.append((k, cell[0] * groups + cell[1], *sent(token[here], local, pos[here], ids[who], comps[who], sizes[who], last[who], asks)))
+                        out.append((k, cell[0] * groups + cell[1], *sent(token[here], local, pos[here], ids[who], comps[who], sizes[who], lasts[who], asks)))
             names = ["shard", "cell", "token", "rest"]
-            return pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int32()) for j in range(2)] + [pa.array([o[j] for o in out], pa.binary()) for j in range(2, 4)], names)
-
-        ids, comps, sizes, sets, held = [], [], [], [], 0
-        for part in parts:
-            for i, c, n, tokens in zip(*(x.to_pylist() for x in part.columns), strict=True):
-                for column, value in ((ids, i), (comps, c), (sizes, n), (sets, np.frombuffer(tokens, np.uint64))):
-                    column.append(value)
-                held += len(sets[-1])
-                if held > 1_000_000:
-                    yield flush(ids, comps, sizes, sets)
-                    ids, comps, sizes, sets, held = [], [], [], [], 0
-        if sets:
-            yield flush(ids, comps, sizes, sets)
+            yield pa.RecordBatch.from_arrays([pa.array([o[j] for o in out], pa.int32()) for j in range(2)] + [pa.array([o[j] for o in out], pa.binary()) for j in range(2, 4)], names)
 
     def meet(table: pa.Table) -> pa.Table:
         shard, cell = table.column("shard")[0].as_py(), table.column("cell")[0].as_py()
-        parts = [got(x, y) for x, y in zip(table.column("token").to_pylist(), table.column("rest").to_pylist(), strict=True)]
+        token, doc, pos, ids, comps, sizes, lasts, asks = together(table.column("token").to_pylist(), table.column("rest").to_pylist())
         del table
-        firsts = np.cumsum([0, *(len(p[3]) for p in parts)])
-        doc = np.concatenate([p[1] + shift for p, shift in zip(parts, firsts, strict=False)])
-        token, _, pos, ids, comps, sizes, lasts, asks = (np.concatenate(x) for x in zip(*parts, strict=True))
-        del parts
         groups = heavy.get(shard, 1)
         apart = group_of(ids, groups) if cell // groups != cell % groups else None
         pairs = sorted(shard_pairs(token, doc, pos, ids, comps, sizes, lasts, few, apart, asks))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
-    cut_up = rows.select("id", "comp", "size", "tokens").mapInArrow(cut, "shard int, cell int, token binary, rest binary")
+    cut_up = rows.select("id", "comp", "size", "last", "tokens", "places").mapInArrow(cut, "shard int, cell int, token binary, rest binary")
     return cut_up.groupBy("shard", "cell").applyInArrow(meet, "a long, b long").distinct()
 
 
@@ -486,22 +577,23 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sets = rows.where("kind = 0").select("id", "n", "digest")
     salted = sets.where("n > 0 and id is not null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     classes = stage(rows.where("kind = 0 and n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class"), F.first("n").alias("n"), F.min_by("tally", "id").alias("tally")), "join-classes")
-    # where texts share an identifier, a bound by one tally would not hold for the other
-    tallies = classes.groupBy(F.col("class").alias("id")).agg(F.count("*").alias("k"), F.max("n").alias("n"), F.first("tally").alias("tally")).select("id", "n", F.when(F.col("k") == 1, F.col("tally")).alias("tally"))
     total = classes.agg(F.sum(F.col("n") / DEN + 1)).first()[0] or 0
     shards = max(1, round(total / SHARD_TOKENS))
     ids = classes.select(F.col("class").alias("id")).distinct()
-    stored = stage(prefixes(maybe_in(known, ids, "id"), rarity(rows)).join(ids.hint("merge"), "id"), "join-prefixes")
+    stored = stage(prefixes(maybe_in(known, ids, "id"), rarity(rows)).join(ids.hint("merge"), "id").withColumn("row", F.monotonically_increasing_id()), "join-prefixes")
     of_class = salted.groupBy("digest", "salt").agg(F.min("id").alias("low"), F.max("id").alias("high")).join(classes.select("digest", "class"), "digest")
     of_class = stage(of_class, "join-salted")
     links = stage(shared_identifiers(salted, of_class), "join-links")
     heavy = heavy_shards(stored, shards)
-    parts, first = connected_components(links), None
+    shared = stage(alive(stored, shards, heavy), "join-shared")
+    discard(stored)
+    parts, first, asked = connected_components(links), None, []
     for few in [*range(PASSES), None]:
         if few and found_now * WORTH <= first:
             continue
-        comp = stored.join(parts.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        more = stage(linked(known, possible(prefix_join(comp, shards, few, heavy), tallies)), "join-links")
+        comp = shared.join(parts.withColumnRenamed("component", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        pairs = stage(prefix_join(comp, shards, few, heavy), "join-candidates")
+        more = linked(known, possible(pairs, tallies(classes, pairs)), asked=asked)
         found_now = more.count()
         first = found_now if first is None else first
         if found_now:

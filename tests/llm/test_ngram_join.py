@@ -153,3 +153,39 @@ def test_counts_of_a_small_task_are_few_bytes(spark):
     some = [r.counts for r in rows.where("kind = 1").collect()]
     assert sum(map(len, some)) < 200_000
     assert sum(int(ngram_join.spread_out(x).sum()) for x in some) == sum(r.n for r in rows.where("kind = 0").collect())
+
+
+def test_passes_move_what_prefixes_share_and_weigh_a_pair_once(spark, monkeypatch):
+    """Every pass moved whole prefixes and weighed again what the ones before had refused: disk of 4.46 x input (round 3)."""
+    monkeypatch.setattr(ngram_join, "SHARD_TOKENS", 600)
+    moved, pairs = [], []
+    join, stage = ngram_join.prefix_join, ngram_join.stage
+    monkeypatch.setattr(ngram_join, "prefix_join", lambda rows, *a: moved.append(rows) or join(rows, *a))
+    monkeypatch.setattr(ngram_join, "stage", lambda df, name: (lambda out: (name == "join-pairs" and pairs.append(out)) or out)(stage(df, name)))
+    rows = corpus(6)
+    # a third of the shingles in common: shares a prefix with the others, links with none
+    rows += [(200 + i, " ".join([*[f"s{k}" for k in range(30)], *[f"t{i}x{k}" for k in range(12)]])) for i in range(6)]
+    got = {r.id: (r.n_shingles, r.component_id) for r in components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    wholes = {}
+    for _, text in rows:
+        s = ngram_join.Shingler()((text or "").encode())
+        if len(s):
+            wholes[s.tobytes()] = ngram_join.prefix(len(s))
+    tokens = [np.concatenate([np.frombuffer(r.tokens, np.uint64) for r in m.collect()]) for m in moved]
+    assert len(moved) > 1 and all(np.unique(t, return_counts=True)[1].min() > 1 and len(t) < sum(wholes.values()) for t in tokens)
+    asked = [(r.a, r.b) for p in pairs for r in p.collect()]
+    assert asked and len(asked) == len(set(asked))
+
+
+def test_heavy_shards_keep_all_their_shingles(spark):
+    """What alive() gives: shared shingles at their places, and in heavy shards all."""
+    draw = np.random.default_rng(4)
+    sets = [np.sort(draw.choice(400, 12, replace=False)).astype(np.uint64) for _ in range(20)]
+    rows = spark.createDataFrame([(i, i % 18, 30 + i // 19, bytearray(s.tobytes())) for i, s in enumerate(sets)], "row long, id long, size int, tokens binary")
+    flat = np.concatenate(sets)
+    for heavy in ({}, {1: 2}):
+        got = [(r.id, r.size, r["last"], t, p) for r in ngram_join.alive(rows, 3, heavy).collect() for t, p in zip(np.frombuffer(r.tokens, np.uint64).tolist(), np.frombuffer(r.places, np.int32).tolist(), strict=True)]
+        want = [(i % 18, 30 + i // 19, int(s[-1]) >> 32, int(t), p) for i, s in enumerate(sets) for p, t in enumerate(s) if (flat == t).sum() > 1 or int(t) % 3 in heavy]
+        assert sorted(got) == sorted(want)
+    assert ngram_join.alive(rows, 3).count() <= len(sets)  # a row for a document, not for each of its shards
